@@ -1,8 +1,10 @@
 """The queries of this subpackage and, where SQL can express them, their oracles."""
 
-from hornfels.llm import quality_rules, sharding
+from hornfels.llm import quality_classifier, quality_rules, sharding, toxicity
 
 QUERIES = {
+    "op1_quality_classifier": quality_classifier.op1_quality_classifier,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_sharding": sharding.op10_sharding,
 }
