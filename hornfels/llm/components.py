@@ -1,0 +1,45 @@
+"""Connected components of a link table, by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from hornfels.storage import materialise
+
+
+def _state(edges: DataFrame) -> tuple:
+    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+    return r["n"], r["h"]
+
+
+def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """``node`` and ``root`` (its component's least node) for every node of ``links`` (columns ``u`` and ``v``).
+
+    The number of rounds grows with the logarithm of the longest path; every round is written to the shared
+    folder, so that plans stay short and a lost executor costs one round. A node's neighbours meet in an
+    aggregate with partial sums and in a join that Spark may split, never in one task's memory. Loops of a
+    node with itself, repeated links and an empty table are allowed; nulls are not nodes.
+    """
+    both = links.where("u is not null and v is not null").select("u", "v")
+    nodes = both.select(F.col("u").alias("node")).union(both.select(F.col("v").alias("node"))).distinct()
+    edges = materialise(both.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    before = _state(edges)
+    for _ in range(rounds):
+        if not before[0]:
+            break
+        around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.where("u <> v").distinct()
+        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        linked = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        edges = materialise(linked.where("u <> v").distinct(), "links")
+        after = _state(edges)
+        if after == before:
+            break
+        before = after
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+    return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
