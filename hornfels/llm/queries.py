@@ -1,9 +1,10 @@
 """The queries of this subpackage and, where SQL can express them, their oracles."""
 
-from hornfels.llm import quality_classifier, quality_rules, sharding, simhash, toxicity
+from hornfels.llm import mixing, quality_classifier, quality_rules, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
+    "op6_mixing": mixing.op6_mixing,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality_rules": quality_rules.op9_quality_rules,
