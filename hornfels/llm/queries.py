@@ -1,9 +1,10 @@
 """The queries of this subpackage and, where SQL can express them, their oracles."""
 
-from hornfels.llm import mixing, quality_classifier, quality_rules, sharding, simhash, token_counts, toxicity
+from hornfels.llm import mixing, packing, quality_classifier, quality_rules, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
+    "op4_packing": packing.op4_packing,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_mixing": mixing.op6_mixing,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
