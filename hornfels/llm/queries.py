@@ -1,10 +1,11 @@
 """The queries of this subpackage and, where SQL can express them, their oracles."""
 
-from hornfels.llm import mixing, packing, quality_classifier, quality_rules, secrets, sharding, simhash, token_counts, toxicity
+from hornfels.llm import media, mixing, packing, quality_classifier, quality_rules, secrets, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
     "op2_secret_scans": secrets.op2_secret_scans,
+    "op3_media_columns": media.op3_media_columns,
     "op4_packing": packing.op4_packing,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_mixing": mixing.op6_mixing,
