@@ -29,16 +29,16 @@ def interleaved(rows: DataFrame, stratum: str, order: list[str], seed: int = SEE
     rows = rows.withColumns({"_il_key": key_of(f"`{stratum}`"), "_il_hash": h}).withColumn("_il_bucket", hash_bucket(F.col("_il_hash"), buckets))
     sums = rows.groupBy("_il_key", "_il_bucket").agg(F.count("*").alias("_il_n"))
     sizes = sums.groupBy("_il_key").agg(F.sum("_il_n").alias("_il_size"))
-    bases = bucket_bases(sums, ["_il_key"], "_il_bucket", "_il_n", buckets).join(sizes, "_il_key")
+    bases = bucket_bases(sums, ["_il_key"], "_il_bucket", "_il_n", buckets).withColumnRenamed("base", "_il_base").join(sizes, "_il_key")
     within = Window.partitionBy("_il_key", "_il_bucket").orderBy("_il_hash", *[f"`{c}`" for c in order])
     ranked = rows.withColumn("_il_rank", F.row_number().over(within)).join(bases, ["_il_key", "_il_bucket"])
-    ranked = ranked.withColumn("_il_rank", F.col("_il_rank") + F.col("base"))
+    ranked = ranked.withColumn("_il_rank", F.col("_il_rank") + F.col("_il_base"))
     ranked = ranked.withColumn("_il_part", (2 * F.col("_il_rank") - 1) / (2 * F.col("_il_size")))
-    ranked = ranked.drop("base", "_il_hash", "_il_bucket").withColumn("_il_slice", F.floor(F.col("_il_part") * buckets).cast("long"))
-    slices = bucket_bases(ranked.groupBy("_il_slice").agg(F.count("*").alias("_il_n")), [], "_il_slice", "_il_n", buckets)
+    ranked = ranked.drop("_il_base", "_il_hash", "_il_bucket").withColumn("_il_slice", F.floor(F.col("_il_part") * buckets).cast("long"))
+    slices = bucket_bases(ranked.groupBy("_il_slice").agg(F.count("*").alias("_il_n")), [], "_il_slice", "_il_n", buckets).withColumnRenamed("base", "_il_base")
     place = Window.partitionBy("_il_slice").orderBy("_il_part", "_il_key", "_il_rank")
     ranked = ranked.withColumn("_il_place", F.row_number().over(place)).join(slices, "_il_slice")
-    return ranked.withColumn("position", F.col("_il_place") + F.col("base") - 1).drop("base", *[c for c in ranked.columns if c.startswith("_il_")])
+    return ranked.withColumn("position", F.col("_il_place") + F.col("_il_base") - 1).drop(*[c for c in ranked.columns if c.startswith("_il_")])
 
 
 def shard(rows: DataFrame, stratum: str = "source", order: tuple[str, ...] = ("doc_id",), shards: int = SHARDS, seed: int = SEED) -> DataFrame:
