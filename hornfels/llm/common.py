@@ -43,13 +43,13 @@ def bucket_bases(sums: DataFrame, keys: list[str], bucket: str, amount: str, buc
     w = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     if buckets <= FANOUT:
         return sums.select(*keys, bucket, F.coalesce(F.sum(amount).over(w), F.lit(0)).cast("long").alias("base"))
-    up = F.floor(F.col(bucket) / FANOUT).cast("long")
-    fine = sums.withColumn("_up", up)
-    coarse = fine.groupBy(*keys, "_up").agg(F.sum(amount).alias(amount))
-    coarse = bucket_bases(coarse, keys, "_up", amount, -(-buckets // FANOUT)).withColumnRenamed("base", "_above")
-    inner = Window.partitionBy(*keys, "_up").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    up = f"{bucket}_up"
+    fine = sums.withColumn(up, F.floor(F.col(bucket) / FANOUT).cast("long"))
+    coarse = fine.groupBy(*keys, up).agg(F.sum(amount).alias(amount))
+    coarse = bucket_bases(coarse, keys, up, amount, -(-buckets // FANOUT)).withColumnRenamed("base", "_above")
+    inner = Window.partitionBy(*keys, up).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     own = F.coalesce(F.sum(amount).over(inner), F.lit(0))
-    return fine.withColumn("_own", own).join(coarse, [*keys, "_up"]).select(*keys, bucket, (F.col("_own") + F.col("_above")).cast("long").alias("base"))
+    return fine.withColumn("_own", own).join(coarse, [*keys, up]).select(*keys, bucket, (F.col("_own") + F.col("_above")).cast("long").alias("base"))
 
 
 def crc_of_id(column: Column) -> Column:
