@@ -249,7 +249,7 @@ def test_interleaving_over_several_buckets(spark, monkeypatch):
     out = sharding.interleaved(rows, "source", ["doc_id"]).toPandas()
     assert sorted(out.position) == list(range(700))
     hot = np.sort(out.position[out.source == "hot"])
-    assert abs(np.diff(hot).mean() - 700 / len(hot)) < 0.1 and np.diff(hot).max() <= 6
+    assert abs(np.diff(hot).mean() - 700 / len(hot)) < 0.1 and np.diff(hot).max() <= 8  # the other seven tie
 
 
 def _brute_fingerprint(text):
