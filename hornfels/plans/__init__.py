@@ -1 +1,6 @@
-"""See the package docstrings of the modules."""
+"""Named queries over the supplied tables; importing this package registers them all."""
+
+from hornfels.plans import graphs, relations
+from hornfels.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "graphs", "relations"]
