@@ -10,7 +10,8 @@ import xxhash
 from public_tokenizers import path
 from tokenizers import Tokenizer
 
-from hornfels.llm import components, jpeg, media, mixing, packing, queries, sharding, simhash, token_counts, toxicity
+from hornfels.llm import jpeg, media, mixing, packing, queries, sharding, simhash, token_counts, toxicity
+from hornfels.operators import components
 
 SF = "/root/testdata/sf0.001"
 
