@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from hornfels.storage import materialise
 
 
-def _state(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return r["n"], r["h"]
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge at most and none that leads to it has one: then all are stars."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("own"), F.lit(0).alias("end")).union(edges.select("v", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("own").alias("own"), F.max("end").alias("end"))
+    return nodes.where("own > 1 or own > 0 and end > 0").isEmpty()
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -21,12 +23,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     aggregate with partial sums and in a join that Spark may split, never in one task's memory. Loops of a
     node with itself, repeated links and an empty table are allowed; nulls are not nodes.
     """
-    both = links.where("u is not null and v is not null").select("u", "v")
-    nodes = both.select(F.col("u").alias("node")).union(both.select(F.col("v").alias("node"))).distinct()
-    edges = materialise(both.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    before = _state(edges)
+    known = links.where("u is not null and v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    known = materialise(known.distinct(), "links")
+    edges = known.where("u <> v")
     for _ in range(rounds):
-        if not before[0]:
+        if _settled(edges):
             break
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -35,11 +36,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         edges = materialise(linked.where("u <> v").distinct(), "links")
-        after = _state(edges)
-        if after == before:
-            break
-        before = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-    return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    nodes = known.select(F.col("u").alias("node")).union(known.select("v")).distinct()
+    return nodes.join(edges.toDF("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
