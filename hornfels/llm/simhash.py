@@ -58,6 +58,11 @@ def _byte(x: Column, at: int) -> Column:
     return F.shiftrightunsigned(x, 8 * at).bitwiseAND(F.lit(255))
 
 
+def _first_set(mask: int, left_out: list[tuple[int, ...]]) -> int:
+    """The first posting that a pair shares whose bytes in ``mask`` differ: it leaves all of them out; -1 for none."""
+    return next((i for i, out in enumerate(left_out) if all(mask >> b & 1 == 0 or b in out for b in range(BYTES))), -1)
+
+
 def similar_pairs(values: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``u`` < ``v`` for all different fingerprints of ``values`` (column ``fp``, each once) within ``max_bits``."""
     left_out = list(combinations(range(BYTES), max_bits))
@@ -67,23 +72,11 @@ def similar_pairs(values: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     index = values.select("fp", posts.alias("p")).select("fp", "p.set", "p.bytes")
     a, b = index.alias("a"), index.alias("b")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    differs = [(_byte(x, i) != 0) for i in range(BYTES)]
-    tally = reduce(add, [(~d).cast("int") for d in differs])
-    first = F.lit(False)  # the posting that leaves out the bytes that differ, filled up with the lowest others
-    for i, out in enumerate(left_out):
-        here = F.lit(True)
-        for at in range(BYTES):
-            if at in out:
-                filled = F.lit(True)
-                for lower in range(at):
-                    if lower not in out:
-                        filled = filled & differs[lower]
-                here = here & (differs[at] | filled)
-            else:
-                here = here & ~differs[at]
-        first = first | ((F.col("a.set") == i) & here)
+    differ = reduce(add, [(_byte(x, i) != 0).cast("int") * (1 << i) for i in range(BYTES)])  # a bit a byte
+    tally = BYTES - F.bit_count(differ)
+    first = F.element_at(F.lit([_first_set(mask, left_out) for mask in range(1 << BYTES)]), differ + 1)
     same = (F.col("a.set") == F.col("b.set")) & (F.col("a.bytes") == F.col("b.bytes")) & (F.col("a.fp") < F.col("b.fp"))
-    kept = (F.bit_count(x) <= max_bits) & (tally >= BYTES - max_bits) & first
+    kept = (F.bit_count(x) <= max_bits) & (tally >= BYTES - max_bits) & (first == F.col("a.set"))
     return a.join(b, same & kept).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
 
@@ -96,7 +89,7 @@ def near_duplicates(docs: DataFrame, *keep: str, text: str = "text", shingle: in
     rows = materialise(fingerprints(docs, *keep, text=text, shingle=shingle), "simhash")
     values = rows.select("fp").distinct()
     links = similar_pairs(values, max_bits)
-    roots = components(links).withColumnRenamed("node", "fp")
+    roots = materialise(components(links).withColumnRenamed("node", "fp"), "roots")
     return rows.join(roots, "fp", "left").select(*keep, "fp", F.coalesce("root", "fp").alias("root"))
 
 
