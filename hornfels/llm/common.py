@@ -56,8 +56,11 @@ def crc_of_id(column: Column) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
 
 
-def clean_texts(values) -> list[str]:
-    return [v if isinstance(v, str) else "" for v in values]
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lowers the session's rows an Arrow batch: a Python worker holds a batch of whole texts several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
 
 
 def crc(data: bytes) -> int:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from hornfels.llm.common import bucket_bases, crc, hash_bucket, key_of, n_buckets, read_table
+from hornfels.llm.common import bucket_bases, crc, hash_bucket, key_of, n_buckets, read_table, small_batches
 from hornfels.llm.token_counts import in_parts
 from hornfels.storage import materialise
 
@@ -70,6 +70,11 @@ class WordEncoder:
         self.words.update([(w, x) for w, x in made.items() if len(w) <= LONG][: max(0, WORDS - len(self.words))])
         return made
 
+    def forget(self) -> None:
+        """Empties the caches; workers live on after a task, and idle ones should be small."""
+        self.words.clear()
+        self.stems.clear()
+
     def ids_of(self, texts: list[str]) -> list[bytes]:
         get = self.words.get
         split = [t.replace("\n", " ").split(" ") for t in texts]
@@ -89,8 +94,16 @@ def encoder(path: str) -> WordEncoder:
 def with_ids(docs: DataFrame, path: str, text: str = "text", end_id: int = END_ID) -> DataFrame:
     """``docs`` without the text, with ``ids``: 16-bit ids of the whole text and the end id. Null text is empty."""
     end = np.array([end_id], "<u2").tobytes()
-    of = F.pandas_udf(lambda s: pd.Series([x + end for part in in_parts(s) for x in encoder(path).ids_of(part)]), "binary")
-    return docs.withColumn("ids", of(F.col(text))).drop(text)
+
+    def work(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = encoder(path)
+        try:
+            for s in batches:
+                yield pd.Series([x + end for part in in_parts(s) for x in own.ids_of(part)], dtype=object)
+        finally:
+            own.forget()
+
+    return docs.withColumn("ids", F.pandas_udf(work, "binary")(F.col(text))).drop(text)
 
 
 class RoundRobin:
@@ -140,6 +153,7 @@ def pack(docs: DataFrame, *keep: str, path: str, source: str = "source", text: s
     too, is packed whole; an empty or null text is its end id. An empty table gives no pieces. Only the last
     sequence can be short.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(*keep, key_of(source).alias("_queue"), F.col(text).alias("_text"))
     tokens = with_ids(rows, path, "_text").withColumn("_row", F.monotonically_increasing_id())
     tokens = materialise(tokens, "tokens")

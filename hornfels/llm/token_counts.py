@@ -12,17 +12,17 @@ from __future__ import annotations
 import json
 import re
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornfels.llm.common import read_table
+from hornfels.llm.common import read_table, small_batches
 
 #: Entries of the caches of a Python worker and their longest unit: a bound of its memory; other units are computed anew.
 UNITS, PAIRS, LONG = 500_000, 400_000, 64
@@ -209,6 +209,11 @@ class PrefixCounter:
     def steps(self, text: str) -> bytes:
         return self.steps_of([text])[0]
 
+    def forget(self) -> None:
+        """Empties the caches of units; workers live on after a task, and idle ones should be small."""
+        for known in (self.units, self.heads, self.marks, self.pairs):
+            known.clear()
+
     def counts(self, text: str) -> np.ndarray:
         """Exact token counts of text[:1], text[:2], ..., text."""
         return np.cumsum(np.frombuffer(self.steps(text), np.int8), dtype=np.int64)
@@ -237,7 +242,7 @@ def longest_prefix(steps: bytes, budget: int) -> int:
     return int(fits[-1]) + 1 if len(fits) else 0
 
 
-def in_parts(texts: pd.Series, chars: int = 4_000_000) -> Iterator[list[str]]:
+def in_parts(texts: pd.Series, chars: int = 2_000_000) -> Iterator[list[str]]:
     """The texts, null as empty, in lists of about so many characters; a longer text is a list of its own."""
     part, size = [], 0
     for t in texts:
@@ -250,10 +255,21 @@ def in_parts(texts: pd.Series, chars: int = 4_000_000) -> Iterator[list[str]]:
         yield part
 
 
+def _by_steps(path: str, of: Callable[[list[bytes]], list], kind: str) -> Callable[[Column], Column]:
+    def work(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = counter(path)
+        try:
+            for s in batches:
+                yield pd.Series([x for part in in_parts(s) for x in of(own.steps_of(part))], dtype="int64" if kind == "long" else object)
+        finally:
+            own.forget()
+
+    return F.pandas_udf(work, kind)
+
+
 def prefix_table(docs: DataFrame, *keep: str, path: str, text: str = "text") -> DataFrame:
     """The ``keep`` columns and ``steps`` (see PrefixCounter.steps_of), a byte a character; null text counts as empty."""
-    of = F.pandas_udf(lambda s: pd.Series([x for part in in_parts(s) for x in counter(path).steps_of(part)]), "binary")
-    return docs.select(*keep, of(F.col(text)).alias("steps"))
+    return docs.select(*keep, _by_steps(path, list, "binary")(F.col(text)).alias("steps"))
 
 
 def truncated(docs: DataFrame, budget: int, path: str, text: str = "text") -> DataFrame:
@@ -264,11 +280,12 @@ def truncated(docs: DataFrame, budget: int, path: str, text: str = "text") -> Da
 
 def with_token_counts(docs: DataFrame, *keep: str, path: str, text: str = "text") -> DataFrame:
     """The ``keep`` columns and ``n_tokens`` of the whole text, the last of its prefix counts; null text has none."""
-    of = F.pandas_udf(lambda s: pd.Series([token_count(x) for part in in_parts(s) for x in counter(path).steps_of(part)], dtype="int64"), "long")
+    of = _by_steps(path, lambda steps: [token_count(x) for x in steps], "long")
     return docs.select(*keep, of(F.col(text)).alias("n_tokens"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     out = with_token_counts(docs.withColumn("n_bytes", size), "doc_id", "n_bytes", path=public_tokenizers.path("byte_bpe_50k.json"))
