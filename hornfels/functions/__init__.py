@@ -1 +1 @@
-"""See the package docstrings of the modules."""
+"""Part of the library; see its modules."""

@@ -149,4 +149,4 @@ def push_false(clauses: DataFrame, feedback: DataFrame) -> DataFrame:
 def consistent_feedback(clauses: DataFrame, feedback: DataFrame) -> DataFrame:
     """Entries of ``feedback`` whose value survives ``push_false``."""
     gone = push_false(clauses, feedback).withColumn("gone", F.lit(True))
-    return feedback.join(gone, "tuple", "left").where("value = gone is null").select("tuple", "value")
+    return feedback.join(gone, "tuple", "left").where("value = (gone is null)").select("tuple", "value")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hornfels.storage import materialise
+
 #: A term of an atom: a variable's name, a constant, or None where any value will do.
 Term = str | int | None
 
@@ -71,7 +73,7 @@ def domain_index(values: DataFrame) -> DataFrame:
     """``value`` and its ``id`` from 0 by order: a dense dictionary. Ids come from range partitions' sizes, not one window."""
     column = values.columns[0]
     distinct = values.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    placed = distinct.repartitionByRange("value").sortWithinPartitions("value").withColumn("_part", F.spark_partition_id())
+    placed = materialise(distinct.repartitionByRange("value").withColumn("_part", F.spark_partition_id()), "domain")
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy("value")))

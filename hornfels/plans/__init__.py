@@ -1,6 +1,6 @@
 """Named queries over the supplied tables; importing this package registers them all."""
 
-from hornfels.plans import graphs, relations
+from hornfels.plans import derivations, graphs, measures, relations, streams
 from hornfels.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "graphs", "relations"]
+__all__ = ["ORACLES", "QUERIES", "derivations", "graphs", "measures", "relations", "streams"]
