@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hornfels.operators.components import components
 from hornfels.operators.fixpoint import fixpoint, union_all
 from hornfels.storage import materialise
 
-__all__ = ["components", "closure", "closure_by_doubling", "closure_no_self", "reach", "hops", "shortest", "scc", "in_cycles", "degrees", "levels", "path_counts", "same_generation", "dominators", "nodes_of", "roots"]
+__all__ = ["components", "closure", "closure_by_doubling", "closure_no_self", "reach", "hops", "shortest", "scc", "in_cycles", "degrees", "levels", "path_counts", "same_generation", "dominators", "nodes_of", "roots", "path_ranges", "simple_paths", "simple_cycles"]
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -146,3 +146,41 @@ def dominators(edges: DataFrame, root: DataFrame) -> DataFrame:
     start = root.select("node").join(removed).where("node <> dom").select("dom", "node")
     still = fixpoint(start, lambda new, _: new.join(inner, "node").where("v <> dom").select("dom", F.col("v").alias("node")))
     return removed.join(reached).join(still, ["dom", "node"], "left_anti").select("node", "dom")
+
+
+def path_ranges(edges: DataFrame) -> DataFrame:
+    """u, v, and the half-open range of path numbers [first, last) that edge (u, v) gives its end.
+
+    The paths to a node are numbered from 0; its predecessors, by order, take contiguous ranges as long as
+    their own numbers of paths. The window is over one node's predecessors.
+    """
+    e = edges.select("u", "v").distinct()
+    counts = path_counts(e).select(F.col("node").alias("u"), "paths")
+    before = Window.partitionBy("v").orderBy("u").rowsBetween(Window.unboundedPreceding, -1)
+    rows = e.join(counts, "u").withColumn("first", F.coalesce(F.sum("paths").over(before), F.lit(0)).cast("long"))
+    return rows.select("u", "v", "first", (F.col("first") + F.col("paths")).alias("last"))
+
+
+def simple_paths(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
+    """``path`` arrays without a repeated node, of 1 to ``most`` edges, from ``start`` (column ``node``)."""
+    onward = edges.select(F.col("u").alias("end"), "v").distinct()
+    parts = [materialise(start.select(F.array("node").alias("path")), "walk")]
+    for _ in range(most):
+        longer = parts[-1].withColumn("end", F.element_at("path", -1)).join(onward, "end")
+        longer = materialise(longer.where(~F.array_contains("path", F.col("v"))).select(F.array_append("path", F.col("v")).alias("path")), "walk")
+        if longer.isEmpty():
+            break
+        parts.append(longer)
+    return union_all(parts).where(F.size("path") > 1)
+
+
+def simple_cycles(edges: DataFrame, most: int) -> DataFrame:
+    """``cycle`` arrays of at most ``most`` nodes, each once, begun at its least node; a loop is a cycle of one."""
+    back = edges.select(F.col("u").alias("end"), F.col("v").alias("node")).distinct()
+    larger = edges.where("v > u")
+    walks = simple_paths(edges, nodes_of(larger), most - 1).where(F.array_min("path") == F.col("path")[0]) if most > 1 else None
+    loops = edges.where("u = v").select(F.array("u").alias("cycle")).distinct()
+    if walks is None:
+        return loops
+    ends = walks.select("path", F.element_at("path", -1).alias("end"), F.col("path")[0].alias("node"))
+    return loops.union(ends.join(back, ["end", "node"], "left_semi").select(F.col("path").alias("cycle")))

@@ -76,3 +76,63 @@ def belief_propagation(entries: DataFrame, rounds: int = 60, tolerance: float =
     belief = up.groupBy("var", "state").agg(F.exp(F.sum(F.log(F.greatest("m", F.lit(1e-300))))).alias("b"))
     z = belief.groupBy("var").agg(F.sum("b").alias("z"))
     return belief.join(z, "var").select("var", "state", (F.col("b") / F.col("z")).alias("p"))
+
+
+def clamped(clauses: DataFrame, dob: DataFrame, p: Column, labels: DataFrame) -> DataFrame:
+    """``and_or`` once ``labels`` (tuple, value) are known: what false ones falsify is 0, true ones are 1.
+
+    Labels act forward only; what they say about their own causes is for belief_propagation.
+    """
+    from hornfels.operators.clauses import push_false
+
+    gone = push_false(clauses, labels).select("tuple", F.lit(0.0).alias("prior"))
+    true = labels.where("value").select("tuple", F.lit(1.0).alias("prior"))
+    known = materialise(gone.unionByName(true.join(gone, "tuple", "left_anti")), "labels")
+    # a labelled tuple is like an input: its own clauses no longer speak
+    open_ = clauses.join(known.select(F.col("tuple").alias("head")), "head", "left_anti")
+    fixed = dob.join(known, "tuple", "left").select("tuple", F.when(F.col("prior").isNotNull(), 0).otherwise(F.col("dob")).alias("dob"))
+    out = and_or(open_, fixed, p, known)
+    return out.unionByName(known.join(dob.where("dob > 0").select("tuple"), "tuple", "left_semi").select("tuple", F.col("prior").alias("p")))
+
+
+def carousel(clauses: DataFrame, dob: DataFrame, p: Column, alarms: DataFrame, steps: int) -> DataFrame:
+    """Asks for the likeliest unlabelled alarm, ``steps`` times, ranking anew after each answer.
+
+    ``alarms`` has ``tuple`` and ``truth``, the answers. Returns step, tuple, p and truth; a step reads one row.
+    """
+    spark = clauses.sparkSession
+    asked: list[tuple] = []
+    for step in range(steps):
+        labels = spark.createDataFrame([(t, v) for _, t, _, v in asked], "tuple string, value boolean")
+        scores = clamped(clauses, dob, p, labels)
+        best = alarms.join(scores, "tuple").join(labels, "tuple", "left_anti").orderBy(F.desc("p"), "tuple").first()
+        if best is None:
+            break
+        asked.append((step, best["tuple"], best["p"], best["truth"]))
+    return spark.createDataFrame(asked, "step int, tuple string, p double, truth boolean")
+
+
+def fit_rules(clauses: DataFrame, true: DataFrame, start: float = 0.5, most: float = 0.999, rounds: int = 200, tolerance: float = 1e-6) -> dict[str, float]:
+    """Rules' probabilities by expectation maximisation, from the true tuples of a complete observation.
+
+    A clause can fire only if its body is true; a true head was fired by some of its clauses (a head without
+    any that can fire says nothing), a false one by none. One aggregation for each round; a row a rule
+    reaches the driver.
+    """
+    known = true.select("tuple", F.lit(1).alias("t")).distinct()
+    lits = clauses.join(known.withColumnRenamed("tuple", "lit"), "lit", "left")
+    able = lits.groupBy("clause_id", "rule", "head").agg(F.min(F.when(F.col("lit").isNull(), 1).otherwise(F.coalesce("t", F.lit(0)))).alias("on")).where("on = 1")
+    able = materialise(able.join(known.withColumnRenamed("tuple", "head"), "head", "left").select("clause_id", "rule", "head", F.coalesce("t", F.lit(0)).alias("t")), "fires")
+    now = {r["rule"]: start for r in able.select("rule").distinct().collect()}
+    for _ in range(rounds):
+        table = F.create_map(*[F.lit(x) for kv in now.items() for x in kv])
+        rows = able.withColumn("p", table[F.col("rule")])
+        any_ = rows.groupBy("head").agg((1 - F.product(1 - F.col("p"))).alias("any"))
+        share = F.when(F.col("t") == 1, F.col("p") / F.greatest("any", F.lit(1e-12))).otherwise(0.0)
+        sums = rows.join(any_, "head").groupBy("rule").agg(F.avg(share).alias("p")).collect()
+        new = {r["rule"]: min(r["p"], most) for r in sums}
+        moved = max((abs(new[k] - now[k]) for k in new), default=0.0)
+        now = new
+        if moved <= tolerance:
+            break
+    return now

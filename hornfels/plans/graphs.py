@@ -171,3 +171,22 @@ def cycle_edges(spark: SparkSession, sf: str) -> DataFrame:
     e = partners(spark, sf)
     back = G.closure_by_doubling(e).select(F.col("v").alias("u"), F.col("u").alias("v"))
     return e.where("u = v").union(e.join(back, ["u", "v"], "left_semi")).distinct()
+
+
+COUNTED = "t(node, k) AS (SELECT DISTINCT u, 1 FROM e WHERE u NOT IN (SELECT v FROM e) UNION ALL SELECT e.v, 1 FROM t JOIN e ON t.node = e.u), c AS (SELECT node, count(*) AS paths FROM t GROUP BY node)"
+
+
+@query(f"WITH RECURSIVE {CHAIN}, {COUNTED}, x AS (SELECT e.u, e.v, paths, coalesce(sum(paths) OVER (PARTITION BY e.v ORDER BY e.u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM (SELECT DISTINCT u, v FROM e) e JOIN c ON c.node = e.u) SELECT u, v, first::BIGINT AS first, (first + paths)::BIGINT AS last FROM x")
+def path_numbering(spark: SparkSession, sf: str) -> DataFrame:
+    return G.path_ranges(turns(spark, sf))
+
+
+@query(f"WITH RECURSIVE {PARTNERS}, w(path) AS (SELECT DISTINCT [u] FROM e UNION SELECT list_append(path, v) FROM w JOIN e ON e.u = path[-1] WHERE len(path) <= 3 AND NOT list_contains(path, v)) SELECT array_to_string(path, '>') AS path FROM w WHERE len(path) > 1")
+def bounded_paths(spark: SparkSession, sf: str) -> DataFrame:
+    e = partners(spark, sf)
+    return G.simple_paths(e, e.select(F.col("u").alias("node")).distinct(), 3).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+@query(f"WITH RECURSIVE {PARTNERS}, w(path) AS (SELECT DISTINCT [u] FROM e UNION SELECT list_append(path, v) FROM w JOIN e ON e.u = path[-1] WHERE len(path) < 5 AND NOT list_contains(path, v) AND v > path[1]) SELECT array_to_string(path, '>') AS cycle FROM w JOIN e ON e.u = path[-1] AND e.v = path[1]")
+def simple_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    return G.simple_cycles(partners(spark, sf), 5).select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"))
