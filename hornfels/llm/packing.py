@@ -12,9 +12,11 @@ next, and no queue or window is ever gathered in one place.
 
 from __future__ import annotations
 
-import string
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,63 +34,68 @@ LENGTH, END_ID, SEED = 4096, 2, 29
 QUEUES, SHARED = 256, 64
 #: A quantum is a whole number of these parts of a token.
 PARTS = 16
-#: Entries of the caches of a Python worker and their longest word: a bound of its memory.
-WORDS, STEMS, LONG = 400_000, 300_000, 64
-MARKS = string.punctuation.replace("'", "")
-
-
-class WordEncoder:
-    """Ids of a vocabulary that drops white space, as little-endian 16-bit bytes, word by word.
-
-    The library encodes each word that is not in the cache. Marks around a word are pieces of their own, and
-    the vocabulary has lower case only, so words share the ids of their stems.
+#: Entries of the cache of a Python worker and their longest piece: a bound of its memory.
+PIECES, LONG = 400_000, 64
+#: What stands between pieces that are encoded together, and how many are.
+BETWEEN, JOINED = "\x01", 500
+#: Text that the vocabulary's normaliser only lower-cases, character by character: Latin letters, common marks and blanks.
+_EASY = re.compile("[\t\n\r -~\u00a1-\u012f\u0131-\u017f\u2010-\u2027\u20ac]*").fullmatch
+#: The vocabulary's own splitting rule on such text in lower case.
+_LETTERS, _NUMBERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+").findall
+
+
+class PieceEncoder:
+    """Ids of a vocabulary that drops white space, as little-endian 16-bit bytes, piece by piece.
+
+    The library encodes each piece that is not in the cache, and whole lines that hold other characters than
+    the splitting rule here is written for.
     """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-
-    def _library(self, words: list[str]) -> dict[str, bytes]:
-        found = self.library.encode_batch_fast(words, add_special_tokens=False)
-        return {w: np.array(e.ids, "<u2").tobytes() for w, e in zip(words, found, strict=True)}
-
-    @staticmethod
-    def _parts(word: str) -> tuple[str, ...]:
-        stem = word.strip(MARKS)
-        if not stem or "<|" in word or not all(c.isalnum() and c < "\u0250" and c != "\u0130" for c in (stem[0], stem[-1])):  # others can end in a mark once normalised
-            return (word,)
-        at = word.index(stem)
-        return (word[:at], stem.lower() if stem.isascii() else stem, word[at + len(stem) :])
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        parts = {w: self._parts(w) for w in words}
-        stems = self.stems
-        new = self._library(list({p for ps in parts.values() for p in ps if p not in stems}))
-        made = {w: b"".join([stems[p] if p in stems else new[p] for p in ps]) for w, ps in parts.items()}
-        stems.update([(p, x) for p, x in new.items() if len(p) <= LONG][: max(0, STEMS - len(stems))])
-        self.words.update([(w, x) for w, x in made.items() if len(w) <= LONG][: max(0, WORDS - len(self.words))])
+        self.pieces: dict[str, bytes] = {}
+        ids = self.library.encode(f" {BETWEEN} ", add_special_tokens=False).ids
+        if len(ids) != 1:
+            raise ValueError(f"{BETWEEN!r} has the ids {ids} in {path}")
+        self.between = ids[0]
+
+    def _encode(self, pieces: list[str]) -> dict[str, bytes]:
+        """The library's ids of each piece; pieces are encoded in long texts."""
+        texts = [f" {BETWEEN} ".join(pieces[k : k + JOINED]) + f" {BETWEEN}" for k in range(0, len(pieces), JOINED)]
+        made = {}
+        for k, e in enumerate(self.library.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = array("H", e.ids)
+            ends = np.flatnonzero(np.frombuffer(ids, np.uint16) == self.between).tolist()
+            for p, start, end in zip(pieces[k * JOINED : (k + 1) * JOINED], [0, *(x + 1 for x in ends[:-1])], ends, strict=True):
+                made[p] = ids[start:end].tobytes()
         return made
 
-    def forget(self) -> None:
-        """Empties the caches; workers live on after a task, and idle ones should be small."""
-        self.words.clear()
-        self.stems.clear()
-
     def ids_of(self, texts: list[str]) -> list[bytes]:
-        get = self.words.get
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        got = [list(map(get, words)) for words in split]
-        gaps = [(words, found) for words, found in zip(split, got, strict=True) if None in found]
-        new = self._learn({w for words, found in gaps for w, x in zip(words, found, strict=True) if x is None})
-        for words, found in gaps:
-            found[:] = [new[w] if x is None else x for w, x in zip(words, found, strict=True)]
-        return [b"".join(found) for found in got]
+        known = self.pieces
+        parts = [_SPLIT(t.lower()) if _EASY(t) and "<|" not in t else None for t in texts]
+        new = [p for p in set(chain.from_iterable(x for x in parts if x is not None)) if p not in known]
+        room = max(0, PIECES - len(known))
+        known.update(self._encode(new))
+        get = known.__getitem__
+        out = [b"".join(map(get, x)) if x is not None else b"" for x in parts]
+        for k, p in enumerate(new):
+            if k >= room or len(p) > LONG:
+                del known[p]
+        for k, t in enumerate(texts):
+            if parts[k] is None:
+                lines = t.split("\n")
+                hard = [x for x in lines if not _EASY(x) or "<|" in x]
+                found = dict(zip(hard, (array("H", e.ids).tobytes() for e in self.library.encode_batch_fast(hard, add_special_tokens=False)), strict=True))
+                easy = [x for x in lines if x not in found]
+                found.update(zip(easy, self.ids_of(easy), strict=True))
+                out[k] = b"".join(map(found.__getitem__, lines))
+        return out
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
 
 
 def with_ids(docs: DataFrame, path: str, text: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -97,11 +104,8 @@ def with_ids(docs: DataFrame, path: str, text: str = "text", end_id: int = END_I
 
     def work(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = encoder(path)
-        try:
-            for s in batches:
-                yield pd.Series([x + end for part in in_parts(s) for x in own.ids_of(part)], dtype=object)
-        finally:
-            own.forget()
+        for s in batches:
+            yield pd.Series([x + end for part in in_parts(s) for x in own.ids_of(part)], dtype=object)
 
     return docs.withColumn("ids", F.pandas_udf(work, "binary")(F.col(text))).drop(text)
 
