@@ -210,9 +210,9 @@ class PrefixCounter:
         return self.steps_of([text])[0]
 
     def forget(self) -> None:
-        """Empties the caches of units; workers live on after a task, and idle ones should be small."""
-        for known in (self.units, self.heads, self.marks, self.pairs):
-            known.clear()
+        """Empties the caches of units at the end of a task; which tokens stay beside which serves the worker's next task."""
+        self.units.clear()
+        self.heads.clear()
 
     def counts(self, text: str) -> np.ndarray:
         """Exact token counts of text[:1], text[:2], ..., text."""
