@@ -120,13 +120,17 @@ def _reduce(rows: DataFrame) -> DataFrame:
         part["share"], part["residual"] = x, (x > EPS) & (x < 1 - EPS)
         return part
 
-    return rows.groupBy("source_key", "class", "node").applyInPandas(work, _TREE)
+    key = ["source_key", "class", "node"]
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work: not to be coalesced
+    return rows.repartition(tasks, *key).groupBy(*key).applyInPandas(work, _TREE)
 
 
 def rounded(rows: DataFrame, buckets: int) -> DataFrame:
-    """``row`` and its whole ``share`` for all of ``rows`` (row, source_key, size, share, draw), sizes above 0."""
-    bits = max(0, buckets.bit_length() - 1)
-    node = F.shiftrightunsigned("draw", 64 - bits) if bits else F.lit(0)
+    """``row`` and its whole ``share`` for all of ``rows`` (row, source_key, size, share, draw, bits), sizes above 0.
+
+    A source's documents are dealt over 2^bits buckets, ``buckets`` at most.
+    """
+    node = F.when(F.col("bits") > 0, F.expr("shiftrightunsigned(draw, 64 - bits)")).otherwise(F.lit(0))
     level = rows.select("row", "source_key", F.floor(F.log2("size")).cast("int").alias("class"), node.cast("long").alias("node"), "size", "share", "draw", F.lit(True).alias("residual"))
     done, width = [], buckets
     while True:
@@ -158,17 +162,18 @@ def mix(docs: DataFrame, *keep: str, source: str = "source", text: str = "text",
     ident = F.xxhash64(F.lit(seed), *keep, F.coalesce(F.col(text), F.lit("")), source)
     rows = docs.select(*keep, F.col(source).alias("_source"), key_of(source).alias("source_key"), words.alias("size"), ident.alias("draw"))
     rows = materialise(rows, "sizes")
-    sizes = rows.groupBy("source_key").agg(F.sum("size").cast("long").alias("source_size"))
+    sizes = rows.groupBy("source_key").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("source_rows"))
     # 's...' sorts by code point; 'n' stands for null and must come last
     targets = allot(sizes.withColumn("source_key", F.regexp_replace("source_key", "^n$", "t")), weights, most).withColumn("source_key", F.regexp_replace("source_key", "^t$", "n"))
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.join(targets.select("source_key", "source_size", "target", share.alias("times")), "source_key")
+    rows = rows.join(targets.select("source_key", "source_size", "target", "source_rows", share.alias("times")), "source_key")
     twins = Window.partitionBy("draw").orderBy(*[F.col(f"`{k}`") for k in keep], "size")
     rows = rows.withColumn("_twin", F.row_number().over(twins)).withColumn("row", F.xxhash64("draw", "_twin"))
     whole = F.floor(F.col("times") + EPS)
     rows = materialise(rows.withColumn("whole", whole.cast("int")).withColumn("share", F.greatest(F.col("times") - whole, F.lit(0.0))), "shares")
-    open_ = rows.where((F.col("size") > 0) & (F.col("share") > EPS)).select("row", "source_key", "size", "share", F.xxhash64("row", F.lit(seed)).alias("draw"))
-    buckets = 1 << max(0, (-(-rows.count() // BUCKET_ROWS) - 1).bit_length())
+    bits = F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("source_rows") / BUCKET_ROWS)))
+    open_ = rows.where((F.col("size") > 0) & (F.col("share") > EPS)).select("row", "source_key", "size", "share", F.xxhash64("row", F.lit(seed)).alias("draw"), bits.cast("int").alias("bits"))
+    buckets = 1 << (open_.agg(F.max("bits")).first()[0] or 0)
     extra = rounded(open_, buckets).withColumnRenamed("share", "extra")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce(F.round("extra").cast("int"), F.lit(0))).otherwise(0)
     return rows.join(extra, "row", "left").select(*keep, "size", "source_size", "target", copies.alias("copies"))
