@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hornfels.llm import resemblance
 from hornfels.llm.common import read_table
 from hornfels.operators.components import components
 from hornfels.storage import materialise
@@ -93,14 +94,15 @@ def near_duplicates(docs: DataFrame, *keep: str, text: str = "text", shingle: in
     return rows.join(roots, "fp", "left").select(*keep, "fp", F.coalesce("root", "fp").alias("root"))
 
 
-def representatives(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+def representatives(docs: DataFrame, shingle: int = resemblance.SHINGLE, similar: tuple[int, int] = resemblance.SIMILAR) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the least doc_id (null last).
 
+    Groups are linked by the similarity of their word shingles, not by fingerprints, whose bits tell little of it.
     Ties of doc_id go by the text's hash, then source and language; equal rows leave one.
     """
     sep = [F.xxhash64("doc_id", F.isnull("doc_id")).alias("_k1"), F.xxhash64("text", "source", "lang", F.isnull("text")).alias("_k2")]
     keyed = docs.select("*", *sep)
-    found = near_duplicates(keyed, "doc_id", "_k1", "_k2", shingle=shingle, max_bits=max_bits)
+    found = resemblance.resembling(keyed, "doc_id", "_k1", "_k2", shingle=shingle, similar=similar)
     best = found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("late"), "doc_id", "_k2", "_k1")).alias("best")).select("best._k1", "best._k2")
     once = Window.partitionBy("_k1", "_k2").orderBy(F.lit(0))
     left = keyed.join(best.distinct(), ["_k1", "_k2"], "left_semi").withColumn("_n", F.row_number().over(once))
