@@ -13,6 +13,7 @@ import json
 import math
 import re
 import string
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -45,7 +46,13 @@ _ISSUED = re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(f"(?P<{k}>{v})" for k, v
 _ISSUED_HINT = re.compile("AKIA|ASIA|gh[pousr]_|xox|AIza|k_live_|eyJ")
 _ASSIGNED = re.compile(rf"(?i)(?:{NAMES})[\"']?\s{{0,8}}[:=]\s{{0,8}}[\"']?([^\s\"']{{6,}})")
 _ASSIGNED_HINT = re.compile("(?i)pass|pwd|secret|token|key|credential|auth")
-_BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.S)
+_BEGIN, _END = "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----END [A-Z ]*PRIVATE KEY-----"
+#: A key block, to its END line before another BEGIN line, or without one to its last base64 line.
+_BLOCK = re.compile(
+    rf"{_BEGIN}(?:(?:(?!-----BEGIN ).)*?{_END}|(?:\s+(?:Proc-Type|DEK-Info): [^\n]*)*"
+    r"(?:(?:(?:[ \t]*\r?\n\s{0,8}|(?:\\[nr])+)[A-Za-z0-9+/]{16,}|[ \t]{1,8}[A-Za-z0-9+/]{40,})={0,2}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/]{1,15}={0,2}(?=[ \t]*(?:\r?\n|\Z)))?)*)",
+    re.S,
+)
 _LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}")
 _KINDS = str.maketrans(string.ascii_lowercase + string.ascii_uppercase + string.digits, "a" * 26 + "A" * 26 + "0" * 10)
 
@@ -57,8 +64,12 @@ class Candidate:
     kind: str
 
 
+#: Of findings in the same characters the first kind is named; issuers' kinds are 1.
+ORDER = {"private_key": 0, "assigned": 2, "mixed": 3}
+
+
 def candidates(text: str) -> list[Candidate]:
-    """Disjoint spans in order; of spans that overlap the first kind of the list above wins."""
+    """All spans that a pattern proposes, by start and kind; they may overlap."""
     found: list[Candidate] = []
     if "PRIVATE KEY-----" in text:
         found += [Candidate(*m.span(), "private_key") for m in _BLOCK.finditer(text)]
@@ -67,17 +78,33 @@ def candidates(text: str) -> list[Candidate]:
     if _ASSIGNED_HINT.search(text):
         found += [Candidate(m.start(1), m.start(1) + len(m[1].rstrip(".,;:)]}")), "assigned") for m in _ASSIGNED.finditer(text)]
     found += [Candidate(*m.span(), "mixed") for m in _LONG.finditer(text)]
-    taken: list[Candidate] = []
-    order = {"private_key": 0, "assigned": 2, "mixed": 3}
-    ends: list[int] = []
-    for c in sorted(found, key=lambda c: (c.start, order.get(c.kind, 1))):
-        if ends and c.start < ends[-1]:
-            if order.get(c.kind, 1) < order.get(taken[-1].kind, 1):
-                taken[-1], ends[-1] = c, max(ends[-1], c.end)
+    return sorted(found, key=lambda c: (c.start, ORDER.get(c.kind, 1)))
+
+
+def resolved(scored: list[tuple[Candidate, float]], limit: float) -> list[tuple[Candidate, float]]:
+    """By start, the judged candidates but those whose characters all lie in others: accepted ones go first, then by kind and length."""
+    kept: list[tuple[Candidate, float]] = []
+    spans: list[tuple[int, int]] = []  # of the kept ones, disjoint and in order
+    for c, score in sorted(scored, key=lambda x: (x[1] < limit, ORDER.get(x[0].kind, 1), x[0].start - x[0].end, x[0].start)):
+        low = bisect_left(spans, c.start, key=lambda x: x[1])  # the first that ends at the start or later
+        high = bisect_right(spans, c.end, key=lambda x: x[0])
+        if c.start == c.end or any(a <= c.start and c.end <= b for a, b in spans[low:high]):
             continue
-        taken.append(c)
-        ends.append(c.end)
-    return taken
+        kept.append((c, score))
+        spans[low:high] = [(min([c.start, *(a for a, _ in spans[low:high])]), max([c.end, *(b for _, b in spans[low:high])]))]
+    return sorted(kept, key=lambda x: (x[0].start, ORDER.get(x[0].kind, 1)))
+
+
+def merged(found: list[tuple[Candidate, float]], limit: float) -> list[Candidate]:
+    """Disjoint spans of the accepted candidates; spans that overlap are one, of the first kind of theirs."""
+    out: list[Candidate] = []
+    for c in (c for c, score in found if score >= limit):
+        if out and c.start < out[-1].end:
+            kind = min(out[-1].kind, c.kind, key=lambda k: ORDER.get(k, 1))
+            out[-1] = Candidate(out[-1].start, max(out[-1].end, c.end), kind)
+        else:
+            out.append(c)
+    return out
 
 
 @lru_cache(maxsize=1)
@@ -95,7 +122,7 @@ def dictionary(path: str) -> tuple[frozenset[str], np.ndarray]:
 
 def coverage(text: str, words: frozenset[str]) -> float:
     """Share of characters in dictionary words, found from the left, longest first."""
-    low, at, covered = text.lower()[:4096], 0, 0
+    low, at, covered = text.lower(), 0, 0
     while at < len(low):
         for n in range(min(14, len(low) - at), 3, -1):
             if low[at : at + n] in words:
@@ -140,6 +167,18 @@ def _words(rng: np.random.Generator, n: int) -> str:
     return " ".join("".join(rng.choice(ends, rng.integers(1, 4))) for _ in range(n))
 
 
+def _block(rng: np.random.Generator, label: int) -> str:
+    """A key block, closed or cut off, or one without a key."""
+    name = str(rng.choice(["", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "])) + "PRIVATE KEY-----"
+    begin, end = f"-----BEGIN {name}", f"-----END {name}"
+    if label:
+        body = _random(rng, string.ascii_letters + string.digits + "+/", int(rng.integers(120, 2400)))
+        lines = [body[k : k + 64] for k in range(0, len(body) - 15, 64)]
+        return "\n".join([begin, *lines, *([end] if rng.random() < 0.6 else [])])
+    body = str(rng.choice(["", "...", "<your key here>", "example", "REDACTED", "base64 encoded data", "xxxxxxxxxxxxxxxx"]))
+    return begin if rng.random() < 0.5 else f"{begin}\n{body}\n{end}"
+
+
 def _random(rng: np.random.Generator, alphabet: str, n: int) -> str:
     return "".join(rng.choice(list(alphabet), n))
 
@@ -153,8 +192,10 @@ def example(rng: np.random.Generator) -> tuple[str, str, int, int, int]:
     label = int(rng.random() < 0.5)
     clean, marked = "src/app/config.py", "tests/fixtures/example.md"
     path = str(rng.choice([clean, marked, "src0", "src7", "", "deploy/.env"], p=[0.25, 0.05, 0.3, 0.3, 0.05, 0.05] if label else [0.2, 0.2, 0.25, 0.25, 0.05, 0.05]))
-    kind = int(rng.integers(0, 5))
-    if label:
+    kind = int(rng.integers(0, 6))
+    if kind == 5:
+        lead, value = "", _block(rng, label)
+    elif label:
         if kind == 0:
             lead, value = "", "AKIA" + _random(rng, string.ascii_uppercase + string.digits, 16)
         elif kind == 1:
@@ -222,7 +263,7 @@ _FOUND = "kind string, start long, length long, secret string, score double, is_
 
 
 def scan(docs: DataFrame, forest: list[np.ndarray], vocabulary: str, *keep: str, text: str = "text", path: str | None = "source", limit: float = LIMIT) -> DataFrame:
-    """The ``keep`` columns and a row for each candidate in the whole texts, with the forest's score and verdict.
+    """The ``keep`` columns and a row for each of the ``resolved`` candidates in the whole texts, with the forest's score and verdict.
 
     Null and empty texts have none, repeated rows have theirs each; ``start`` counts characters from 0.
     """
@@ -231,7 +272,7 @@ def scan(docs: DataFrame, forest: list[np.ndarray], vocabulary: str, *keep: str,
         for b in batches:
             which, out = [], []
             for k, (t, p) in enumerate(zip(b["_text"], b["_path"], strict=True)):
-                for c, score in judged(t or "", p or "", forest, vocabulary):
+                for c, score in resolved(judged(t or "", p or "", forest, vocabulary), limit):
                     which.append(k)
                     out.append((c.kind, c.start, c.end - c.start, t[c.start : c.end], score, score >= limit))
             yield pd.concat([b[list(keep)].iloc[which].reset_index(drop=True), pd.DataFrame(out, columns=[x.split()[0] for x in _FOUND.split(", ")])], axis=1)
@@ -248,10 +289,9 @@ def redact(docs: DataFrame, forest: list[np.ndarray], vocabulary: str, text: str
         if not t:
             return t
         out, at = [], 0
-        for c, score in judged(t, p or "", forest, vocabulary):
-            if score >= limit:
-                out += [t[at : c.start], f"[{c.kind}]"]
-                at = c.end
+        for c in merged(judged(t, p or "", forest, vocabulary), limit):
+            out += [t[at : c.start], f"[{c.kind}]"]
+            at = c.end
         return "".join([*out, t[at:]]) if out else t
 
     of = F.pandas_udf(lambda s, p: pd.Series([clean(a, b) for a, b in zip(s, p, strict=True)]), "string")
