@@ -30,10 +30,12 @@ from hornfels.llm.token_counts import in_parts
 from hornfels.storage import materialise
 
 LENGTH, END_ID, SEED = 4096, 2, 29
-#: Sources with a queue of their own, largest first, and queues that the others share by hash.
+#: Sources with a queue of their own, largest first, and queues that the others share by hash, in a round-robin of each one's own.
 QUEUES, SHARED = 256, 64
 #: A quantum is a whole number of these parts of a token.
 PARTS = 16
+#: The same between the sources of a shared queue, whose rounds are of one token.
+FINE = 24
 #: Entries of the cache of a Python worker and their longest piece: a bound of its memory.
 PIECES, LONG = 400_000, 64
 #: What stands between pieces that are encoded together, and how many are.
@@ -113,32 +115,39 @@ def with_ids(docs: DataFrame, path: str, text: str = "text", end_id: int = END_I
 class RoundRobin:
     """Deficit round-robin over queues of known totals (in their order), with weights that say the proportions."""
 
-    def __init__(self, totals: list[int], weights: list[float] | None = None, length: int = LENGTH):
+    def __init__(self, totals: list[int], weights: list[float] | None = None, length: int = LENGTH, parts: int = PARTS):
+        self.parts = parts
         self.totals = np.array(totals, np.int64)
         w = np.array(totals if weights is None else weights, float)
         share = w / max(w.sum(), 1e-300)
-        self.quantum = np.maximum(1, np.ceil(share * (length << PARTS))).astype(np.int64)
+        self.quantum = np.maximum(1, np.ceil(share * (length << parts))).astype(np.int64)
         self.length = length
 
     def sent(self, rounds: np.ndarray) -> np.ndarray:
         """Tokens that each queue has sent before each of ``rounds``; (rounds, queues)."""
-        return np.minimum(self.totals, (rounds[:, None] * self.quantum) >> PARTS)
+        return np.minimum(self.totals, (rounds[:, None] * self.quantum) >> self.parts)
 
     def deficit(self, rounds: np.ndarray) -> np.ndarray:
         """What each queue that is not empty carries into each round, in tokens; always below one."""
         due = rounds[:, None] * self.quantum
-        return np.where(due >> PARTS < self.totals, (due & ((1 << PARTS) - 1)) / (1 << PARTS), 0.0)
+        return np.where(due >> self.parts < self.totals, (due & ((1 << self.parts) - 1)) / (1 << self.parts), 0.0)
 
     def pieces(self, queue: int, start: int, tokens: int) -> Iterator[tuple[int, int, int]]:
         """(first token, tokens, place in the stream) of the pieces of a queue's tokens [start, start + tokens)."""
         q = int(self.quantum[queue])
-        first, last = (((start + 1) << PARTS) - 1) // q, (((start + tokens) << PARTS) - 1) // q
+        first, last = (((start + 1) << self.parts) - 1) // q, (((start + tokens) << self.parts) - 1) // q
         at, end = start, start + tokens
-        for block in range(first, last + 1, 4096):
-            sent = self.sent(np.arange(block, min(block + 4096, last + 1) + 1))
-            before = sent[1:, :queue].sum(1) + sent[:-1, queue:].sum(1) - sent[:-1, queue]
+        step = max(1, min(4096, (1 << 20) // len(self.totals)))
+        if q >= 1 << self.parts:
+            rounds = range(first, last + 1)
+        else:  # only those in which the queue sends a token
+            rounds = ((np.arange(start + 1, end + 1) << self.parts) - 1) // q
+        for block in range(0, len(rounds), step):
+            of = np.asarray(rounds[block : block + step], np.int64)
+            then, sent = self.sent(of), self.sent(of + 1)
+            before = sent[:, :queue].sum(1) + then[:, queue + 1 :].sum(1)
             for k, base in enumerate(before.tolist()):
-                stop = min(end, int(sent[k + 1, queue]))
+                stop = min(end, int(sent[k, queue]))
                 while at < stop:
                     place = base + at
                     n = min(stop - at, self.length - place % self.length)
@@ -163,33 +172,62 @@ def pack(docs: DataFrame, *keep: str, path: str, source: str = "source", text: s
     tokens = materialise(tokens, "tokens")
     sizes = tokens.select(*keep, "_row", "_queue", (F.octet_length("ids") / 2).cast("long").alias("n"))
     large = [r[0] for r in sizes.groupBy("_queue").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "_queue").limit(QUEUES).collect()]
-    queue: Column = F.when(F.col("_queue").isin(large), F.col("_queue")).otherwise(F.concat(F.lit("o"), F.pmod(F.xxhash64("_queue"), F.lit(SHARED)).cast("string")))
     buckets = n_buckets(sizes.count())
-    sizes = sizes.withColumn("_queue", queue).withColumn("_hash", F.xxhash64(F.lit(seed), *[F.col(f"`{k}`") for k in keep]))
+    sizes = sizes.withColumn("_hash", F.xxhash64(F.lit(seed), *[F.col(f"`{k}`") for k in keep]))
     sizes = sizes.withColumn("_bucket", hash_bucket(F.col("_hash"), buckets))
     sums = materialise(sizes.groupBy("_queue", "_bucket").agg(F.sum("n").alias("n")), "queues")
-    totals = {r["_queue"]: r["n"] for r in sums.groupBy("_queue").agg(F.sum("n").alias("n")).collect()}  # QUEUES + SHARED rows at most
-    names = sorted(totals)
-    robin = RoundRobin([totals[q] for q in names], [weights.get(q, 0.0) for q in names] if weights else None, length)
+    own = F.col("_queue").isin(large)
+    shared: Column = F.when(~own, F.concat(F.lit("o"), F.pmod(F.xxhash64("_queue"), F.lit(SHARED)).cast("string")))
+    weight = F.udf(lambda q: float(weights.get(q, 0.0)), "double")("_queue") if weights else F.col("n").cast("double")
+    sources = sums.groupBy("_queue").agg(F.sum("n").alias("n")).select("_queue", shared.alias("_shared"), "n", weight.alias("w"))
+    sources = materialise(sources, "sources")
+    top = sources.groupBy(F.coalesce("_shared", "_queue").alias("q")).agg(F.sum("n").alias("n"), F.sum("w").alias("w")).collect()  # QUEUES + SHARED rows at most
+    top = {r["q"]: r for r in top}
+    names = sorted(top)
+    robin = RoundRobin([top[q]["n"] for q in names], [top[q]["w"] for q in names] if weights else None, length)
     number = {q: k for k, q in enumerate(names)}
+    # a shared queue's sources in order, beside each of them
+    listed = sources.where("_shared is not null").groupBy("_shared").agg(F.sort_array(F.collect_list(F.struct("_queue", "n", "w"))).alias("l"))
+    inner = sources.join(listed, "_shared", "left").select("_queue", "_shared", (F.array_position("l._queue", F.col("_queue")) - 1).alias("_k"), F.col("l.n").alias("_totals"), F.col("l.w").alias("_weights"))
     within = Window.partitionBy("_queue", "_bucket").orderBy("_hash", "n", "_row").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_own", F.coalesce(F.sum("n").over(within), F.lit(0))).join(bucket_bases(sums, ["_queue"], "_bucket", "n", buckets), ["_queue", "_bucket"])
-    offsets = offsets.select("_row", "_queue", (F.col("_own") + F.col("base")).alias("_at"))
-    placed = tokens.drop("_queue").join(offsets.hint("shuffle_hash"), "_row")
+    offsets = offsets.select("_row", (F.col("_own") + F.col("base")).alias("_at"))
+    placed = tokens.join(offsets.hint("shuffle_hash"), "_row").join(F.broadcast(inner), "_queue")
+
+    def spread(name: str, at: int, n: int, second: RoundRobin | None, k: int) -> Iterator[tuple[int, int, int]]:
+        if second is None:
+            yield from robin.pieces(number[name], at, n)
+            return
+        last: tuple[int, int, int] | None = None
+        for start, m, there in second.pieces(k, at, n):
+            for begin, size, place in robin.pieces(number[name], there, m):
+                if last and last[2] + last[1] == place and place % length:
+                    last = (last[0], last[1] + size, last[2])
+                    continue
+                if last:
+                    yield last
+                last = (start + begin, size, place)
+        if last:
+            yield last
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seconds: dict[str, RoundRobin] = {}
         for b in batches:
             out, which = [], []
-            for k, (name, at, ids) in enumerate(zip(b["_queue"], b["_at"], b["ids"], strict=True)):
+            for k, (name, tail, at, ids, i, totals, shares) in enumerate(zip(*[b[c] for c in ("_queue", "_shared", "_at", "ids", "_k", "_totals", "_weights")], strict=True)):
                 wide = np.frombuffer(ids, "<u2").astype("<u4")
-                for start, n, place in robin.pieces(number[name], int(at), len(wide)):
+                tail = tail if isinstance(tail, str) else None
+                if tail is not None and tail not in seconds:
+                    seconds[tail] = RoundRobin(list(totals), list(shares), 1, FINE)
+                second = None if tail is None else seconds[tail]
+                for start, n, place in spread(tail or name, int(at), len(wide), second, 0 if tail is None else int(i)):
                     out.append((start, n, crc(wide[start : start + n].tobytes()), len(wide), place // length, place % length))
                     which.append(k)
             pieces = pd.DataFrame(out, columns=["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"], dtype="int64")
             yield pd.concat([b[list(keep)].iloc[which].reset_index(drop=True), pieces], axis=1)
 
     kept = ", ".join(f"`{k}` {tokens.schema[k].dataType.simpleString()}" for k in keep)
-    return placed.select(*keep, "_queue", "_at", "ids").mapInPandas(cut, f"{kept}, {_PIECES}")
+    return placed.select(*keep, "_queue", "_shared", "_at", "ids", "_k", "_totals", "_weights").mapInPandas(cut, f"{kept}, {_PIECES}")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
