@@ -188,11 +188,13 @@ def pack(docs: DataFrame, *keep: str, path: str, source: str = "source", text: s
     number = {q: k for k, q in enumerate(names)}
     # a shared queue's sources in order, beside each of them
     listed = sources.where("_shared is not null").groupBy("_shared").agg(F.sort_array(F.collect_list(F.struct("_queue", "n", "w"))).alias("l"))
-    inner = sources.join(listed, "_shared", "left").select("_queue", "_shared", (F.array_position("l._queue", F.col("_queue")) - 1).alias("_k"), F.col("l.n").alias("_totals"), F.col("l.w").alias("_weights"))
+    own = listed.select(F.posexplode("l._queue").alias("_k", "_queue"))
+    inner = sources.select("_queue", "_shared").join(own, "_queue", "left")
+    lists = listed.select("_shared", F.col("l.n").alias("_totals"), F.col("l.w").alias("_weights"))
     within = Window.partitionBy("_queue", "_bucket").orderBy("_hash", "n", "_row").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_own", F.coalesce(F.sum("n").over(within), F.lit(0))).join(bucket_bases(sums, ["_queue"], "_bucket", "n", buckets), ["_queue", "_bucket"])
     offsets = offsets.select("_row", (F.col("_own") + F.col("base")).alias("_at"))
-    placed = tokens.join(offsets.hint("shuffle_hash"), "_row").join(F.broadcast(inner), "_queue")
+    placed = tokens.join(offsets.hint("shuffle_hash"), "_row").join(inner, "_queue").join(lists, "_shared", "left")
 
     def spread(name: str, at: int, n: int, second: RoundRobin | None, k: int) -> Iterator[tuple[int, int, int]]:
         if second is None:
