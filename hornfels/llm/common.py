@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -56,11 +58,38 @@ def crc_of_id(column: Column) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Lowers the session's rows an Arrow batch: a Python worker holds a batch of whole texts several times over."""
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Fewer rows an Arrow batch for what is run inside: a Python worker holds a batch of whole texts several times over."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def free_names(taken: Iterable[str], *names: str) -> list[str]:
+    """``names`` for new columns: each with underscores behind it until it is none of ``taken``, whatever the case."""
+    known, out = {t.lower() for t in taken}, []
+    for n in names:
+        while n.lower() in known:
+            n += "_"
+        known.add(n.lower())
+        out.append(n)
+    return out
+
+
+def stashed(keep: Iterable[str]) -> list[Column]:
+    """The columns to ``keep`` under names that an operator's own do not clash with."""
+    return [F.col(f"`{k}`").alias(f"_keep{i}") for i, k in enumerate(keep)]
+
+
+def restored(rows: DataFrame, keep: tuple[str, ...], *outputs: str) -> DataFrame:
+    """The stashed columns under their own names, and ``outputs``, renamed by ``free_names`` where they clash."""
+    own = [F.col(f"_keep{i}").alias(k) for i, k in enumerate(keep)]
+    return rows.select(*own, *[F.col(o).alias(n) for o, n in zip(outputs, free_names(keep, *outputs), strict=True)])
 
 
 def crc(data: bytes) -> int:

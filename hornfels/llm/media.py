@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hornfels.llm import jpeg
-from hornfels.llm.common import crc, read_table
+from hornfels.llm.common import crc, free_names, read_table
 
 #: Bytes that a unit of the payload has, and the byte that fills it up.
 UNIT, FILL = 192, b"\x20"
 BIAS, BATCH = 96, 1_500_000
+#: Pixels of the largest image that ``tensors`` decodes by default: a header of a few bytes can claim 2^32.
+PIXELS = 1 << 27
 
 
 def payload(data: bytes) -> bytes:
@@ -68,28 +70,74 @@ def batches_of(sizes: list[int], most: int = BATCH) -> Iterator[slice]:
 
 
 def with_media(docs: DataFrame, column: str = "media", text: str = "text") -> DataFrame:
-    """``docs`` with a file of each whole text; null text counts as empty and has a file of one unit."""
+    """``docs`` with a file of each whole text in ``column``; null text counts as empty and has a file of one unit.
+
+    The new column has underscores behind its name where ``docs`` has it.
+    """
 
     def write(texts: pd.Series) -> pd.Series:
         data = [payload((t or "").encode("utf-8")) for t in texts]
         return pd.Series([f for s in batches_of(list(map(len, data))) for f in write_files(data[s])], dtype=object)
 
-    return docs.withColumn(column, F.pandas_udf(write, "binary")(F.col(text)))
+    return docs.withColumn(*free_names(docs.columns, column), F.pandas_udf(write, "binary")(F.col(text)))
+
+
+def readable(files: list[bytes | None], payloads: bool, most: int | None = None) -> Iterator[tuple[bytes, np.ndarray] | str | None]:
+    """What ``read_files`` gives of each file, or why it can't be read; null of null. One bad file spoils no other."""
+    sound: list[bytes] = []
+    problems: list[str | None] = []
+    for f in files:
+        problems.append(None if f is None else "")
+        if f is not None:
+            try:
+                image = jpeg.parse(f)
+                if not image.components or not image.width * image.height:
+                    raise ValueError("no image")
+                if most is not None and image.width * image.height > most:
+                    raise ValueError(f"{image.width * image.height} pixels")
+                sound.append(f)
+            except (ValueError, IndexError, KeyError, TypeError, ZeroDivisionError) as e:
+                problems[-1] = f"{type(e).__name__}: {e}"
+    try:
+        done: Iterator = iter(list(read_files(sound, payloads))) if sound else iter(())
+    except (ValueError, IndexError, KeyError, TypeError, AttributeError):
+        done = (_alone(f, payloads) for f in sound)
+    for p in problems:
+        yield next(done) if p == "" else p
+
+
+def _alone(file: bytes, payloads: bool) -> tuple[bytes, np.ndarray] | str:
+    try:
+        return next(read_files([file], payloads))
+    except (ValueError, IndexError, KeyError, TypeError, AttributeError) as e:
+        return f"{type(e).__name__}: {e}"
+
+
+def _with_read(media: DataFrame, column: str, made: str, of: Callable[[bytes, tuple[bytes, np.ndarray]], tuple], payloads: bool, most: int | None, drop: bool) -> DataFrame:
+    """``media`` with the columns ``made`` of each file and ``problem``, which says why they are null."""
+    names = [c.split()[0] for c in made.split(", ")]
 
+    def read(files: pd.Series) -> pd.DataFrame:
+        rows: list[tuple] = []
+        for s in batches_of([len(f) if f is not None else 0 for f in files]):
+            own = [bytes(f) if f is not None else None for f in files.iloc[s]]
+            for f, x in zip(own, readable(own, payloads, most), strict=True):
+                rows.append((*of(f, x), None) if isinstance(x, tuple) else (*[None] * len(names), x))
+        out = pd.DataFrame(rows, columns=[*names, "problem"], dtype=object)
+        return out.astype({c.split()[0]: "Int64" if c.endswith("long") else "Int32" for c in made.split(", ") if c.endswith((" long", " int"))})
 
-def tensors(media: DataFrame, column: str = "media") -> DataFrame:
-    """``media`` with height, width and tensor (height x width x 3 bytes) of each file; a null file has nulls."""
+    left = [c for c in media.columns if not drop or c != column]
+    out = media.select(*[F.col(f"`{c}`") for c in left], F.pandas_udf(read, f"{made}, problem string")(F.col(column)).alias("_read of files"))
+    return out.select(*[F.col(f"`{c}`") for c in left], *[F.col(f"`_read of files`.{n}").alias(m) for n, m in zip([*names, "problem"], free_names(left, *names, "problem"), strict=True)])
 
-    def read(files: pd.Series) -> pd.DataFrame:
-        out = [(None, None, None)] * len(files)
-        there = [k for k, f in enumerate(files) if f is not None]
-        for s in batches_of([len(files.iloc[k]) for k in there]):
-            for k, (_, x) in zip(there[s], read_files([bytes(files.iloc[k]) for k in there[s]], False), strict=True):
-                out[k] = (x.shape[0], x.shape[1], x.tobytes())
-        return pd.DataFrame(out, columns=["height", "width", "tensor"]).astype({"height": "Int32", "width": "Int32"})
 
-    udf = F.pandas_udf(read, "height int, width int, tensor binary")
-    return media.withColumn("_read", udf(F.col(column))).select(*media.columns, "_read.*")
+def tensors(media: DataFrame, column: str = "media", most: int = PIXELS) -> DataFrame:
+    """``media`` with height, width and tensor (height x width x 3 bytes) of each file.
+
+    A null file has nulls; so has one that is malformed, cut off, not progressive or above ``most`` pixels, and
+    ``problem`` says why. New columns have underscores behind their names where ``media`` has them.
+    """
+    return _with_read(media, column, "height int, width int, tensor binary", lambda _, x: (x[1].shape[0], x[1].shape[1], x[1].tobytes()), False, most, False)
 
 
 def feature(x: np.ndarray) -> str:
@@ -102,18 +150,13 @@ _DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_byt
 
 
 def digests(media: DataFrame, column: str = "media") -> DataFrame:
-    """What op3 reports, all from the stored bytes; other columns of ``media`` stay."""
+    """What op3 reports, all from the stored bytes; other columns of ``media`` stay, nulls and problems as in ``tensors``."""
 
-    def read(files: pd.Series) -> pd.DataFrame:
-        rows = []
-        for s in batches_of(list(map(len, files))):
-            own = [bytes(f) for f in files.iloc[s]]
-            for f, (p, x) in zip(own, read_files(own), strict=True):
-                rows.append((len(p), hashlib.sha256(p).hexdigest(), crc(p[-16:]), len(f), hashlib.sha256(f).hexdigest(), feature(x)))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in _DIGEST.split(", ")])
-
-    out = media.withColumn("_read", F.pandas_udf(read, _DIGEST)(F.col(column)))
-    return out.select(*[c for c in media.columns if c != column], "_read.*")
+    def of(f: bytes, x: tuple[bytes, np.ndarray]) -> tuple:
+        stored, tensor = x
+        return len(stored), hashlib.sha256(stored).hexdigest(), crc(stored[-16:]), len(f), hashlib.sha256(f).hexdigest(), feature(tensor)
+
+    return _with_read(media, column, _DIGEST, of, True, None, True)
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

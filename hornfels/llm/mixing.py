@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hornfels.llm.common import WORD, key_of, read_table
+from hornfels.llm.common import WORD, key_of, read_table, restored, stashed
 from hornfels.storage import materialise
 
 #: Fixed values of the mix: weights by the sources' order, repeating, and times a source may be repeated.
@@ -49,6 +49,8 @@ def allot(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
         if now <= level:
             break
         level = now
+    else:
+        raise RuntimeError(f"the caps did not settle in {rounds} rounds")
     return table.withColumn("target", F.least(cap.cast("double"), F.lit(float(level)) * F.col("weight")))
 
 
@@ -157,17 +159,18 @@ def mix(docs: DataFrame, *keep: str, source: str = "source", text: str = "text",
 
     The targets share the words of all sources (sorted by code point, null last) by ``weights``. Equal rows
     have the same hash and are interchangeable; reruns agree. Rows without words (null, empty) get 0 copies.
+    A new column has underscores behind its name where ``keep`` has it; an empty table gives an empty result.
     """
     words = F.size(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
-    ident = F.xxhash64(F.lit(seed), *keep, F.coalesce(F.col(text), F.lit("")), source)
-    rows = docs.select(*keep, F.col(source).alias("_source"), key_of(source).alias("source_key"), words.alias("size"), ident.alias("draw"))
+    ident = F.xxhash64(F.lit(seed), *[F.col(f"`{k}`") for k in keep], F.coalesce(F.col(text), F.lit("")), F.col(source))
+    rows = docs.select(*stashed(keep), key_of(source).alias("source_key"), words.alias("size"), ident.alias("draw"))
     rows = materialise(rows, "sizes")
     sizes = rows.groupBy("source_key").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("source_rows"))
     # 's...' sorts by code point; 'n' stands for null and must come last
     targets = allot(sizes.withColumn("source_key", F.regexp_replace("source_key", "^n$", "t")), weights, most).withColumn("source_key", F.regexp_replace("source_key", "^t$", "n"))
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.join(targets.select("source_key", "source_size", "target", "source_rows", share.alias("times")), "source_key")
-    twins = Window.partitionBy("draw").orderBy(*[F.col(f"`{k}`") for k in keep], "size")
+    twins = Window.partitionBy("draw").orderBy(*[f"_keep{i}" for i in range(len(keep))], "size")
     rows = rows.withColumn("_twin", F.row_number().over(twins)).withColumn("row", F.xxhash64("draw", "_twin"))
     whole = F.floor(F.col("times") + EPS)
     rows = materialise(rows.withColumn("whole", whole.cast("int")).withColumn("share", F.greatest(F.col("times") - whole, F.lit(0.0))), "shares")
@@ -176,7 +179,7 @@ def mix(docs: DataFrame, *keep: str, source: str = "source", text: str = "text",
     buckets = 1 << (open_.agg(F.max("bits")).first()[0] or 0)
     extra = rounded(open_, buckets).withColumnRenamed("share", "extra")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce(F.round("extra").cast("int"), F.lit(0))).otherwise(0)
-    return rows.join(extra, "row", "left").select(*keep, "size", "source_size", "target", copies.alias("copies"))
+    return restored(rows.join(extra, "row", "left").withColumn("copies", copies), keep, "size", "source_size", "target", "copies")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

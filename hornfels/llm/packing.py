@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from hornfels.llm.common import bucket_bases, crc, hash_bucket, key_of, n_buckets, read_table, small_batches
+from hornfels.llm.common import bucket_bases, crc, free_names, hash_bucket, key_of, n_buckets, read_table, small_batches, stashed
 from hornfels.llm.token_counts import in_parts
 from hornfels.storage import materialise
 
@@ -164,16 +164,16 @@ def pack(docs: DataFrame, *keep: str, path: str, source: str = "source", text: s
     ``weights`` names target proportions of sources (null's key is "n", others "s" and the name); by default
     they are the sources' own tokens, so that all queues end together. Every row of ``docs``, repeated ones
     too, is packed whole; an empty or null text is its end id. An empty table gives no pieces. Only the last
-    sequence can be short.
+    sequence can be short. A new column has underscores behind its name where ``keep`` has it.
     """
-    small_batches(docs.sparkSession)
-    rows = docs.select(*keep, key_of(source).alias("_queue"), F.col(text).alias("_text"))
-    tokens = with_ids(rows, path, "_text").withColumn("_row", F.monotonically_increasing_id())
-    tokens = materialise(tokens, "tokens")
-    sizes = tokens.select(*keep, "_row", "_queue", (F.octet_length("ids") / 2).cast("long").alias("n"))
+    held = [f"_keep{i}" for i in range(len(keep))]
+    rows = docs.select(*stashed(keep), key_of(source).alias("_queue"), F.col(text).alias("_text"))
+    with small_batches(docs.sparkSession):
+        tokens = materialise(with_ids(rows, path, "_text").withColumn("_row", F.monotonically_increasing_id()), "tokens")
+    sizes = tokens.select(*held, "_row", "_queue", (F.octet_length("ids") / 2).cast("long").alias("n"))
     large = [r[0] for r in sizes.groupBy("_queue").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "_queue").limit(QUEUES).collect()]
     buckets = n_buckets(sizes.count())
-    sizes = sizes.withColumn("_hash", F.xxhash64(F.lit(seed), *[F.col(f"`{k}`") for k in keep]))
+    sizes = sizes.withColumn("_hash", F.xxhash64(F.lit(seed), *held))
     sizes = sizes.withColumn("_bucket", hash_bucket(F.col("_hash"), buckets))
     sums = materialise(sizes.groupBy("_queue", "_bucket").agg(F.sum("n").alias("n")), "queues")
     own = F.col("_queue").isin(large)
@@ -226,10 +226,11 @@ def pack(docs: DataFrame, *keep: str, path: str, source: str = "source", text: s
                     out.append((start, n, crc(wide[start : start + n].tobytes()), len(wide), place // length, place % length))
                     which.append(k)
             pieces = pd.DataFrame(out, columns=["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"], dtype="int64")
-            yield pd.concat([b[list(keep)].iloc[which].reset_index(drop=True), pieces], axis=1)
+            yield pd.concat([b[held].iloc[which].reset_index(drop=True), pieces], axis=1)
 
-    kept = ", ".join(f"`{k}` {tokens.schema[k].dataType.simpleString()}" for k in keep)
-    return placed.select(*keep, "_queue", "_shared", "_at", "ids", "_k", "_totals", "_weights").mapInPandas(cut, f"{kept}, {_PIECES}")
+    kept = "".join(f"{h} {tokens.schema[h].dataType.simpleString()}, " for h in held)
+    found = placed.select(*held, "_queue", "_shared", "_at", "ids", "_k", "_totals", "_weights").mapInPandas(cut, f"{kept}{_PIECES}")
+    return found.toDF(*keep, *free_names(keep, *found.columns[len(keep) :]))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

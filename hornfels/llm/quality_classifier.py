@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornfels.llm.common import crc_of_id, platt, read_table, sigmoid
+from hornfels.llm.common import crc_of_id, free_names, platt, read_table, restored, sigmoid, stashed
 from hornfels.storage import materialise
 
 STATISTICS = (
@@ -52,12 +52,16 @@ def statistics_of(text: str) -> list[float]:
 
 
 def statistics(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
-    """The ``keep`` columns and ``stats``, an array in the order of STATISTICS; null text counts as empty."""
+    """The ``keep`` columns and ``stats``, an array in the order of STATISTICS; null text counts as empty.
+
+    A row each, repeats included; ``stats`` has an underscore behind it where ``keep`` has that name.
+    """
 
     def measure(values: pd.Series) -> pd.Series:
         return pd.Series([statistics_of(v or "") for v in values])
 
-    return docs.select(*keep, F.pandas_udf(measure, "array<double>")(F.col(text)).alias("stats"))
+    rows = docs.select(*stashed(keep), F.pandas_udf(measure, "array<double>")(F.col(text)).alias("stats"))
+    return restored(rows, keep, "stats")
 
 
 @dataclass(frozen=True)
@@ -97,10 +101,13 @@ def fit_discriminant(n: np.ndarray, total: np.ndarray, square: np.ndarray, pool:
 
 
 def train(stats: DataFrame, label: str = "label") -> Discriminant:
-    """Fits on all rows of ``stats`` whose label is 0 or 1; what reaches the driver has a fixed size."""
+    """Fits on all rows of ``stats`` whose label is 0 or 1; what reaches the driver has a fixed size.
+
+    The labelled rows are written once, for the sums and for the histogram.
+    """
     d = len(STATISTICS)
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    rows = stats.where(F.col(label).isin(0, 1))
+    rows = materialise(stats.where(F.col(label).isin(0, 1)).select(label, "stats"), "labelled")
     flat = rows.select(label, *[F.col("stats")[i].alias(f"x{i}") for i in range(d)])
     sums = flat.groupBy(label).agg(
         F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(d)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in pairs]
@@ -124,12 +131,12 @@ def train(stats: DataFrame, label: str = "label") -> Discriminant:
 
 
 def score(stats: DataFrame, model: Discriminant) -> DataFrame:
-    """Adds ``score``, 0 to 1."""
+    """Adds ``score``, 0 to 1; with underscores behind its name where ``stats`` has such a column."""
 
     def of(values: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.stack(values.to_list()))) if len(values) else pd.Series([], dtype="float64")
 
-    return stats.withColumn("score", F.pandas_udf(of, "double")("stats"))
+    return stats.withColumn(*free_names(stats.columns, "score"), F.pandas_udf(of, "double")("stats"))
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """Quality rules with verdicts on hosts: failures by domain, shrunk by an empirical beta prior.
 
-Every document is measured by native functions in one pass. Failures of each rule are counted by host; the
-hosts' rates are shrunk towards the corpus's rate by a beta prior fitted by moments, so a host with a few
-documents is not judged by chance. A host of which a rule's shrunk rate exceeds the limit is rejected, and
-that verdict is joined back to its documents.
+Every document is measured by native functions in one pass. Failures of each rule are counted by host; a beta
+prior is fitted to the hosts' rates by moments, and a host's rate has the posterior of that prior, so that a host
+with a few documents is not judged by chance. Verdicts are relative to the prior: a host is bad on a rule where
+its rate is surely above ``WORSE`` times the prior's mean, and trusted where it is surely below ``BETTER`` times
+that mean. They are joined back to the documents: a bad host loses all of its documents, and a document that
+fails one of the soft rules (symbols, lines) is dropped unless its host is trusted on that rule.
 """
 
 from __future__ import annotations
@@ -16,9 +18,11 @@ from hornfels.storage import materialise
 
 #: Fixed values of the base rules and of what counts as a symbol.
 SYMBOLS, MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = "#*$%&|<>", 10, 5, 20
-#: Host rules on top: symbols a word character, and lines that repeat an earlier one, in per cent.
-MAX_SYMBOL_PERCENT, MAX_DUP_LINE_PERCENT, HOST_LIMIT = 10, 30, 0.5
-RULES = ("short", "repeats", "symbols", "lines")
+#: Soft rules on top: symbols a word character, and lines that repeat an earlier one, in per cent.
+MAX_SYMBOL_PERCENT, MAX_DUP_LINE_PERCENT = 10, 30
+#: Multiples of the prior's mean for bad and for trusted hosts, and deviations of the posterior that make it sure.
+WORSE, BETTER, SURE = 3.0, 0.5, 2.0
+RULES, SOFT = ("short", "repeats", "symbols", "lines"), ("symbols", "lines")
 
 
 def _let(value: Column, body) -> Column:
@@ -90,30 +94,40 @@ def fit_prior(k: float, q: float, n: float, hosts: int) -> tuple[float, float]:
     return max(mean, 1e-6) * strength, max(1 - mean, 1e-6) * strength
 
 
-def host_verdicts(measured: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
-    """host_key, n and the shrunk rate of each rule, and host_ok: no rate is above ``limit``."""
+def host_verdicts(measured: DataFrame, worse: float = WORSE, better: float = BETTER, sure: float = SURE) -> DataFrame:
+    """host_key, n, and for each rule the shrunk rate and whether the host is bad or trusted on it; ``host_ok``: bad on none.
+
+    A rule's posterior is the beta distribution of the prior and the host's counts. The priors are four pairs of
+    numbers from sums over the hosts.
+    """
     fails = failures()
     hosts = measured.groupBy(key_of("host").alias("host_key")).agg(F.count("*").alias("n"), *[F.sum(fails[r].cast("long")).alias(r) for r in RULES])
     hosts = materialise(hosts, "hosts")
     total = hosts.agg(F.count("*").alias("hosts"), F.sum("n").alias("n"), *[c for r in RULES for c in beta_prior(hosts, r)]).first()
-    rates = {}
+    verdicts = {}
     for r in RULES:
         a, b = fit_prior(float(total[f"{r}_k"] or 0), float(total[f"{r}_q"] or 0), float(total["n"] or 0), total["hosts"])
-        rates[f"{r}_rate"] = (F.col(r) + F.lit(a)) / (F.col("n") + F.lit(a + b))
-    hosts = hosts.withColumns(rates)
-    return hosts.withColumn("host_ok", F.greatest(*[F.col(f"{r}_rate") for r in RULES]) <= limit)
+        rate = (F.col(r) + F.lit(a)) / (F.col("n") + F.lit(a + b))
+        margin = F.lit(sure) * F.sqrt(rate * (1 - rate) / (F.col("n") + F.lit(a + b + 1)))
+        verdicts |= {f"{r}_rate": rate, f"{r}_bad": rate - margin > F.lit(worse * a / (a + b)), f"{r}_trusted": rate + margin < F.lit(better * a / (a + b))}
+    hosts = hosts.withColumns(verdicts)
+    return hosts.withColumn("host_ok", ~F.greatest(*[F.col(f"{r}_bad") for r in RULES]))
 
 
-def apply_rules(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
-    """Counts, base_failed, the host's verdict and kept, a row for each row of ``docs`` (repeats included).
+def apply_rules(docs: DataFrame, worse: float = WORSE, better: float = BETTER, sure: float = SURE) -> DataFrame:
+    """Counts, base_failed, the host's verdicts and kept, a row for each row of ``docs`` (repeats included).
 
-    Null text is empty and so fails; a null host is a host of its own. An empty table gives an empty result.
+    Null text is empty and so fails; a null host is a host of its own. An empty table gives an empty result. Of
+    the columns of ``docs`` only ``doc_id`` and ``source`` (as ``host``) are in it, so none can clash.
     """
     measured = materialise(measure(docs), "measured").withColumn("host_key", key_of("host"))
-    hosts = host_verdicts(measured, limit).select("host_key", "host_ok")
+    verdicts = host_verdicts(measured, worse, better, sure).select("host_key", "host_ok", *[f"{r}_trusted" for r in SOFT])
     fails = failures()
-    out = measured.withColumn("base_failed", fails["short"] | fails["repeats"]).join(hosts, "host_key")
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("host_ok")).drop("host_key")
+    out = measured.withColumn("base_failed", fails["short"] | fails["repeats"]).join(verdicts, "host_key")
+    kept = ~F.col("base_failed") & F.col("host_ok")
+    for r in SOFT:
+        kept = kept & (~fails[r] | F.col(f"{r}_trusted"))
+    return out.withColumn("kept", kept).drop("host_key")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,10 +163,17 @@ WITH d AS (
   SELECT r, sum(k) / sum(n) AS mu, sum(k * k / n) / sum(n) AS q, count(*) / sum(n) AS per FROM h GROUP BY r
 ), prior AS (
   SELECT r, mu, least(greatest(mu * (1 - mu) / greatest(q - mu * mu - mu * (1 - mu) * per, 1e-6) - 1, 1.0), 1e4) AS strength FROM p
+), v AS (
+  SELECT source, r, (k + greatest(mu, 1e-6) * strength) / (n + (greatest(mu, 1e-6) + greatest(1 - mu, 1e-6)) * strength) AS rate,
+         n + (greatest(mu, 1e-6) + greatest(1 - mu, 1e-6)) * strength + 1 AS weight, greatest(mu, 1e-6) / (greatest(mu, 1e-6) + greatest(1 - mu, 1e-6)) AS mean
+  FROM h JOIN prior USING (r)
 ), ok AS (
-  SELECT source, max((k + greatest(mu, 1e-6) * strength) / (n + (greatest(mu, 1e-6) + greatest(1 - mu, 1e-6)) * strength)) <= 0.5 AS host_ok
-  FROM h JOIN prior USING (r) GROUP BY source
+  SELECT source, NOT bool_or(rate - 2 * sqrt(rate * (1 - rate) / weight) > 3 * mean) AS host_ok,
+         bool_or(rate + 2 * sqrt(rate * (1 - rate) / weight) < 0.5 * mean) FILTER (r = 3) AS trusted3,
+         bool_or(rate + 2 * sqrt(rate * (1 - rate) / weight) < 0.5 * mean) FILTER (r = 4) AS trusted4
+  FROM v GROUP BY source
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f1 + f2 > 0) AS base_failed, (f1 + f2 = 0 AND host_ok) AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f1 + f2 > 0) AS base_failed,
+       (f1 + f2 = 0 AND host_ok AND (f3 = 0 OR trusted3) AND (f4 = 0 OR trusted4)) AS kept
 FROM f JOIN ok ON f.source IS NOT DISTINCT FROM ok.source
 """

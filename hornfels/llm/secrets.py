@@ -24,7 +24,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornfels.llm.common import read_table
+from hornfels.llm.common import free_names, read_table, stashed
 from hornfels.llm.forest import predict, train_forest
 
 #: Findings in the training sample, and how sure the forest must be.
@@ -265,8 +265,10 @@ _FOUND = "kind string, start long, length long, secret string, score double, is_
 def scan(docs: DataFrame, forest: list[np.ndarray], vocabulary: str, *keep: str, text: str = "text", path: str | None = "source", limit: float = LIMIT) -> DataFrame:
     """The ``keep`` columns and a row for each of the ``resolved`` candidates in the whole texts, with the forest's score and verdict.
 
-    Null and empty texts have none, repeated rows have theirs each; ``start`` counts characters from 0.
+    Null and empty texts have none, repeated rows have theirs each; ``start`` counts characters from 0. A new column
+    has underscores behind its name where ``keep`` has it.
     """
+    held = [f"_keep{i}" for i in range(len(keep))]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -275,15 +277,19 @@ def scan(docs: DataFrame, forest: list[np.ndarray], vocabulary: str, *keep: str,
                 for c, score in resolved(judged(t or "", p or "", forest, vocabulary), limit):
                     which.append(k)
                     out.append((c.kind, c.start, c.end - c.start, t[c.start : c.end], score, score >= limit))
-            yield pd.concat([b[list(keep)].iloc[which].reset_index(drop=True), pd.DataFrame(out, columns=[x.split()[0] for x in _FOUND.split(", ")])], axis=1)
+            yield pd.concat([b[held].iloc[which].reset_index(drop=True), pd.DataFrame(out, columns=[x.split()[0] for x in _FOUND.split(", ")])], axis=1)
 
-    rows = docs.select(*keep, F.col(text).alias("_text"), (F.col(path).cast("string") if path else F.lit("")).alias("_path"))
-    kept = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return rows.mapInPandas(work, f"{kept}, {_FOUND}")
+    rows = docs.select(*stashed(keep), F.col(text).alias("_text"), (F.col(path).cast("string") if path else F.lit("")).alias("_path"))
+    kept = "".join(f"{h} {docs.schema[k].dataType.simpleString()}, " for h, k in zip(held, keep, strict=True))
+    found = rows.mapInPandas(work, f"{kept}{_FOUND}")
+    return found.toDF(*keep, *free_names(keep, *found.columns[len(keep) :]))
 
 
 def redact(docs: DataFrame, forest: list[np.ndarray], vocabulary: str, text: str = "text", path: str | None = "source", limit: float = LIMIT) -> DataFrame:
-    """``docs`` with each secret in its text replaced by its kind in brackets; other texts, and null, stay as they are."""
+    """``docs`` with each secret in its text replaced by its kind in brackets; other texts, null, and other columns stay as they are.
+
+    A row each: equal rows stay equal rows, and an empty table stays empty.
+    """
 
     def clean(t: str | None, p: str | None) -> str | None:
         if not t:

@@ -11,17 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hornfels.llm.common import bucket_bases, hash_bucket, key_of, n_buckets, read_table
+from hornfels.llm.common import bucket_bases, free_names, hash_bucket, key_of, n_buckets, read_table
 
 SHARDS, SEED = 16, 17
 
 
-def interleaved(rows: DataFrame, stratum: str, order: list[str], seed: int = SEED) -> DataFrame:
-    """Adds ``position``: the place of each row, from 0 without gaps, in the interleaved order.
+def interleaved(rows: DataFrame, stratum: str, order: list[str], seed: int = SEED, name: str = "position") -> DataFrame:
+    """Adds ``name``: the place of each row, from 0 without gaps, in the interleaved order.
 
     ``order`` names the columns that the seeded shuffle hashes; they also break ties. Rows that are equal in
     all of them are interchangeable. Null strata form a stratum; an empty table gives an empty result.
-    Existing columns are kept, whatever their names, but for ones that begin with ``_il_``.
+    Existing columns are kept, whatever their names, but for ones that begin with ``_il_``; the new one has an
+    underscore more where its name is taken.
     """
     total = rows.count()
     buckets = n_buckets(total)
@@ -38,20 +39,23 @@ def interleaved(rows: DataFrame, stratum: str, order: list[str], seed: int = SEE
     slices = bucket_bases(ranked.groupBy("_il_slice").agg(F.count("*").alias("_il_n")), [], "_il_slice", "_il_n", buckets).withColumnRenamed("base", "_il_base")
     place = Window.partitionBy("_il_slice").orderBy("_il_part", "_il_key", "_il_rank")
     ranked = ranked.withColumn("_il_place", F.row_number().over(place)).join(slices, "_il_slice")
-    return ranked.withColumn("position", F.col("_il_place") + F.col("_il_base") - 1).drop(*[c for c in ranked.columns if c.startswith("_il_")])
+    own = [c for c in ranked.columns if not c.startswith("_il_")]
+    return ranked.select(*[F.col(f"`{c}`") for c in own], (F.col("_il_place") + F.col("_il_base") - 1).alias(*free_names(own, name)))
 
 
 def shard(rows: DataFrame, stratum: str = "source", order: tuple[str, ...] = ("doc_id",), shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Adds ``shard`` (0 to ``shards`` - 1) and ``slot`` (from 0 without gaps in each shard).
 
     Counts of shards differ by one at most. The method keeps no copies together: a group can exceed a shard.
+    Columns of ``rows`` stay as they are; a new one whose name is taken has underscores behind it.
     """
     total = rows.count()
     placed = interleaved(rows, stratum, list(order), seed)
-    k = F.expr(f"(position * {shards}) div {max(1, total)}")
-    placed = placed.withColumn("shard", k.cast("int"))
-    first = F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")
-    return placed.withColumn("slot", (F.col("position") - first).cast("long")).drop("position")
+    at = placed.columns[-1]
+    shard_name, slot_name = free_names(rows.columns, "shard", "slot")
+    k = F.expr(f"(`{at}` * {shards}) div {max(1, total)}")
+    first = F.expr(f"((`{at}` * {shards}) div {max(1, total)} * {total}L + {shards - 1}) div {shards}")
+    return placed.select(*[F.col(f"`{c}`") for c in rows.columns], k.cast("int").alias(shard_name), (F.col(f"`{at}`") - first).cast("long").alias(slot_name))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hornfels.llm import resemblance
-from hornfels.llm.common import read_table
+from hornfels.llm.common import read_table, restored, stashed
 from hornfels.operators.components import components
 from hornfels.storage import materialise
 
@@ -50,9 +50,9 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, *keep: str, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The ``keep`` columns and ``fp`` for each row; null text counts as empty."""
+    """The ``keep`` columns and ``fp`` (with underscores behind it where ``keep`` has it) for each row; null text counts as empty."""
     of = F.pandas_udf(lambda s: pd.Series([fingerprint(t or "", shingle) for t in s], dtype="int64"), "long")
-    return docs.select(*keep, of(F.col(text)).alias("fp"))
+    return restored(docs.select(*stashed(keep), of(F.col(text)).alias("fp")), keep, "fp")
 
 
 def _byte(x: Column, at: int) -> Column:
@@ -85,13 +85,15 @@ def near_duplicates(docs: DataFrame, *keep: str, text: str = "text", shingle: in
     """The ``keep`` columns, ``fp`` and ``root``: the least fingerprint that links reach from this row's.
 
     Every row has a fingerprint, also empty and null texts (0), so rows are neither lost nor added. Repeated
-    rows share a root. An empty table gives an empty result.
+    rows share a root. An empty table gives an empty result. A new column has underscores behind its name where
+    ``keep`` has it.
     """
-    rows = materialise(fingerprints(docs, *keep, text=text, shingle=shingle), "simhash")
+    held = docs.select(*stashed(keep), F.col(text).alias("_text"))
+    rows = materialise(fingerprints(held, *[f"_keep{i}" for i in range(len(keep))], text="_text", shingle=shingle), "simhash")
     values = rows.select("fp").distinct()
     links = similar_pairs(values, max_bits)
     roots = materialise(components(links).withColumnRenamed("node", "fp"), "roots")
-    return rows.join(roots, "fp", "left").select(*keep, "fp", F.coalesce("root", "fp").alias("root"))
+    return restored(rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), keep, "fp", "root")
 
 
 def representatives(docs: DataFrame, shingle: int = resemblance.SHINGLE, similar: tuple[int, int] = resemblance.SIMILAR) -> DataFrame:

@@ -22,7 +22,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornfels.llm.common import read_table, small_batches
+from hornfels.llm.common import read_table, restored, small_batches, stashed
+from hornfels.storage import materialise
 
 #: Entries of the caches of a Python worker and their longest unit: a bound of its memory; other units are computed anew.
 UNITS, PAIRS, LONG = 500_000, 400_000, 64
@@ -268,25 +269,34 @@ def _by_steps(path: str, of: Callable[[list[bytes]], list], kind: str) -> Callab
 
 
 def prefix_table(docs: DataFrame, *keep: str, path: str, text: str = "text") -> DataFrame:
-    """The ``keep`` columns and ``steps`` (see PrefixCounter.steps_of), a byte a character; null text counts as empty."""
-    return docs.select(*keep, _by_steps(path, list, "binary")(F.col(text)).alias("steps"))
+    """The ``keep`` columns and ``steps`` (see PrefixCounter.steps_of), a byte a character; null text counts as empty.
+
+    A row each, repeats included; ``steps`` has an underscore behind it where ``keep`` has that name.
+    """
+    return restored(docs.select(*stashed(keep), _by_steps(path, list, "binary")(F.col(text)).alias("steps")), keep, "steps")
 
 
 def truncated(docs: DataFrame, budget: int, path: str, text: str = "text") -> DataFrame:
-    """``docs`` with each text cut to its longest prefix of at most ``budget`` tokens; null stays null."""
+    """``docs`` with each text cut to its longest prefix of at most ``budget`` tokens; null stays null, other columns stay.
+
+    Equal rows are cut alike; an empty table gives an empty result.
+    """
     cut = F.pandas_udf(lambda s: pd.Series([t if t is None else t[: longest_prefix(counter(path).steps(t), budget)] for t in s]), "string")
     return docs.withColumn(text, cut(F.col(text)))
 
 
 def with_token_counts(docs: DataFrame, *keep: str, path: str, text: str = "text") -> DataFrame:
-    """The ``keep`` columns and ``n_tokens`` of the whole text, the last of its prefix counts; null text has none."""
+    """The ``keep`` columns and ``n_tokens`` of the whole text, the last of its prefix counts; null text has none.
+
+    A row each, repeats included; ``n_tokens`` has an underscore behind it where ``keep`` has that name.
+    """
     of = _by_steps(path, lambda steps: [token_count(x) for x in steps], "long")
-    return docs.select(*keep, of(F.col(text)).alias("n_tokens"))
+    return restored(docs.select(*stashed(keep), of(F.col(text)).alias("n_tokens")), keep, "n_tokens")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
-    out = with_token_counts(docs.withColumn("n_bytes", size), "doc_id", "n_bytes", path=public_tokenizers.path("byte_bpe_50k.json"))
+    with small_batches(spark):
+        out = materialise(with_token_counts(docs.withColumn("n_bytes", size), "doc_id", "n_bytes", path=public_tokenizers.path("byte_bpe_50k.json")), "counts")
     return out.withColumn("over_limit", F.col("n_tokens") > LIMIT)

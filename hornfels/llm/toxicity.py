@@ -1,19 +1,18 @@
-"""Compression-distance classification of toxic text with two zstandard dictionaries.
+"""Compression-distance classification of toxic text with two trained zstandard dictionaries.
 
-Both dictionaries hold the same ordinary text, trained by zstandard's own trainer on windows of ordinary
-documents; the toxic one also holds passages that set toxic documents apart. A window of a few words that
-the toxic dictionary shortens by some bytes more than the ordinary one speaks for toxicity. A document's
-score is a logistic curve over its windows' differences: the largest, and how many reach each threshold.
-Passages are words that contain character 5-grams which occur in significantly more toxic documents; they
-are chosen greedily so that the dictionary covers those 5-grams.
+zstandard's trainer makes one dictionary from windows of ordinary documents and one from toxic text: the words
+of toxic documents that hold character 5-grams which occur in significantly more toxic documents. A window is
+compressed with the ordinary dictionary alone and with the toxic one behind it; bytes of zero stand for the
+toxic one in the first, so that all else lies equally far. The bytes saved are the window's difference. A
+document's score is a logistic curve over its windows' differences: the largest, and how many reach each
+threshold.
 
-What is learned comes from a bounded, hashed sample of labelled documents (``SAMPLE`` a class and part); one
+What is learned comes from a bounded, hashed sample of labelled documents (``SAMPLE`` a class); one
 part makes the dictionaries, the other calibrates. Scoring covers every window of every text.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -26,16 +25,20 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornfels.llm.common import crc_of_id, read_table, sigmoid
+from hornfels.llm.common import crc_of_id, free_names, read_table, sigmoid
 from hornfels.storage import materialise
 
-WINDOW_WORDS, GRAM = 8, 5
-#: Documents sampled for each class and part, and windows of ordinary text for the trainer.
-SAMPLE, ORDINARY_WINDOWS = 2500, 40_000
-TOXIC_BYTES, ORDINARY_BYTES = 2048, 110_000
-#: Deviations by which a 5-gram's document frequency must be higher in toxic text, and at least how often.
-DEVIATIONS, RATIO = 6.0, 4.0
-THRESHOLDS = (2, 3, 4, 5)
+WINDOW_WORDS, GRAM = 12, 5
+#: Labelled documents sampled for each class, and windows of ordinary ones given to the trainer.
+SAMPLE, ORDINARY_WINDOWS = 5000, 40_000
+TOXIC_BYTES, ORDINARY_BYTES = 4096, 110_000
+#: Bytes a segment of the trainer has, and those that it counts; the level has matches of three bytes.
+SEGMENT, COUNTED, LEVEL = 24, 6, 13
+#: A 5-gram is distinctive in this share of the toxic documents or more (and in three), if its document frequency is higher by so many deviations and times.
+SHARE, DEVIATIONS, RATIO, SEED = 0.025, 5.0, 4.0, 19
+THRESHOLDS = (1, 2, 3, 4, 5, 6, 8)
+#: Begins each window, so that a block of a few bytes compresses at all, and ends the dictionaries, whose last bytes are not indexed.
+LEAD = b" the of and to in for is on that by this with you it "
 
 
 def normalised(text: str) -> str:
@@ -61,12 +64,9 @@ class Model:
 @lru_cache(maxsize=4)
 def _compressors(toxic: bytes, ordinary: bytes) -> list[zstandard.ZstdCompressor]:
     made = []
-    for content in (ordinary, ordinary + toxic):
+    for content in (ordinary + bytes(len(toxic)) + LEAD, ordinary + toxic + LEAD):
         size = {"write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
-        params = zstandard.ZstdCompressionParameters.from_level(3, format=zstandard.FORMAT_ZSTD1_MAGICLESS, **size)
-        if not content:
-            made.append(zstandard.ZstdCompressor(compression_params=params))
-            continue
+        params = zstandard.ZstdCompressionParameters.from_level(LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, **size)
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(compression_params=params)
         made.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params))
@@ -74,15 +74,15 @@ def _compressors(toxic: bytes, ordinary: bytes) -> list[zstandard.ZstdCompressor
 
 
 def differences(text: str, model: Model) -> np.ndarray:
-    """Bytes by which the toxic dictionary shortens each window more than the ordinary one."""
+    """Bytes by which the toxic dictionary shortens each window."""
     plain, toxic = (c.compress for c in _compressors(model.toxic, model.ordinary))
-    return np.array([len(plain(w)) - len(toxic(w)) for w in windows(text)])
+    return np.array([len(plain(w)) - len(toxic(w)) for w in (LEAD + w for w in windows(text))])
 
 
 def features(text: str, model: Model) -> list[float]:
     d = differences(text, model)
     counts = [(d >= t).sum() for t in THRESHOLDS]
-    return [float(d.max()), *map(float, np.log1p(counts)), math.log(len(d)), *(float(c / len(d)) for c in counts[::2]), 1.0]
+    return [float(d.max()), math.log1p(max(0, int(d.sum()))), *map(float, np.log1p(counts)), math.log(len(d)), *(float(c / len(d)) for c in counts[1::2]), 1.0]
 
 
 def _grams(text: str) -> set[str]:
@@ -90,8 +90,8 @@ def _grams(text: str) -> set[str]:
     return {t[i : i + GRAM] for i in range(len(t) - GRAM + 1)}
 
 
-def distinctive(sample: DataFrame, toxic: int, ordinary: int) -> dict[str, float]:
-    """5-grams of significantly more toxic documents, and the difference of the rates; counted by Spark."""
+def distinctive(sample: DataFrame, toxic: int, ordinary: int) -> set[str]:
+    """5-grams of significantly more toxic documents; counted by Spark."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -105,38 +105,16 @@ def distinctive(sample: DataFrame, toxic: int, ordinary: int) -> dict[str, float
     p = (F.col("a") + F.col("b")) / (toxic + ordinary)
     lift = F.col("a") / toxic - F.col("b") / ordinary
     noise = F.sqrt(p * (1 - p) * (1 / toxic + 1 / ordinary)) + 1e-9
-    hot = counts.where((F.col("a") >= 3) & (lift > DEVIATIONS * noise) & (F.col("a") / toxic > RATIO * (F.col("b") + 0.5) / ordinary))
-    rows = hot.select("gram", lift.alias("lift")).orderBy(F.desc("lift"), "gram").limit(20_000).collect()
-    return {r["gram"]: r["lift"] for r in rows}
-
-
-def passages(words: list[str], lift: dict[str, float], size: int = TOXIC_BYTES) -> bytes:
-    """Words chosen greedily by the lift of the 5-grams that they add, best last, where zstandard looks first."""
-    left, chosen, used = dict(lift), [], 0
-    own = {w: {w[i : i + GRAM] for i in range(len(w) - GRAM + 1)} & lift.keys() for w in words}
-    heap = [(-sum(left[g] for g in own[w]), w) for w in words]
-    heapq.heapify(heap)
-    while heap and used < size:
-        _, w = heapq.heappop(heap)
-        gain = -sum(left.get(g, 0) for g in own[w])
-        if heap and gain > heap[0][0] + 1e-12:
-            heapq.heappush(heap, (gain, w))
-        elif gain >= -1e-3:
-            break
-        else:
-            chosen.append(w)
-            used += len(w.encode("utf-8", "surrogatepass"))
-            for g in own[w]:
-                left.pop(g, None)
-    return "".join(reversed(chosen)).encode("utf-8", "surrogatepass")[-size:]
-
-
-def ordinary_content(samples: list[bytes], size: int = ORDINARY_BYTES) -> bytes:
+    hot = counts.where((F.col("a") >= max(3.0, SHARE * toxic)) & (lift > DEVIATIONS * noise) & (F.col("a") / toxic > RATIO * (F.col("b") + 0.5) / ordinary))
+    return {r["gram"] for r in hot.select("gram").collect()}  # of SAMPLE toxic documents at most
+
+
+def trained(samples: list[bytes], size: int) -> bytes:
     """zstandard's trained dictionary; too little text for the trainer is taken as it is."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=COUNTED, level=LEVEL).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"".join(samples)[-size:]
+        return b"".join(dict.fromkeys(samples))[-size:]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -149,13 +127,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """label, part (0: dictionaries, 1: calibration) and text of at most 2 * ``size`` documents a class.
+    """label, part (0: dictionaries, two thirds; 1: calibration) and text of at most ``size`` documents a class.
 
-    The ids of the sample are bounded by ``size``, so the join can broadcast them.
+    The ids of the sample are bounded by ``size``, so the join can broadcast them. A row of ``labels`` or ``docs``
+    that occurs twice counts twice; a null or empty text is a document without words.
     """
     known = labels.where(F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("int").alias("label"))
-    picks = [known.where(F.col("label") == k).orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(2 * size) for k in (0, 1)]
-    ids = picks[0].unionByName(picks[1]).withColumn("part", F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(2)).cast("int"))
+    picks = [known.where(F.col("label") == k).orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(size) for k in (0, 1)]
+    ids = picks[0].unionByName(picks[1]).withColumn("part", (F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(3)) == 2).cast("int"))
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", "part", "text")
 
 
@@ -164,39 +143,39 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     sample = materialise(sampled(docs, labels, size), "toxicity")
     made = sample.where("part = 0")
     n = {r["label"]: r["count"] for r in made.groupBy("label").count().collect()}
-    lift = distinctive(made, n[1], n[0]) if n.get(1) and n.get(0) else {}
+    hot = distinctive(made, n[1], n[0]) if n.get(1) and n.get(0) else set()
 
     def toxic_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            c = Counter()
-            for t in b["text"]:
-                for w in {f" {w} " for w in (t or "").lower().split()}:
-                    if any(w[i : i + GRAM] in lift for i in range(len(w) - GRAM + 1)):
-                        c[w] += 1
+            c = Counter(w for t in b["text"] for w in (f" {w} " for w in (t or "").lower().split()) if any(w[i : i + GRAM] in hot for i in range(len(w) - GRAM + 1)))
             yield pd.DataFrame({"word": list(c), "n": list(c.values())})
 
     def ordinary_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"window": [w for t in b["text"] for w in windows(t or "")]})
 
-    words = made.where("label = 1").select("text").mapInPandas(toxic_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = [r["word"] for r in words.orderBy(F.desc("n"), "word").limit(5000).collect()] if lift else []
+    words = made.where("label = 1").select("text").mapInPandas(toxic_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")) if hot else None
+    found = [w for r in words.orderBy("word").collect() for w in [r["word"].encode("utf-8", "surrogatepass")] * r["n"]] if hot else []
+    found = [found[k] for k in np.random.default_rng(SEED).permutation(len(found))]  # the trainer takes a segment of each stretch
     plain = made.where("label = 0").select("text").mapInPandas(ordinary_windows, "window binary")
     plain = [bytes(r["window"]) for r in plain.orderBy(F.xxhash64("window"), "window").limit(ORDINARY_WINDOWS).collect()]
-    model = Model(passages(words, lift), ordinary_content(plain))
+    model = Model(trained(found, TOXIC_BYTES), trained(plain, ORDINARY_BYTES))
     seen = sample.where("part = 1").select("label", F.pandas_udf(lambda s: pd.Series([features(t or "", model) for t in s]), "array<double>")("text").alias("x")).collect()
     x, y = np.array([r["x"] for r in seen]), np.array([r["label"] for r in seen])
     return Model(model.toxic, model.ordinary, tuple(logistic(x, y)) if len(seen) else (0.0,) * (len(features("", model)) - 1) + (-3.0,))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds ``score``, 0 to 1, over every window of the whole text; null text counts as empty."""
+def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+    """Adds ``name``, 0 to 1, over every window of the whole text; null text counts as empty, repeated rows score alike.
+
+    Where ``docs`` has such a column the new one has underscores behind its name; an empty table gives an empty result.
+    """
     weights = np.array(model.weights)
 
     def of(values: pd.Series) -> pd.Series:
         return pd.Series([float(sigmoid(np.dot(features(t or "", model), weights))) for t in values], dtype="float64")
 
-    return docs.withColumn("score", F.pandas_udf(of, "double")(F.col(text)))
+    return docs.withColumn(*free_names(docs.columns, name), F.pandas_udf(of, "double")(F.col(text)))
 
 
 def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

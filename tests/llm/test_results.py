@@ -319,12 +319,37 @@ def test_held_out_accuracy(spark, name, label, least):
     assert _auc(held.score.to_numpy(), held[label].to_numpy()) >= least
 
 
-def test_toxicity_learns_passages_and_spares_clean_text():
-    lift = {" idio": 0.5, "idiot": 0.5, "diot ": 0.5}
-    content = toxicity.passages([" idiot ", " word "], lift)
-    model = toxicity.Model(content, b" and the of to in words plain " * 40)
-    assert toxicity.differences("an idiot of the words", model).max() >= 2
-    assert toxicity.differences("and the of to in words plain", model).max() <= 1
+def test_a_trained_dictionary_shortens_toxic_windows_only():
+    rng = random.Random(8)
+    plain = [" ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(12)).encode() for _ in range(2000)]
+    toxic = toxicity.trained([f" {w} ".encode() for _ in range(400) for w in ("idiot", "scumbag", "worthless")], toxicity.TOXIC_BYTES)
+    assert all(w in toxic for w in (b"idiot", b"scumbag", b"worthles"))
+    model = toxicity.Model(toxic, toxicity.trained(plain, toxicity.ORDINARY_BYTES))
+    assert toxicity.differences("abcd efgh an idiot of these abba", model).max() >= 2
+    assert toxicity.differences("", model).max() <= 0
+    assert max(toxicity.differences(w.decode(), model).max() for w in plain[:300]) <= 2
+
+
+def test_little_text_is_its_own_dictionary():
+    assert toxicity.trained([b" idiot ", b" scum ", b" idiot "], 100) == b" idiot  scum "
+    assert toxicity.trained([], 100) == b""
+
+
+def test_differences_are_those_of_plain_compression():
+    """Held against two compressors built here, on whole texts: every window counts."""
+    import zstandard
+
+    model = toxicity.Model(b" idiot  scum ", b" and of the words " * 9)
+    text = " ".join(f"word{k} and of the " + ("scum" if k % 7 == 3 else "other") for k in range(40))
+    words = text.split()
+    size = {"write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
+    params = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, **size)
+    sides = [zstandard.ZstdCompressionDict(model.ordinary + x + toxicity.LEAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for x in (bytes(len(model.toxic)), model.toxic)]
+    for d in sides:
+        d.precompute_compress(compression_params=params)
+    length = lambda d, w: len(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress(w))
+    wins = [toxicity.LEAD + f" {' '.join(words[k : k + toxicity.WINDOW_WORDS])} ".encode() for k in range(0, len(words), toxicity.WINDOW_WORDS)]
+    assert toxicity.differences(text, model).tolist() == [length(sides[0], w) - length(sides[1], w) for w in wins]
 
 
 def test_quality_rules_equal_sql(spark):
