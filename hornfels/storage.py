@@ -2,33 +2,67 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a local one only where none is set, as in tests."""
+    """The folder named in ``spark.checkpoint.dir``; a local one only where none is set and the master is local, as in tests."""
     sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = sc.getCheckpointDir()
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="hornfels-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+#: Paths that the loops running now have written, the innermost last.
+_LOOPS: list[list[str]] = []
+
+
+def _path(spark: SparkSession, path: str):  # noqa: ANN202
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and read it back.
 
-    Unlike a cache the copy outlives a lost executor; it goes when the session ends.
+    Unlike a cache the copy outlives a lost executor; it goes when the session ends, or with its loop (see scratch).
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    target, files = _path(spark, path)
+    files.deleteOnExit(target)
+    if _LOOPS:
+        _LOOPS[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is materialised inside is deleted at the end; write the result outside, or by ``keep``, before that."""
+    _LOOPS.append([])
+    try:
+        yield
+    finally:
+        for p in _LOOPS.pop():
+            target, files = _path(spark, p)
+            files.delete(target, True)
+
+
+def keep(df: DataFrame, label: str) -> DataFrame:
+    """``materialise``, for a result that outlives the innermost ``scratch`` around it."""
+    inner = _LOOPS.pop() if _LOOPS else None
+    try:
+        return materialise(df, label)
+    finally:
+        if inner is not None:
+            _LOOPS.append(inner)
