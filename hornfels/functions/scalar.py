@@ -35,3 +35,19 @@ def shift_left(x: Column, n: int) -> Column:
 
 def shift_right(x: Column, n: int) -> Column:
     return F.shiftright(x, n)
+
+
+def round_even(x: Column) -> Column:
+    """To the nearest whole number, halves to the even one."""
+    return F.bround(x, 0)
+
+
+def initcap(s: Column) -> Column:
+    """Each run of letters and digits with its first character in upper case and the others in lower case."""
+    runs = F.regexp_extract_all(F.lower(s), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), F.lit(0))
+    return F.concat_ws("", F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.substring(r, 2, 1 << 30))))
+
+
+def regex_replace(s: Column, pattern: str, by: str) -> Column:
+    """The first match of ``pattern``, which may have no groups that ``by`` names, replaced."""
+    return F.regexp_replace(s, rf"(?s)\A(.*?)(?:{pattern})", f"$1{by}")

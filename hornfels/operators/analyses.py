@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hornfels.operators.fixpoint import fixpoint
 from hornfels.operators.graph import closure_by_doubling, reach
+from hornfels.storage import materialise
 
 
 def points_to(new: DataFrame, assign: DataFrame, load: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -55,28 +56,82 @@ def escaping(roots: DataFrame, hfh: DataFrame) -> DataFrame:
 def races(access: DataFrame, locks: DataFrame, parallel: DataFrame) -> DataFrame:
     """Pairs e <= d of accesses to one object that can run in parallel, one a write, without a common lock.
 
-    access(e, t, h, write), locks(e, l), parallel(t, s), which is symmetric.
+    access(e, t, h, write), locks(e, l), parallel(t, s), which is symmetric. Locks are looked up for the pairs in
+    question only.
     """
     a = access.toDF("e", "t", "h", "x")
     b = access.toDF("d", "s", "h", "y")
     pairs = a.join(b, "h").where("e <= d and (x or y)").join(parallel.toDF("t", "s"), ["t", "s"], "left_semi").select("e", "d").distinct()
-    common = locks.toDF("e", "l").join(locks.toDF("d", "l"), "l").select("e", "d").distinct()
-    return pairs.join(common, ["e", "d"], "left_anti")
+    pairs = materialise(pairs, "pairs")
+    guarded = pairs.join(locks.toDF("e", "l"), "e").join(locks.toDF("d", "l"), ["d", "l"], "left_semi").select("e", "d").distinct()
+    return pairs.join(guarded, ["e", "d"], "left_anti")
 
 
-def deadlocks(holds: DataFrame) -> DataFrame:
-    """Pairs l < m of locks that threads acquire in both orders, perhaps over others: holds(t, l, m): m while holding l."""
-    order = closure_by_doubling(holds.select(F.col("l").alias("u"), F.col("m").alias("v")).distinct())
-    return order.join(order.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"]).where("u < v").toDF("l", "m")
+def deadlocks(holds: DataFrame, parallel: DataFrame, escaping: DataFrame | None = None) -> DataFrame:
+    """(t, s, l, m) with l < m: t takes m while it holds l, s takes l while it holds m, and no lock guards both.
+
+    holds(t, a, l, m): in acquisition ``a`` thread t takes m while it holds l, a row for each l held. Threads must
+    be able to run in parallel (a symmetric relation of t and s; a thread in parallel with itself is two of its
+    kind), locks must be reachable by others (``escaping``, column l; all are by default), and no third lock may be
+    held at both acquisitions.
+    """
+    shared = holds.toDF("t", "a", "l", "m").where("l <> m").distinct()
+    if escaping is not None:
+        shared = shared.join(escaping.toDF("l"), "l", "left_semi").join(escaping.toDF("m"), "m", "left_semi").select("t", "a", "l", "m")
+    one, two = shared.where("l < m"), shared.where("l > m").toDF("s", "b", "m", "l")
+    pairs = materialise(one.join(two, ["l", "m"]).join(parallel.toDF("t", "s"), ["t", "s"], "left_semi").select("t", "a", "s", "b", "l", "m").distinct(), "pairs")
+    held = holds.toDF("t", "a", "g", "m").select("t", "a", "g").distinct()
+    both = pairs.join(held, ["t", "a"]).where("g <> l and g <> m").join(held.toDF("s", "b", "g"), ["s", "b", "g"], "left_semi")
+    free = pairs.join(both.select("t", "a", "s", "b", "l", "m").distinct(), ["t", "a", "s", "b", "l", "m"], "left_anti")
+    return free.select("t", "s", "l", "m").distinct()
 
 
 def flows(sources: DataFrame, edges: DataFrame, sinks: DataFrame, cleaners: DataFrame) -> DataFrame:
     """(source, sink) of values that reach a sink past no cleaner; each has a column ``node``."""
     open_ = edges.join(cleaners.select(F.col("node").alias("v")), "v", "left_anti")
     start = sources.select(F.col("node").alias("source"), "node")
-    onward = open_.select(F.col("u").alias("node"), "v")
+    onward = materialise(open_.select(F.col("u").alias("node"), "v").distinct(), "edges")
     reached = fixpoint(start, lambda new, _: new.join(onward, "node").select("source", F.col("v").alias("node")))
-    return reached.join(sinks.select("node"), "node", "left_semi").toDF("source", "sink")
+    return reached.join(sinks.select("node"), "node", "left_semi").select("source", F.col("node").alias("sink"))
+
+
+def parallel(starts: DataFrame, joins: DataFrame) -> DataFrame:
+    """(t, s), symmetric: threads that may run at once.
+
+    starts(t, s): t starts s; joins(t, s): t waits for s before it starts anything else. A started thread, and
+    what it starts in turn, runs beside its starter unless that waits for it, and beside what the starter starts
+    afterwards; without an order of statements any two threads of one starter that are not waited for run at once.
+    """
+    free = materialise(starts.toDF("t", "s").join(joins.toDF("t", "s"), ["t", "s"], "left_anti").distinct(), "free")
+    below = closure_by_doubling(starts.toDF("u", "v"))
+    under = materialise(below.union(starts.select(F.col("s").alias("u"), F.col("s").alias("v"))).distinct(), "below")
+    down = lambda d, c: d.join(under.toDF(c, f"_{c}"), c).drop(c).withColumnRenamed(f"_{c}", c)
+    beside = down(free, "s").select("t", "s")
+    a, b = free.toDF("p", "t"), free.toDF("p", "s")
+    siblings = down(down(a.join(b, "p").where("t <> s").select("t", "s"), "t"), "s").select("t", "s")
+    out = beside.union(siblings).where("t <> s").distinct()
+    return out.union(out.select(F.col("s").alias("t"), F.col("t").alias("s"))).distinct()
+
+
+def unsafe_casts(vh: DataFrame, objects: DataFrame, subtypes: DataFrame, casts: DataFrame) -> DataFrame:
+    """``cast``s of a variable that may hold an object of a type which is none of the cast's: casts(cast, v, type), objects(h, type), subtypes(sub, type), reflexive."""
+    may = casts.toDF("cast", "v", "type").join(vh.toDF("v", "h"), "v").join(objects.toDF("h", "sub"), "h").select("cast", "sub", "type").distinct()
+    return may.join(subtypes.toDF("sub", "type"), ["sub", "type"], "left_anti").select("cast").distinct()
+
+
+def call_targets(vh: DataFrame, objects: DataFrame, methods: DataFrame, calls: DataFrame) -> DataFrame:
+    """(call, method) of virtual calls: calls(call, v, name), objects(h, type), methods(type, name, method)."""
+    return calls.toDF("call", "v", "name").join(vh.toDF("v", "h"), "v").join(objects.toDF("h", "type"), "h").join(methods.toDF("type", "name", "method"), ["type", "name"]).select("call", "method").distinct()
+
+
+def site_kinds(targets: DataFrame) -> DataFrame:
+    """``call`` and whether it is polymorphic: has more than one method."""
+    return targets.groupBy("call").agg((F.count_distinct("method") > 1).alias("poly"))
+
+
+def null_dereferences(uses: DataFrame, vh: DataFrame) -> DataFrame:
+    """``use``s (columns use, v) of a variable that can point to nothing."""
+    return uses.toDF("use", "v").join(vh.toDF("v", "h").select("v").distinct(), "v", "left_anti").select("use").distinct()
 
 
 def backward_slice(depends: DataFrame, criteria: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hornfels.operators.components import components
 from hornfels.operators.fixpoint import fixpoint, union_all
-from hornfels.storage import materialise
+from hornfels.storage import keep, materialise, scratch
 
 
 def heads(clauses: DataFrame) -> DataFrame:
@@ -23,22 +23,34 @@ def inputs(clauses: DataFrame) -> DataFrame:
 def births(clauses: DataFrame, rounds: int = 1000) -> DataFrame:
     """``tuple`` and ``dob``: 0 for inputs, else the least over its clauses of 1 + the latest antecedent.
 
-    A round counts, for each clause, the antecedents that the last round bore; a clause fires when all are
-    there. A clause without body fires at once, so its head is born in round 1.
+    Tuples and clauses are numbered once, and the rounds run on numbers. A clause waits for as many antecedents
+    as its body has; a round takes off those that the last one bore, and clauses that wait for none bear their
+    heads. Clauses whose head is born leave the table, so a round's work follows the new tuples and the clauses
+    that still wait. A clause without body bears its head in round 1; a tuple that cannot be derived has no row.
     """
-    body = clauses.where("lit is not null").select("clause_id", F.col("lit").alias("tuple")).distinct()
-    size = materialise(heads(clauses).join(body.groupBy("clause_id").agg(F.count("*").alias("need")), "clause_id", "left").select("clause_id", "head", F.coalesce("need", F.lit(0)).alias("need")), "need")
-    born = [materialise(inputs(clauses).withColumn("dob", F.lit(0)), "born")]
-    seen: list[DataFrame] = []
-    for k in range(1, rounds):
-        seen.append(materialise(body.join(born[-1], "tuple").groupBy("clause_id").agg(F.count("*").alias("n")), "seen"))
-        have = union_all(seen).groupBy("clause_id").agg(F.sum("n").alias("n"))
-        ready = size.join(have, "clause_id", "left").where("coalesce(n, 0) >= need")
-        new = ready.select(F.col("head").alias("tuple")).distinct().join(union_all(born), "tuple", "left_anti")
-        new = materialise(new.withColumn("dob", F.lit(k)), "born")
-        if new.isEmpty():
-            return union_all(born)
-        born.append(new)
+    spark = clauses.sparkSession
+    with scratch(spark):
+        lits = clauses.where("lit is not null").select(F.col("lit").alias("tuple"))
+        made = clauses.select(F.col("head").alias("tuple"), F.lit(True).alias("derived"))
+        names = lits.withColumn("derived", F.lit(False)).union(made).groupBy("tuple").agg(F.max("derived").alias("derived"))
+        names = materialise(names.withColumn("t", F.monotonically_increasing_id()), "names")
+        number = names.select("tuple", "t")
+        own = materialise(heads(clauses).withColumn("c", F.monotonically_increasing_id()), "heads")
+        body = clauses.where("lit is not null").select("clause_id", "head", F.col("lit").alias("tuple")).distinct()
+        body = materialise(body.join(own.select("clause_id", "head", "c"), ["clause_id", "head"]).join(number, "tuple").select("c", "t"), "body")
+        need = body.groupBy("c").agg(F.count("*").alias("need"))
+        waiting = own.join(number.toDF("head", "h"), "head").select("c", "h").join(need, "c", "left").select("c", "h", F.coalesce("need", F.lit(0)).alias("need"))
+        waiting = materialise(waiting, "waiting")
+        born = [materialise(names.where("not derived").select("t", F.lit(0).alias("dob")), "born")]
+        for k in range(1, rounds):
+            hits = materialise(body.join(born[-1].select("t"), "t").groupBy("c").agg(F.count("*").alias("n")), "hits")
+            left = waiting.join(hits, "c", "left").select("c", "h", (F.col("need") - F.coalesce("n", F.lit(0))).alias("need"))
+            left = materialise(left, "waiting")
+            new = materialise(left.where("need <= 0").select(F.col("h").alias("t")).distinct().withColumn("dob", F.lit(k)), "born")
+            if new.isEmpty():
+                return keep(union_all(born).join(number, "t").select("tuple", "dob"), "born")
+            born.append(new)
+            waiting = materialise(left.join(new.select(F.col("t").alias("h")), "h", "left_anti").select("c", "h", "need"), "waiting")
     raise RuntimeError(f"births not settled in {rounds} rounds")
 
 
@@ -106,18 +118,23 @@ def compress_chains(clauses: DataFrame, probability: DataFrame, queries: DataFra
 
 
 def narrow(clauses: DataFrame, width: int = 10, rounds: int = 32) -> DataFrame:
-    """Heads with more than ``width`` clauses get a tree of tuples ``D<level>`` under the rule ``Rnarrow``."""
-    from pyspark.sql import Window
+    """Heads with more than ``width`` clauses get a tree of tuples ``D<level>`` under the rule ``Rnarrow``.
 
+    A wide head's clauses are dealt over as many groups as it needs, in order of their number within a partition,
+    so no task holds all clauses of a head: groups have ``width`` clauses at most.
+    """
     done, now = [], clauses
     for k in range(rounds):
         own = heads(now)
         wide = own.groupBy("head").agg(F.count("*").alias("n")).where(F.col("n") > width)
         if wide.isEmpty():
             return union_all([*done, now])
-        place = F.row_number().over(Window.partitionBy("head").orderBy("clause_id")) - 1
-        split = own.join(wide, "head").withColumn("g", F.floor(place / width))
-        split = materialise(split.select("clause_id", "head", F.concat(F.lit(f"D{k}<"), "head", F.lit(":"), F.col("g").cast("string"), F.lit(">")).alias("mid")), "narrow")
+        # a head's clauses in buckets of about a thousand; a bucket's clauses are numbered and cut, each on its own
+        bucket = F.pmod(F.xxhash64("clause_id"), F.ceil(F.col("n") / 1000).cast("long"))
+        split = own.join(wide, "head").withColumn("b", bucket)
+        place = F.row_number().over(Window.partitionBy("head", "b").orderBy("clause_id")) - 1
+        split = split.withColumn("g", F.concat_ws("_", "b", F.floor(place / width).cast("string")))
+        split = materialise(split.select("clause_id", "head", F.concat(F.lit(f"D{k}<"), "head", F.lit(":"), F.col("g"), F.lit(">")).alias("mid")), "narrow")
         moved = now.join(split.select("clause_id", "mid"), "clause_id", "left")
         done.append(moved.where("mid is not null").select("clause_id", "rule", F.col("mid").alias("head"), "lit"))
         steps = split.select("mid", "head").distinct().select(F.concat(F.lit("narrow["), "mid", F.lit("]")).alias("clause_id"), F.lit("Rnarrow").alias("rule"), "head", F.col("mid").alias("lit"))

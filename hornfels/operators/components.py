@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hornfels.storage import materialise
+from hornfels.storage import keep, materialise, scratch
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -25,10 +25,17 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     known = links.where("u is not null and v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     known = materialise(known.distinct(), "links")
-    edges = known.where("u <> v")
+    with scratch(links.sparkSession):
+        edges = keep(_stars(known.where("u <> v"), rounds), "stars")
+    nodes = known.select(F.col("u").alias("node")).union(known.select("v")).distinct()
+    return nodes.join(edges.toDF("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def _stars(edges: DataFrame, rounds: int) -> DataFrame:
+    """The edges turned into stars about the least node of each component."""
     for _ in range(rounds):
         if _settled(edges):
-            break
+            return edges
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -36,7 +43,4 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         edges = materialise(linked.where("u <> v").distinct(), "links")
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    nodes = known.select(F.col("u").alias("node")).union(known.select("v")).distinct()
-    return nodes.join(edges.toDF("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    raise RuntimeError(f"components did not settle in {rounds} rounds")

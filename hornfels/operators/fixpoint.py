@@ -7,7 +7,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from hornfels.storage import materialise
+from hornfels.storage import keep, materialise, scratch
+
+#: Parts after which the rows known so far are written as one.
+PARTS = 64
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
@@ -17,9 +20,10 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 def fixpoint(base: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], rounds: int = 1000) -> DataFrame:
     """Distinct rows of ``base`` and all that ``step(new, all)`` derives, round by round.
 
-    ``step`` sees the rows that the last round added and all rows so far; what it returns is deduplicated
-    early and held against all rows. A round's rows are one Parquet part, so plans stay as short as in the
-    first round and a lost executor repeats one round at most.
+    ``step`` sees the rows that the last round added and all rows so far. What it returns is deduplicated and
+    written first, so that its size is known: while that is below Spark's broadcast threshold the known rows are
+    probed where they lie, and not shuffled again in every round. A round's new rows are one Parquet part, so plans
+    stay short and a lost executor repeats one round at most; what a round writes besides goes with it.
     """
     new = materialise(base.distinct(), "round")
     parts = [new]
@@ -27,7 +31,11 @@ def fixpoint(base: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame],
         if new.isEmpty():
             return union_all(parts)
         known = union_all(parts)
-        derived = step(new, known).select(base.columns).distinct()
-        new = materialise(derived.join(known, base.columns, "left_anti"), "round")
+        with scratch(base.sparkSession):
+            derived = materialise(step(new, known).select(base.columns).distinct(), "derived")
+            old = known.join(derived, base.columns, "left_semi")
+            new = keep(derived.join(old, base.columns, "left_anti"), "round")
         parts.append(new)
+        if len(parts) > PARTS:
+            parts = [materialise(union_all(parts), "rounds")]
     raise RuntimeError(f"no fixpoint after {rounds} rounds")

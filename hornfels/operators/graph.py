@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from hornfels.operators.components import components
 from hornfels.operators.fixpoint import fixpoint, union_all
-from hornfels.storage import materialise
-
-__all__ = ["components", "closure", "closure_by_doubling", "closure_no_self", "reach", "hops", "shortest", "scc", "in_cycles", "degrees", "levels", "path_counts", "same_generation", "dominators", "nodes_of", "roots", "path_ranges", "simple_paths", "simple_cycles"]
+from hornfels.storage import keep, materialise, scratch
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -22,7 +20,7 @@ def roots(edges: DataFrame) -> DataFrame:
 
 def closure(edges: DataFrame) -> DataFrame:
     """Pairs joined by a path of one edge or more: linear rules, a round for each length."""
-    edges = edges.select("u", "v").distinct()
+    edges = materialise(edges.select("u", "v").distinct(), "edges")
     onward = edges.select(F.col("u").alias("v"), F.col("v").alias("w"))
     return fixpoint(edges, lambda new, _: new.join(onward, "v").select("u", F.col("w").alias("v")))
 
@@ -46,7 +44,7 @@ def closure_no_self(edges: DataFrame) -> DataFrame:
 
 def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
     """``node``s reachable from ``start`` (column ``node``), itself included."""
-    onward = edges.select(F.col("u").alias("node"), "v").distinct()
+    onward = materialise(edges.select(F.col("u").alias("node"), "v").distinct(), "edges")
     return fixpoint(start.select("node"), lambda new, _: new.join(onward, "node").select(F.col("v").alias("node")))
 
 
@@ -54,7 +52,7 @@ def hops(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
     """Nodes within ``most`` edges of ``start``, and the fewest edges."""
     seen = start.select("node").distinct().withColumn("hops", F.lit(0))
     parts = [materialise(seen, "hops")]
-    onward = edges.select(F.col("u").alias("node"), "v").distinct()
+    onward = materialise(edges.select(F.col("u").alias("node"), "v").distinct(), "edges")
     for k in range(1, most + 1):
         new = parts[-1].join(onward, "node").select(F.col("v").alias("node")).distinct()
         new = materialise(new.join(union_all(parts), "node", "left_anti").withColumn("hops", F.lit(k)), "hops")
@@ -65,30 +63,104 @@ def hops(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
 
 
 def shortest(edges: DataFrame, most: int = 1000) -> DataFrame:
-    """u, v and the fewest edges of a path from u to v (u = v: of a cycle), round by round from all sources."""
-    edges = edges.select("u", "v").distinct()
+    """u, v and the fewest edges of a path from u to v (u = v: of a cycle), round by round from all sources.
+
+    The result has a row for each pair that a path joins; paths of more than ``most`` edges are an error.
+    """
+    edges = materialise(edges.select("u", "v").distinct(), "edges")
     onward = edges.select(F.col("u").alias("v"), F.col("v").alias("w"))
     parts = [materialise(edges.withColumn("dist", F.lit(1)), "dist")]
-    for k in range(2, most + 1):
+    for k in range(2, most + 2):
         new = parts[-1].join(onward, "v").select("u", F.col("w").alias("v")).distinct()
         new = materialise(new.join(union_all(parts), ["u", "v"], "left_anti").withColumn("dist", F.lit(k)), "dist")
         if new.isEmpty():
-            break
+            return union_all(parts)
         parts.append(new)
-    return union_all(parts)
+    raise RuntimeError(f"there are paths of more than {most} edges")
+
+
+def _without_ends(edges: DataFrame, rounds: int) -> DataFrame:
+    """The edges left once nodes without an edge in, or without one out, are taken away again and again."""
+    for _ in range(rounds):
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("v", F.lit(0), F.lit(1)))
+        inner = ends.groupBy("node").agg(F.max("o").alias("o"), F.max("i").alias("i")).where("o = 1 and i = 1").select("node")
+        left = edges.join(inner.withColumnRenamed("node", "u"), "u", "left_semi").join(inner.withColumnRenamed("node", "v"), "v", "left_semi")
+        left = materialise(left.select("u", "v"), "edges")
+        if left.count() == edges.count():
+            return left
+        edges = left
+    raise RuntimeError(f"nodes at the ends are still left after {rounds} rounds")
+
+
+def _colours(edges: DataFrame, rounds: int) -> DataFrame:
+    """node and the least node that reaches it, or itself."""
+    colours = materialise(nodes_of(edges).select("node", F.col("node").alias("colour"), F.lit(True).alias("new")), "colours")
+    for _ in range(rounds):
+        sent = colours.where("new").join(edges.withColumnRenamed("u", "node"), "node").groupBy("v").agg(F.min("colour").alias("least"))
+        better = F.coalesce(F.col("least") < F.col("colour"), F.lit(False))
+        colours = colours.join(sent.withColumnRenamed("v", "node"), "node", "left").select("node", F.least("colour", F.coalesce("least", "colour")).alias("colour"), better.alias("new"))
+        colours = materialise(colours, "colours")
+        if colours.where("new").isEmpty():
+            return colours.select("node", "colour")
+    raise RuntimeError(f"colours are not settled in {rounds} rounds")
+
+
+def scc(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """``node`` and ``scc``: the least node of its strongly connected component.
+
+    No closure is built. Nodes at the ends are trimmed; every other node takes the least node that reaches it as
+    its colour, and what reaches a colour's own node inside the colour is one component. Components leave, and
+    what is left goes on. The tables have a row a node or an edge; rounds follow the longest paths.
+    """
+    all_ = materialise(nodes_of(edges), "nodes")
+    found: list[DataFrame] = []
+    with scratch(edges.sparkSession):
+        left = materialise(edges.where("u <> v").select("u", "v").distinct(), "edges")
+        for _ in range(rounds):
+            left = _without_ends(left, rounds)
+            if left.isEmpty():
+                break
+            colours = _colours(left, rounds)
+            inside = left.join(colours.toDF("u", "cu"), "u").join(colours.toDF("v", "cv"), "v").where("cu = cv").select("u", "v")
+            back = materialise(inside.select(F.col("v").alias("node"), F.col("u").alias("w")), "back")
+            # all of a component have its colour's node as colour, so a search backwards in the colour finds it whole
+            start = colours.where("node = colour")
+            whole = fixpoint(start, lambda new, _, back=back: new.join(back, "node").select(F.col("w").alias("node"), "colour"))
+            whole = keep(whole.select("node", F.col("colour").alias("scc")), "scc")
+            found.append(whole)
+            gone = whole.select("node")
+            left = left.join(gone.withColumnRenamed("node", "u"), "u", "left_anti").join(gone.withColumnRenamed("node", "v"), "v", "left_anti")
+            left = materialise(left.select("u", "v"), "edges")
+        else:
+            raise RuntimeError(f"components are not settled in {rounds} rounds")
+    if not found:
+        return all_.select("node", F.col("node").alias("scc"))
+    return all_.join(union_all(found), "node", "left").select("node", F.coalesce("scc", "node").alias("scc"))
+
+
+def cycle_edges(edges: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """Edges on some cycle: loops, and edges inside a strongly connected component."""
+    classes = scc(edges) if classes is None else classes
+    ends = edges.select("u", "v").distinct().join(classes.toDF("u", "cu"), "u").join(classes.toDF("v", "cv"), "v")
+    return ends.where("cu = cv").select("u", "v")
 
 
-def scc(edges: DataFrame, paths: DataFrame | None = None) -> DataFrame:
-    """``node`` and ``scc``: the least node of its strongly connected component."""
-    paths = closure_by_doubling(edges) if paths is None else paths
-    back = paths.select(F.col("v").alias("u"), F.col("u").alias("v"))
-    mutual = paths.join(back, ["u", "v"])
-    least = mutual.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least"))
-    return nodes_of(edges).join(least, "node", "left").select("node", F.least("node", F.coalesce("least", "node")).alias("scc"))
+def in_cycles(edges: DataFrame) -> DataFrame:
+    """``node``s on some cycle, loops included."""
+    return cycle_edges(edges).select(F.col("u").alias("node")).distinct()
 
 
-def in_cycles(edges: DataFrame) -> DataFrame:
-    return closure_by_doubling(edges).where("u = v").select(F.col("u").alias("node"))
+def condensed(edges: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges between different components, named by their least nodes; an acyclic graph."""
+    ends = edges.select("u", "v").join(classes.toDF("u", "cu"), "u").join(classes.toDF("v", "cv"), "v")
+    return ends.where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct()
+
+
+def scc_levels(edges: DataFrame) -> DataFrame:
+    """``scc`` and ``level``: an order of the components in which every edge goes to a higher level."""
+    classes = materialise(scc(edges), "scc")
+    deep = levels(condensed(edges, classes)).select(F.col("node").alias("scc"), "level")
+    return classes.select("scc").distinct().join(deep, "scc", "left").select("scc", F.coalesce("level", F.lit(0)).alias("level"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -101,7 +173,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 def levels(edges: DataFrame, most: int = 1000) -> DataFrame:
     """Longest path from a root to each node of an acyclic graph. Each round keeps the nodes of deeper levels only."""
     now = materialise(nodes_of(edges), "level")
-    onward = edges.select(F.col("u").alias("node"), "v").distinct()
+    onward = materialise(edges.select(F.col("u").alias("node"), "v").distinct(), "edges")
     parts = []
     for k in range(most):
         deeper = materialise(now.join(onward, "node").select(F.col("v").alias("node")).distinct(), "level")
@@ -112,15 +184,40 @@ def levels(edges: DataFrame, most: int = 1000) -> DataFrame:
     raise RuntimeError("the graph has a cycle, or paths longer than asked for")
 
 
-def path_counts(edges: DataFrame, most: int = 1000) -> DataFrame:
-    """Paths from roots to each node of an acyclic graph; a root has one."""
-    onward = edges.select(F.col("u").alias("node"), "v")
-    parts = [materialise(roots(edges).withColumn("paths", F.lit(1).cast("long")), "paths")]
+def back_edges(edges: DataFrame) -> DataFrame:
+    """Edges that the count of paths leaves out so that what remains is acyclic: loops, and edges that close a cycle.
+
+    Within a component nodes have an order, by fewest edges from its entries (nodes with an edge from outside or
+    a path's start, else the least node) and then by name; an edge that does not go up in it is a back edge.
+    """
+    classes = materialise(scc(edges), "scc")
+    inner = materialise(cycle_edges(edges, classes), "inner")
+    nodes = materialise(nodes_of(inner), "inner")
+    entered = edges.select("u", "v").join(inner, ["u", "v"], "left_anti").select(F.col("v").alias("node")).join(nodes, "node", "left_semi").distinct()
+    member = nodes.join(classes, "node")
+    closed = member.join(member.join(entered, "node", "left_semi").select("scc").distinct(), "scc", "left_anti").where("node = scc").select("node")
+    start = materialise(entered.union(closed), "entries")
+    depth = materialise(hops(inner, start, 1_000_000), "depth")
+    place = lambda c: depth.select(F.col("node").alias(c), F.struct("hops", "node").alias(f"_{c}"))
+    return inner.join(place("u"), "u").join(place("v"), "v").where("_v <= _u").select("u", "v")
+
+
+def path_counts(edges: DataFrame, most: int = 1000, back: DataFrame | None = None) -> DataFrame:
+    """Paths from roots to each node, as decimals of 38 places; a root has one.
+
+    Without ``back`` the graph must be acyclic. With it, as from ``back_edges``, those edges count nothing. A node
+    that only back edges enter is a root.
+    """
+    edges = edges.select("u", "v") if back is None else edges.select("u", "v").join(back, ["u", "v"], "left_anti").unionByName(back.select(F.col("v").alias("u"), F.lit(None).cast(edges.schema["v"].dataType).alias("v")))
+    all_ = materialise(edges, "edges")
+    onward = all_.where("v is not null").select(F.col("u").alias("node"), "v")
+    start = all_.select(F.col("u").alias("node")).distinct().join(onward.select(F.col("v").alias("node")), "node", "left_anti")
+    parts = [materialise(start.withColumn("paths", F.lit(1).cast("decimal(38,0)")), "paths")]
     for _ in range(most):
-        new = parts[-1].join(onward, "node").groupBy(F.col("v").alias("node")).agg(F.sum("paths").alias("paths"))
+        new = parts[-1].join(onward, "node").groupBy(F.col("v").alias("node")).agg(F.sum("paths").cast("decimal(38,0)").alias("paths"))
         new = materialise(new, "paths")
         if new.isEmpty():
-            return union_all(parts).groupBy("node").agg(F.sum("paths").alias("paths"))
+            return union_all(parts).groupBy("node").agg(F.sum("paths").cast("decimal(38,0)").alias("paths"))
         parts.append(new)
     raise RuntimeError("the graph has a cycle, or paths longer than asked for")
 
@@ -135,17 +232,37 @@ def same_generation(edges: DataFrame) -> DataFrame:
     return fixpoint(siblings, lambda new, _: below(new).where("u <> v"))
 
 
-def dominators(edges: DataFrame, root: DataFrame) -> DataFrame:
+def dominators(edges: DataFrame, root: DataFrame, rounds: int = 1000) -> DataFrame:
     """``node`` and each ``dom`` on every path from the one ``root`` (column ``node``) to it, itself included.
 
-    A node d dominates v if v cannot be reached once d is taken out: one search for each d, in one fixpoint.
+    Rounds intersect the dominators of a node's predecessors, of those known so far, until nothing changes. A
+    round is a join over the edges and two grouped counts; the table has the dominators' rows and no others.
     """
-    reached = materialise(reach(edges, root), "reached")
-    inner = edges.join(reached.select(F.col("node").alias("u")), "u").select(F.col("u").alias("node"), "v").distinct()
-    removed = reached.select(F.col("node").alias("dom"))
-    start = root.select("node").join(removed).where("node <> dom").select("dom", "node")
-    still = fixpoint(start, lambda new, _: new.join(inner, "node").where("v <> dom").select("dom", F.col("v").alias("node")))
-    return removed.join(reached).join(still, ["dom", "node"], "left_anti").select("node", "dom")
+    with scratch(edges.sparkSession):
+        reached = materialise(reach(edges, root), "reached")
+        into = edges.select("u", "v").distinct().join(reached.select(F.col("node").alias("u")), "u").where("u <> v")
+        into = materialise(into.join(root.select(F.col("node").alias("v")), "v", "left_anti").select("u", "v"), "edges")
+        known = materialise(root.select("node", F.col("node").alias("dom")), "doms")
+        size = 1
+        for _ in range(rounds):
+            there = known.select(F.col("node").alias("u")).distinct()
+            preds = into.join(there, "u").groupBy("v").agg(F.count("*").alias("preds"))
+            common = into.join(known.withColumnRenamed("node", "u"), "u").groupBy("v", "dom").agg(F.count("*").alias("n"))
+            shared = common.join(preds, "v").where("n = preds").select(F.col("v").alias("node"), "dom")
+            own = preds.select(F.col("v").alias("node"), F.col("v").alias("dom"))
+            now = materialise(root.select("node", F.col("node").alias("dom")).union(shared).union(own).distinct(), "doms")
+            count = now.count()
+            if count == size and now.join(known, ["node", "dom"], "left_anti").isEmpty():
+                return keep(now, "doms")
+            known, size = now, count
+    raise RuntimeError(f"dominators are not settled in {rounds} rounds")
+
+
+def dominance_frontier(edges: DataFrame, doms: DataFrame) -> DataFrame:
+    """``node`` and each ``front``: a node that it does not strictly dominate, but one of whose predecessors it dominates."""
+    ahead = edges.select(F.col("u").alias("p"), F.col("v").alias("front")).distinct().join(doms.select(F.col("node").alias("p"), F.col("dom").alias("node")), "p")
+    strict = doms.where("node <> dom").select(F.col("node").alias("front"), F.col("dom").alias("node"))
+    return ahead.select("node", "front").distinct().join(strict, ["node", "front"], "left_anti")
 
 
 def path_ranges(edges: DataFrame) -> DataFrame:
@@ -157,8 +274,8 @@ def path_ranges(edges: DataFrame) -> DataFrame:
     e = edges.select("u", "v").distinct()
     counts = path_counts(e).select(F.col("node").alias("u"), "paths")
     before = Window.partitionBy("v").orderBy("u").rowsBetween(Window.unboundedPreceding, -1)
-    rows = e.join(counts, "u").withColumn("first", F.coalesce(F.sum("paths").over(before), F.lit(0)).cast("long"))
-    return rows.select("u", "v", "first", (F.col("first") + F.col("paths")).alias("last"))
+    rows = e.join(counts, "u").withColumn("first", F.coalesce(F.sum("paths").over(before), F.lit(0)).cast("decimal(38,0)"))
+    return rows.select("u", "v", "first", (F.col("first") + F.col("paths")).cast("decimal(38,0)").alias("last"))
 
 
 def simple_paths(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:

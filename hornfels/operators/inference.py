@@ -22,7 +22,7 @@ def and_or(clauses: DataFrame, dob: DataFrame, p: Column, evidence: DataFrame |
     parts = [materialise(known, "marginal")]
     body = clauses.select("clause_id", "rule", "head", F.col("lit").alias("tuple"))
     birth = dob.select(F.col("tuple").alias("head"), "dob")
-    body = materialise(body.join(birth, "head"), "body")
+    body = materialise(body.join(birth, "head"), "body", "dob")  # a folder a birth date, so that a round reads its own
     for k in levels:
         rows = body.where(F.col("dob") == k).join(union_all(parts), "tuple", "left")
         held = rows.groupBy("clause_id", "rule", "head").agg(F.product(F.coalesce("p", F.lit(1.0))).alias("q"))
@@ -42,12 +42,13 @@ def noisy_or(p: Column) -> Column:
     return 1 - F.product(1 - p)
 
 
-def belief_propagation(entries: DataFrame, rounds: int = 60, tolerance: float = 1e-6, damping: float = 0.0, maximum: bool = False) -> DataFrame:
+def belief_propagation(entries: DataFrame, rounds: int = 60, tolerance: float = 1e-6, damping: float = 0.0, maximum: bool = False, strict: bool = True) -> DataFrame:
     """Marginals (var, state, p) of a factor graph by loopy sum-product, or max-product, in parallel rounds.
 
     ``entries`` has a row for each factor entry and variable: factor, entry, value, var, state. Messages are
     tables; a round is two joins and grouped sums of logarithms, normalised for each edge. Variables without
-    evidence need no row of their own. Stops once no message moved by more than ``tolerance``.
+    evidence need no row of their own. Stops once no message moved by more than ``tolerance``; if that takes more
+    than ``rounds`` it is an error, unless ``strict`` is off, which gives the last beliefs as they are.
     """
     edges = materialise(entries.select("factor", "entry", "value", "var", "state"), "factors")
     domain = edges.select("factor", "var", "state").distinct()
@@ -55,10 +56,11 @@ def belief_propagation(entries: DataFrame, rounds: int = 60, tolerance: float =
     messages = materialise(domain.join(size, ["factor", "var"]).select("factor", "var", "state", (1 / F.col("k")).alias("m")), "messages")  # from variables
     pool = F.max if maximum else F.sum
     up = messages
+    others = edges.alias("a").join(edges.select("factor", "entry", F.col("var").alias("w"), F.col("state").alias("ws")).alias("b"), ["factor", "entry"]).where("w <> var")
+    others = materialise(others.select("factor", "entry", "var", "state", "w", "ws"), "others")
     for _ in range(rounds):
-        others = edges.alias("a").join(edges.select("factor", "entry", F.col("var").alias("w"), F.col("state").alias("ws")).alias("b"), ["factor", "entry"]).where("w <> var")
         weighted = others.join(messages.select("factor", F.col("var").alias("w"), F.col("state").alias("ws"), "m"), ["factor", "w", "ws"])
-        product = weighted.groupBy("factor", "entry", "var", "state").agg(F.product("m").alias("m"))
+        product = weighted.groupBy("factor", "entry", "var", "state").agg(F.exp(F.sum(F.log(F.greatest("m", F.lit(1e-300))))).alias("m"))
         full = edges.join(product, ["factor", "entry", "var", "state"], "left").withColumn("x", F.col("value") * F.coalesce("m", F.lit(1.0)))
         up = full.groupBy("factor", "var", "state").agg(pool("x").alias("m"))
         norm = up.groupBy("factor", "var").agg(F.sum("m").alias("z"))
@@ -73,6 +75,9 @@ def belief_propagation(entries: DataFrame, rounds: int = 60, tolerance: float =
         messages = both.drop("d")
         if moved <= tolerance:
             break
+    else:
+        if strict:
+            raise RuntimeError(f"messages still moved by {moved} after {rounds} rounds")
     belief = up.groupBy("var", "state").agg(F.exp(F.sum(F.log(F.greatest("m", F.lit(1e-300))))).alias("b"))
     z = belief.groupBy("var").agg(F.sum("b").alias("z"))
     return belief.join(z, "var").select("var", "state", (F.col("b") / F.col("z")).alias("p"))

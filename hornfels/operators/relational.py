@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hornfels.storage import materialise
@@ -80,6 +80,21 @@ def domain_index(values: DataFrame) -> DataFrame:
     return ranked.join(before, "_part").select("value", (F.col("_base") + F.col("_rank") - 1).cast("long").alias("id"))
 
 
-def equivalence(values: DataFrame, other: DataFrame) -> DataFrame:
+def same_values(values: DataFrame, other: DataFrame) -> DataFrame:
     """Pairs (a, b) of dictionaries' ids that stand for the same value."""
     return values.select("value", F.col("id").alias("a")).join(other.select("value", F.col("id").alias("b")), "value").select("a", "b")
+
+
+def equivalence(**sizes: int) -> list[tuple[str, int, int]]:
+    """(domain, size, offset) of domains packed into one, in the given order: each begins ``size + 1`` after the last."""
+    out, at = [], 0
+    for name, size in sizes.items():
+        out.append((name, size, at))
+        at += size + 1
+    return out
+
+
+def packed(spark: SparkSession, **sizes: int) -> DataFrame:
+    """The relation (domain, id, packed) between each domain's ids and those of the domain that holds them all."""
+    parts = [spark.range(size).select(F.lit(name).alias("domain"), "id", (F.col("id") + offset).alias("packed")) for name, size, offset in equivalence(**sizes)]
+    return reduce(DataFrame.unionByName, parts)

@@ -12,26 +12,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hornfels.operators import clauses as C
+from hornfels.operators import graph as G
 from hornfels.operators import inference as I
+from hornfels.operators import network as N
 from hornfels.operators import provenance as P
 from hornfels.operators import relational as R
 from hornfels.operators.fixpoint import fixpoint
+from hornfels.plans.graphs import HABITS, firsts, habits
 from hornfels.plans.registry import query, relation
 from hornfels.storage import materialise
 
 
-def rules(spark: SparkSession, sf: str) -> DataFrame:
+def _atoms(spark: SparkSession, sf: str) -> tuple[DataFrame, ...]:
     item = R.atom(relation(spark, sf, "lineitem", "l_orderkey", "l_suppkey"), "o", "s").distinct()
     order = R.atom(relation(spark, sf, "orders", "o_orderkey", "o_custkey"), "o", "c")
     sup = R.atom(relation(spark, sf, "supplier", "s_suppkey", "s_nationkey"), "s", "n")
     cust = R.atom(relation(spark, sf, "customer", "c_custkey", "c_nationkey"), "c", "m")
     region = relation(spark, sf, "nation", "n_nationkey", "n_regionkey")
-    left, right = R.atom(region, "m", "r"), R.atom(region, "n", "q")
+    return item, order, sup, cust, R.atom(region, "m", "r"), R.atom(region, "n", "q")
+
+
+def _facts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The bodies of R1 and R2 and the relations trades and linked, which are mutually recursive."""
+    item, order, sup, cust, left, right = _atoms(spark, sf)
     one = R.body(order, item, sup)
-    two = R.body(R.head(one, c="c", n="n"), cust)
-    pairs = materialise(R.head(two, m="m", n="n"), "trades")
+    two = materialise(R.body(R.head(one, c="c", n="n"), cust), "two")
+    pairs = R.head(two, m="m", n="n")
 
-    def both(new: DataFrame, _: DataFrame) -> DataFrame:  # mutual recursion of trades and linked, told apart by a name
+    def both(new: DataFrame, _: DataFrame) -> DataFrame:  # the two relations in one fixpoint, told apart by a name
         up = R.body(new.where("name = 'trades'").select(F.col("a").alias("m"), F.col("b").alias("n")), left, right)
         down = R.body(new.where("name = 'linked'").select(F.col("a").alias("r"), F.col("b").alias("q")), left, right)
         up = up.select(F.lit("linked").alias("name"), F.col("r").alias("a"), F.col("q").alias("b"))
@@ -40,10 +48,21 @@ def rules(spark: SparkSession, sf: str) -> DataFrame:
     known = fixpoint(pairs.select(F.lit("trades").alias("name"), F.col("m").alias("a"), F.col("n").alias("b")), both)
     trades = known.where("name = 'trades'").select(F.col("a").alias("m"), F.col("b").alias("n"))
     linked = known.where("name = 'linked'").select(F.col("a").alias("r"), F.col("b").alias("q"))
+    return one, two, trades, linked
+
+
+def rule_one(one: DataFrame) -> DataFrame:
+    w = P.written
+    return P.instrument(one, "R1", w("reach", "c", "n"), [w("ordBy", "o", "c"), w("item", "o", "s"), w("supIn", "s", "n")])
+
+
+def rules(spark: SparkSession, sf: str) -> DataFrame:
+    one, two, trades, linked = _facts(spark, sf)
+    *_, left, right = _atoms(spark, sf)
     w = P.written
     three, four = R.body(trades, left, right), R.body(linked, left, right)
     parts = [
-        P.instrument(one, "R1", w("reach", "c", "n"), [w("ordBy", "o", "c"), w("item", "o", "s"), w("supIn", "s", "n")]),
+        rule_one(one),
         P.instrument(two, "R2", w("trades", "m", "n"), [w("reach", "c", "n"), w("custIn", "c", "m")]),
         P.instrument(three, "R3", w("linked", "r", "q"), [w("trades", "m", "n"), w("inRegion", "m", "r"), w("inRegion", "n", "q")]),
         P.instrument(four, "R4", w("trades", "m", "n"), [w("linked", "r", "q"), w("inRegion", "m", "r"), w("inRegion", "n", "q")]),
@@ -59,17 +78,17 @@ lk AS (SELECT DISTINCT a.y AS r, b.y AS q FROM two JOIN reg a ON m = a.x JOIN re
 four AS (SELECT r, q, a.x AS m, b.x AS n FROM lk JOIN reg a ON a.y = r JOIN reg b ON b.y = q),
 tr AS (SELECT m, n FROM two UNION SELECT m, n FROM four),
 three AS (SELECT m, n, a.y AS r, b.y AS q FROM tr JOIN reg a ON m = a.x JOIN reg b ON n = b.x),
-cl AS (
+cl AS MATERIALIZED (
 SELECT 'R1[' || concat_ws(',', c, n, o, s) || ']' AS clause_id, 'R1' AS rule, 'reach(' || c || ',' || n || ')' AS head, unnest(['ordBy(' || o || ',' || c || ')', 'item(' || o || ',' || s || ')', 'supIn(' || s || ',' || n || ')']) AS lit FROM one
 UNION ALL SELECT 'R2[' || concat_ws(',', c, m, n) || ']', 'R2', 'trades(' || m || ',' || n || ')', unnest(['reach(' || c || ',' || n || ')', 'custIn(' || c || ',' || m || ')']) FROM two
 UNION ALL SELECT 'R3[' || concat_ws(',', m, n, q, r) || ']', 'R3', 'linked(' || r || ',' || q || ')', unnest(['trades(' || m || ',' || n || ')', 'inRegion(' || m || ',' || r || ')', 'inRegion(' || n || ',' || q || ')']) FROM three
 UNION ALL SELECT 'R4[' || concat_ws(',', m, n, q, r) || ']', 'R4', 'trades(' || m || ',' || n || ')', unnest(['linked(' || r || ',' || q || ')', 'inRegion(' || m || ',' || r || ')', 'inRegion(' || n || ',' || q || ')']) FROM four)"""
-BORN = """born AS (SELECT lit AS tuple, 0 AS dob FROM (SELECT lit FROM cl EXCEPT SELECT head FROM cl)
+BORN = """born AS MATERIALIZED (SELECT lit AS tuple, 0 AS dob FROM (SELECT lit FROM cl EXCEPT SELECT head FROM cl)
 UNION ALL SELECT 'reach(' || c || ',' || n || ')', 1 FROM (SELECT DISTINCT c, n FROM one)
 UNION ALL SELECT 'trades(' || m || ',' || n || ')', 2 FROM (SELECT DISTINCT m, n FROM two)
 UNION ALL SELECT 'linked(' || r || ',' || q || ')', 3 FROM lk
 UNION ALL SELECT 'trades(' || m || ',' || n || ')', 4 FROM (SELECT DISTINCT m, n FROM four EXCEPT SELECT m, n FROM two))"""
-FORWARD = "fw AS (SELECT cl.* FROM cl JOIN (SELECT clause_id FROM cl JOIN born l ON l.tuple = lit JOIN born h ON h.tuple = head GROUP BY clause_id HAVING max(l.dob) < min(h.dob)) USING (clause_id))"
+FORWARD = "late AS (SELECT clause_id, any_value(head) AS head, max(dob) AS latest FROM cl JOIN born ON tuple = lit GROUP BY clause_id), fw AS (SELECT * FROM cl WHERE clause_id IN (SELECT clause_id FROM late JOIN born ON tuple = head WHERE latest < dob))"
 OUTPUT = "linked(0,0)"
 
 
@@ -84,7 +103,13 @@ def prov_clauses(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {CLAUSES} SELECT * FROM cl WHERE head = '{OUTPUT}'")
 def prov_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return P.lookup(rules(spark, sf), output(spark))
+    """Clauses of one tuple: its terms are bound in the body of the rule that derives it before anything is joined."""
+    _, _, trades, _ = _facts(spark, sf)
+    *_, left, right = _atoms(spark, sf)
+    w = P.written
+    three = R.body(left.where("r = 0"), trades, right.where("q = 0"))
+    three = P.instrument(three, "R3", w("linked", "r", "q"), [w("trades", "m", "n"), w("inRegion", "m", "r"), w("inRegion", "n", "q")])
+    return P.lookup(three, output(spark)).select("clause_id", "rule", "head", "lit")
 
 
 @query(f"WITH {CLAUSES} SELECT rule, count(DISTINCT clause_id) AS n FROM cl GROUP BY rule")
@@ -156,7 +181,8 @@ def derive_obs(spark: SparkSession, sf: str) -> DataFrame:
 UNION ALL SELECT 'supIn(' || s_suppkey || ',' || s_nationkey || ')' FROM supplier WHERE s_acctbal < 0""")
 def feedback_consistency(spark: SparkSession, sf: str) -> DataFrame:
     """What becomes false when the suppliers in debt are; customers lose a nation if all its suppliers go."""
-    c = rules(spark, sf).where("rule = 'R1'")
+    item, order, sup, *_ = _atoms(spark, sf)
+    c = materialise(rule_one(R.body(order, item, sup)), "clauses")
     poor = spark.read.parquet(f"{sf}/supplier.parquet").where("s_acctbal < 0")
     said = poor.select(P.written("supIn", "s_suppkey", "s_nationkey").alias("tuple"), F.lit(False).alias("value"))
     return C.push_false(c, said)
@@ -181,3 +207,118 @@ def wide_heads(spark: SparkSession, sf: str) -> DataFrame:
     c = rules(spark, sf).where("rule in ('R1', 'R2')")
     split = C.narrow(c).where("rule = 'Rnarrow' and head not like 'D%'").select("head").distinct()
     return c.select("head", "rule").distinct().join(split, "head").groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def _follows(spark: SparkSession, sf: str) -> DataFrame:
+    """P1 vis(x) :- first(x).  P2 vis(y) :- vis(x), step(x, y).  A cyclic program over users' habits, which grows with the events."""
+    e = materialise(habits(spark, sf), "habits")
+    w = P.written
+    one = P.instrument(firsts(e).toDF("x"), "P1", w("vis", "x"), [w("first", "x")])
+    reached = G.reach(e, firsts(e)).withColumnRenamed("node", "x")
+    two = P.instrument(e.toDF("x", "y").join(reached, "x"), "P2", w("vis", "y"), [w("vis", "x"), w("step", "x", "y")])
+    return materialise(one.unionByName(two), "clauses")
+
+
+FOLLOWS = f"""{HABITS}, t(node, k) AS (SELECT node, 1 FROM f UNION SELECT e.v, k + 1 FROM t JOIN e ON t.node = e.u WHERE k < 60), d AS (SELECT node, min(k)::INT AS k FROM t GROUP BY node)"""
+
+
+@query(f"WITH RECURSIVE {FOLLOWS} SELECT 'vis(' || node || ')' AS tuple, k AS dob FROM d UNION ALL SELECT 'first(' || node || ')', 0 FROM f UNION ALL SELECT 'step(' || u || ',' || v || ')', 0 FROM e JOIN d ON node = u")
+def cyclic_dob(spark: SparkSession, sf: str) -> DataFrame:
+    return C.births(_follows(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {FOLLOWS} SELECT 'P2[' || u || ',' || v || ']' AS clause_id FROM e JOIN d a ON a.node = u JOIN d b ON b.node = v WHERE a.k < b.k UNION ALL SELECT 'P1[' || node || ']' FROM f""")
+def cyclic_forward(spark: SparkSession, sf: str) -> DataFrame:
+    c = _follows(spark, sf)
+    return C.forward(c, C.births(c)).select("clause_id").distinct()
+
+
+@query(f"""WITH RECURSIVE {FOLLOWS}, bad AS (SELECT node FROM f JOIN d USING (node) WHERE node LIKE '%:0')
+SELECT 'first(' || node || ')' AS tuple, false AS value FROM bad UNION ALL SELECT 'vis(' || node || ')', NOT node IN (SELECT node FROM bad) FROM f WHERE node IN (SELECT node FROM bad) AND NOT EXISTS (SELECT 1 FROM e JOIN d ON d.node = u WHERE v = f.node)""")
+def feedback_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the statements that low first nodes are no starts and that all of them are visited, those that stay once falsehood is pushed.
+
+    A first node that no step leads to is no longer visited, so that statement falls, and its opposite is said too.
+    """
+    c = _follows(spark, sf)
+    low = c.where("rule = 'P1' and lit like '%:0)'").select("lit", "head").distinct()
+    entered = c.where("rule = 'P2'").select("head").distinct()
+    said = low.select(F.col("lit").alias("tuple"), F.lit(False).alias("value"))
+    alone = low.join(entered, "head", "left_anti")
+    both = alone.select(F.col("head").alias("tuple"), F.explode(F.array(F.lit(True), F.lit(False))).alias("value"))
+    return C.consistent_feedback(c, materialise(said.unionByName(both), "feedback"))
+
+
+TREE = """s AS (SELECT s_suppkey AS s, s_nationkey AS n, 1 / (1 + exp(-s_acctbal / 5000)) AS a FROM supplier), post AS (SELECT s, n, 0.2 * a / (0.2 * a + 0.8 * (1 - a)) AS p FROM s),
+low AS (SELECT n, 1 - product(1 - 0.9 * p) AS p FROM post GROUP BY n)"""
+
+
+def _observed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """low(n) :- poor(s), supIn(s, n), with an observer on each poor(s) whose agreement follows the account; a tree."""
+    sup = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("s"), F.col("s_nationkey").alias("n"), "s_acctbal")
+    w = P.written
+    c = P.instrument(sup.select("s", "n"), "L", w("low", "n"), [w("poor", "s"), w("supIn", "s", "n")])
+    return materialise(c, "clauses"), materialise(sup.select(w("poor", "s").alias("tuple"), (1 / (1 + F.exp(-F.col("s_acctbal") / 5000))).alias("agreement")), "agreement")
+
+
+@query(f"WITH {TREE} SELECT 'low(' || n || ')' AS tuple, round(p, 5) AS p FROM low UNION ALL SELECT 'poor(' || s || ')', round(p, 5) FROM post")
+def network_marginals(spark: SparkSession, sf: str) -> DataFrame:
+    """Belief propagation over the network, wide heads split, with all observers saying true."""
+    c, soft = _observed(spark, sf)
+    out = N.marginals(C.narrow(c, 8), F.when(F.col("rule") == "Rnarrow", 1.0).otherwise(0.9), None, soft)
+    return out.where("tuple not like 'D%'").select("tuple", F.round("p", 5).alias("p"))
+
+
+@query(f"""WITH {TREE}, q AS (SELECT n, 1 - product(1 - 0.9 * 0.2) AS p FROM s GROUP BY n)
+SELECT 'low(' || n || ')' AS tuple, round(q.p, 5) AS prior, round(low.p, 5) AS soft, 1.0::DOUBLE AS oracle FROM q JOIN low USING (n)""")
+def network_rankings(spark: SparkSession, sf: str) -> DataFrame:
+    """Each low(n) by the rules alone, with soft evidence, and once it is labelled."""
+    c, soft = _observed(spark, sf)
+    alarms = c.select(F.col("head").alias("tuple")).distinct()
+    out = N.rankings(C.narrow(c, 8), F.when(F.col("rule") == "Rnarrow", 1.0).otherwise(0.9), alarms, soft, alarms.withColumn("value", F.lit(True)))
+    return out.select("tuple", *[F.round(k, 5).alias(k) for k in ("prior", "soft", "oracle")])
+
+
+@query("""WITH s AS (SELECT s_suppkey AS s, s_nationkey AS n FROM supplier), k AS (SELECT n, count(*) AS c, min('L[' || n || ',' || s || ']') AS one FROM s GROUP BY n)
+SELECT 'L[' || n || ',' || s || ']' AS node, '*' AS kind FROM s UNION ALL SELECT 'low(' || n || ')', '+' FROM k WHERE c > 1 UNION ALL SELECT 'poor(' || s || ')', 'i' FROM s UNION ALL SELECT 'poor(' || s || ')_t', '^' FROM s""")
+def network_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    c, soft = _observed(spark, sf)
+    return N.network(c, soft)[0].select("node", "kind")
+
+
+@query("""SELECT 'L' AS rule, round(least(avg(t), 0.999), 5) AS p FROM (SELECT n_nationkey, (count(s_suppkey) > 0)::INT AS t FROM nation LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal < 0) ON s_nationkey = n_nationkey GROUP BY 1)""")
+def rules_fitted(spark: SparkSession, sf: str) -> DataFrame:
+    """The probability of low(n) :- nation(n) that the nations with a supplier in debt make likeliest."""
+    nation = relation(spark, sf, "nation", "n_nationkey").toDF("n")
+    c = P.instrument(nation, "L", P.written("low", "n"), [P.written("nation", "n")])
+    true = spark.read.parquet(f"{sf}/supplier.parquet").where("s_acctbal < 0").select(P.written("low", "s_nationkey").alias("tuple"))
+    found = I.fit_rules(c, true.union(c.select("lit")).distinct())
+    return spark.createDataFrame([(k, round(v, 5)) for k, v in found.items()], "rule string, p double")
+
+
+@query(f"WITH {CLAUSES} SELECT 'R1[' || concat_ws(',', c, n, o, s) || '] twice' AS clause_id, 'R9' AS rule, 'reach(' || c || ',' || n || ')' AS head, unnest(['ordBy(' || o || ',' || c || ')', 'item(' || o || ',' || s || ')', 'supIn(' || s || ',' || n || ')']) AS lit FROM one")
+def last_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """R1 under two names: the last name of each clause stays."""
+    item, order, sup, *_ = _atoms(spark, sf)
+    c = materialise(rule_one(R.body(order, item, sup)), "clauses")
+    again = c.select(F.concat("clause_id", F.lit(" twice")).alias("clause_id"), F.lit("R9").alias("rule"), "head", "lit")
+    return P.without_last_duplicates(c.unionByName(again))
+
+
+@query("""WITH c AS (SELECT c_custkey AS c, count(*) AS k, min(o_orderkey) AS o FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1)
+SELECT 'big(' || c || ')' AS head, round(CASE WHEN k = 1 THEN 0.81 ELSE 0.9 END, 5) AS p, k::BIGINT AS n FROM c""")
+def chains_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """big(c) :- some(c). some(c) :- ordBy(o, c): where a customer has one order the two clauses are one.
+
+    For each big(c) its probability and how many clauses lead to some(c), or to big(c) itself.
+    """
+    order = R.atom(relation(spark, sf, "orders", "o_orderkey", "o_custkey"), "o", "c")
+    w = P.written
+    c = P.instrument(order, "A", w("some", "c"), [w("ordBy", "o", "c")]).unionByName(P.instrument(order.select("c").distinct(), "B", w("big", "c"), [w("some", "c")]))
+    c = materialise(c, "clauses")
+    big = c.where("rule = 'B'").select(F.col("head").alias("tuple")).distinct()
+    merged, p = C.compress_chains(c, C.heads(c).select("clause_id", F.lit(0.9).alias("p")), big)
+    merged = materialise(merged, "merged")
+    last = C.heads(merged).where("head like 'big(%'").join(p, "clause_id")
+    wide = C.heads(merged).where("head like 'some(%'").groupBy(F.regexp_replace("head", "^some", "big").alias("head")).agg(F.count("*").alias("n"))
+    return last.join(wide, "head", "left").select("head", F.round("p", 5).alias("p"), F.coalesce("n", F.lit(1)).cast("long").alias("n"))

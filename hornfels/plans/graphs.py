@@ -30,19 +30,22 @@ def transitions(spark: SparkSession, sf: str) -> DataFrame:
     return steps.where("v is not null").distinct()
 
 
-def partners(spark: SparkSession, sf: str) -> DataFrame:
-    """For each suppliers' nation the two customers' nations with the most lines; a graph with cycles."""
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n"))
-    sup, cust = relation(spark, sf, "supplier", "s_suppkey", "s_nationkey"), relation(spark, sf, "customer", "c_custkey", "c_nationkey")
-    orders = relation(spark, sf, "orders", "o_orderkey", "o_custkey").join(cust, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
-    trade = lines.join(sup, F.col("l_suppkey") == F.col("s_suppkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    trade = trade.groupBy(F.col("s_nationkey").alias("u"), F.col("c_nationkey").alias("v")).agg(F.sum("n").alias("n"))
-    best = trade.withColumn("k", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("n"), "v"))).where("k <= 2")
-    return materialise(best.select("u", "v"), "partners")
-
-
-PARTNERS = """e(u, v) AS (SELECT u, v FROM (SELECT s_nationkey::BIGINT AS u, c_nationkey::BIGINT AS v, row_number() OVER (PARTITION BY s_nationkey ORDER BY count(*) DESC, c_nationkey) AS k
-FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY s_nationkey, c_nationkey) WHERE k <= 2)"""
+def habits(spark: SparkSession, sf: str) -> DataFrame:
+    """What follows what for a user: nodes are a user, an event's type and the tenth its value is in; a graph with cycles."""
+    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    node = F.concat_ws(":", F.col("user_id").cast("string"), "event_type", F.floor(F.col("value") / 10).cast("string"))
+    rows = table(spark, sf, "events").select(node.alias("u"), "user_id", "ts", "event_id").select("u", F.lead("u").over(by).alias("v"))
+    return materialise(rows.where("v is not null").distinct(), "habits")
+
+
+def firsts(edges: DataFrame) -> DataFrame:
+    """The least node of each user with an edge from it."""
+    return edges.groupBy(F.substring_index("u", ":", 1).alias("user")).agg(F.min("u").alias("node")).select("node")
+
+
+HABITS = """e(u, v) AS (SELECT DISTINCT u, v FROM (SELECT u, lead(u) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v
+FROM (SELECT *, user_id || ':' || event_type || ':' || floor(value / 10)::BIGINT AS u FROM events)) WHERE v IS NOT NULL),
+f(node) AS (SELECT min(u) FROM e GROUP BY split_part(u, ':', 1))"""
 TRANSITIONS = "e(u, v) AS (SELECT DISTINCT u, v FROM (SELECT event_type AS u, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v FROM events) WHERE v IS NOT NULL)"
 CLOSE = "t(u, v) AS (SELECT u, v FROM e UNION SELECT t.u, e.v FROM t JOIN e ON t.v = e.u)"
 
@@ -52,9 +55,9 @@ def tc_linear(spark: SparkSession, sf: str) -> DataFrame:
     return G.closure(hierarchy(spark, sf))
 
 
-@query(f"WITH RECURSIVE {PARTNERS}, {CLOSE} SELECT u, v FROM t")
+@query(f"WITH RECURSIVE {HABITS}, {CLOSE} SELECT u, v FROM t")
 def tc_nonlinear(spark: SparkSession, sf: str) -> DataFrame:
-    return G.closure_by_doubling(partners(spark, sf))
+    return G.closure_by_doubling(habits(spark, sf))
 
 
 @query(f"WITH RECURSIVE {TRANSITIONS}, {CLOSE} SELECT u, v FROM t")
@@ -62,47 +65,47 @@ def tc_cyclic(spark: SparkSession, sf: str) -> DataFrame:
     return G.closure(transitions(spark, sf))
 
 
-@query(f"WITH RECURSIVE {PARTNERS}, p AS (SELECT u, v FROM e WHERE u <> v), t(u, v) AS (SELECT u, v FROM p UNION SELECT t.u, p.v FROM t JOIN p ON t.v = p.u) SELECT u, v FROM t WHERE u <> v UNION SELECT u, v FROM e WHERE u = v")
+@query(f"WITH RECURSIVE {HABITS}, p AS (SELECT u, v FROM e WHERE u <> v), t(u, v) AS (SELECT u, v FROM p UNION SELECT t.u, p.v FROM t JOIN p ON t.v = p.u) SELECT u, v FROM t WHERE u <> v UNION SELECT u, v FROM e WHERE u = v")
 def closure_no_self(spark: SparkSession, sf: str) -> DataFrame:
-    return G.closure_no_self(partners(spark, sf))
+    return G.closure_no_self(habits(spark, sf))
 
 
-@query(f"WITH RECURSIVE {PARTNERS}, t(node) AS (SELECT min(u) FROM e UNION SELECT e.v FROM t JOIN e ON t.node = e.u) SELECT node FROM t")
+@query(f"WITH RECURSIVE {HABITS}, t(node) AS (SELECT node FROM f UNION SELECT e.v FROM t JOIN e ON t.node = e.u) SELECT node FROM t")
 def reach_from_root(spark: SparkSession, sf: str) -> DataFrame:
-    e = partners(spark, sf)
-    return G.reach(e, e.agg(F.min("u").alias("node")))
+    e = habits(spark, sf)
+    return G.reach(e, firsts(e))
 
 
-@query(f"WITH RECURSIVE {PARTNERS}, t(node) AS (SELECT min(u) FROM e UNION SELECT e.v FROM t JOIN e ON t.node = e.u) SELECT u AS node FROM e UNION SELECT v FROM e EXCEPT SELECT node FROM t")
+@query(f"WITH RECURSIVE {HABITS}, t(node) AS (SELECT node FROM f UNION SELECT e.v FROM t JOIN e ON t.node = e.u) SELECT u AS node FROM e UNION SELECT v FROM e EXCEPT SELECT node FROM t")
 def stratified_unreachable(spark: SparkSession, sf: str) -> DataFrame:
-    e = partners(spark, sf)
-    return R.without(G.nodes_of(e), G.reach(e, e.agg(F.min("u").alias("node"))))
+    e = habits(spark, sf)
+    return R.without(G.nodes_of(e), G.reach(e, firsts(e)))
 
 
-@query(f"WITH RECURSIVE {PARTNERS}, t(node, k) AS (SELECT min(u), 0 FROM e UNION SELECT e.v, k + 1 FROM t JOIN e ON t.node = e.u WHERE k < 2) SELECT node, min(k)::INT AS hops FROM t GROUP BY node")
+@query(f"WITH RECURSIVE {HABITS}, t(node, k) AS (SELECT node, 0 FROM f UNION SELECT e.v, k + 1 FROM t JOIN e ON t.node = e.u WHERE k < 2) SELECT node, min(k)::INT AS hops FROM t GROUP BY node")
 def bounded_k_hop(spark: SparkSession, sf: str) -> DataFrame:
-    e = partners(spark, sf)
-    return G.hops(e, e.agg(F.min("u").alias("node")), 2)
+    e = habits(spark, sf)
+    return G.hops(e, firsts(e), 2)
 
 
-@query(f"WITH RECURSIVE {PARTNERS}, t(u, v, d) AS (SELECT DISTINCT u, v, 1 FROM e UNION SELECT t.u, e.v, d + 1 FROM t JOIN e ON t.v = e.u WHERE d < 26) SELECT u, v, min(d)::INT AS dist FROM t GROUP BY u, v")
+@query(f"WITH RECURSIVE {HIERARCHY}, t(u, v, d) AS (SELECT u, v, 1 FROM e UNION ALL SELECT t.u, e.v, d + 1 FROM t JOIN e ON t.v = e.u) SELECT u, v, min(d)::INT AS dist FROM t GROUP BY u, v")
 def shortest_path(spark: SparkSession, sf: str) -> DataFrame:
-    return G.shortest(partners(spark, sf))
+    return G.shortest(hierarchy(spark, sf))
 
 
-@query(f"WITH RECURSIVE {PARTNERS}, {CLOSE}, n AS (SELECT u AS node FROM e UNION SELECT v FROM e), m AS (SELECT a.u AS node, min(a.v) AS l FROM t a JOIN t b ON a.u = b.v AND a.v = b.u GROUP BY a.u) SELECT node, least(node, coalesce(l, node)) AS scc FROM n LEFT JOIN m USING (node)")
+@query(f"WITH RECURSIVE {HABITS}, {CLOSE}, n AS (SELECT u AS node FROM e UNION SELECT v FROM e), m AS (SELECT a.u AS node, min(a.v) AS l FROM t a JOIN t b ON a.u = b.v AND a.v = b.u GROUP BY a.u) SELECT node, least(node, coalesce(l, node)) AS scc FROM n LEFT JOIN m USING (node)")
 def scc(spark: SparkSession, sf: str) -> DataFrame:
-    return G.scc(partners(spark, sf))
+    return G.scc(habits(spark, sf))
 
 
-@query(f"WITH RECURSIVE {PARTNERS}, {CLOSE} SELECT u AS node FROM t WHERE u = v")
+@query(f"WITH RECURSIVE {HABITS}, {CLOSE} SELECT u AS node FROM t WHERE u = v")
 def nodes_in_cycles(spark: SparkSession, sf: str) -> DataFrame:
-    return G.in_cycles(partners(spark, sf))
+    return G.in_cycles(habits(spark, sf))
 
 
-@query(f"WITH {PARTNERS}, x AS (SELECT u AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT v, 0, 1 FROM e) SELECT node, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in FROM x GROUP BY node")
+@query(f"WITH {HABITS}, x AS (SELECT u AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT v, 0, 1 FROM e) SELECT node, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in FROM x GROUP BY node")
 def degree(spark: SparkSession, sf: str) -> DataFrame:
-    return G.degrees(partners(spark, sf))
+    return G.degrees(habits(spark, sf))
 
 
 @query(f"WITH RECURSIVE {HIERARCHY}, t(node, k) AS (SELECT DISTINCT u, 0 FROM e WHERE u NOT IN (SELECT v FROM e) UNION SELECT e.v, k + 1 FROM t JOIN e ON t.node = e.u) SELECT node, max(k)::INT AS level FROM t GROUP BY node")
@@ -123,12 +126,12 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {CHAIN}, t(node, k) AS (SELECT DISTINCT u, 1 FROM e WHERE u NOT IN (SELECT v FROM e) UNION ALL SELECT e.v, 1 FROM t JOIN e ON t.node = e.u) SELECT node, count(*)::BIGINT AS paths FROM t GROUP BY node")
 def path_count(spark: SparkSession, sf: str) -> DataFrame:
-    return G.path_counts(turns(spark, sf))
+    return G.path_counts(turns(spark, sf)).select("node", F.col("paths").cast("long").alias("paths"))
 
 
 @query(f"WITH RECURSIVE {CHAIN}, t(node, k) AS (SELECT DISTINCT u, 1 FROM e WHERE u NOT IN (SELECT v FROM e) UNION ALL SELECT e.v, 1 FROM t JOIN e ON t.node = e.u) SELECT max(n)::BIGINT AS most FROM (SELECT node, count(*) AS n FROM t GROUP BY node)")
 def path_count_max(spark: SparkSession, sf: str) -> DataFrame:
-    return G.path_counts(turns(spark, sf)).agg(F.max("paths").alias("most"))
+    return G.path_counts(turns(spark, sf)).agg(F.max("paths").cast("long").alias("most"))
 
 
 @query("""SELECT a.s_suppkey AS u, b.s_suppkey AS v FROM supplier a JOIN nation n ON a.s_nationkey = n.n_nationkey JOIN nation m USING (n_regionkey) JOIN supplier b ON b.s_nationkey = m.n_nationkey WHERE a.s_suppkey <> b.s_suppkey""")
@@ -157,20 +160,35 @@ def components(spark: SparkSession, sf: str) -> DataFrame:
     return G.components(docs.join(least, "h").select(F.col("doc_id").alias("u"), "v"))
 
 
-@query(f"""WITH RECURSIVE {PARTNERS}, root AS (SELECT min(u) AS r FROM e), reached(node) AS (SELECT r FROM root UNION SELECT e.v FROM reached JOIN e ON reached.node = e.u),
-t(dom, node) AS (SELECT node, r FROM reached, root WHERE node <> r UNION SELECT t.dom, e.v FROM t JOIN e ON t.node = e.u WHERE e.v <> t.dom)
-SELECT a.node, b.node AS dom FROM reached a, reached b EXCEPT SELECT node, dom FROM t""")
-def dominators_small(spark: SparkSession, sf: str) -> DataFrame:
-    e = partners(spark, sf)
-    return G.dominators(e, e.agg(F.min("u").alias("node")))
+DOMINATED = f"""{HABITS}, reached(node) AS (SELECT node FROM f UNION SELECT e.v FROM reached JOIN e ON reached.node = e.u),
+own AS (SELECT node, split_part(node, ':', 1) AS user FROM reached), fu AS (SELECT node, split_part(node, ':', 1) AS user FROM f),
+t(dom, node) AS (SELECT own.node, fu.node FROM own JOIN fu USING (user) WHERE own.node <> fu.node UNION SELECT t.dom, e.v FROM t JOIN e ON t.node = e.u WHERE e.v <> t.dom),
+doms AS (SELECT a.node, b.node AS dom FROM own a JOIN own b USING (user) EXCEPT SELECT node, dom FROM t)"""
+
+
+def dominated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Habits below one root, which leads to the first node of each user, and its dominators."""
+    e = habits(spark, sf)
+    first = firsts(e)
+    e = e.union(first.select(F.lit("root").alias("u"), F.col("node").alias("v")))
+    return e, G.dominators(e, spark.range(1).select(F.lit("root").alias("node")))
+
+
+@query(f"WITH RECURSIVE {DOMINATED} SELECT node, dom FROM doms")
+def dominators(spark: SparkSession, sf: str) -> DataFrame:
+    return dominated(spark, sf)[1].where("dom <> 'root'")
+
+
+@query(f"""WITH RECURSIVE {DOMINATED} SELECT DISTINCT d.dom AS node, e.v AS front FROM doms d JOIN e ON e.u = d.node WHERE NOT EXISTS (SELECT 1 FROM doms x WHERE x.node = e.v AND x.dom = d.dom AND x.node <> x.dom)""")
+def dominance_frontier(spark: SparkSession, sf: str) -> DataFrame:
+    e, doms = dominated(spark, sf)
+    return G.dominance_frontier(e, doms).where("node <> 'root'")
 
 
-@query(f"WITH RECURSIVE {PARTNERS}, {CLOSE} SELECT DISTINCT e.u, e.v FROM e WHERE e.u = e.v OR EXISTS (SELECT 1 FROM t WHERE t.u = e.v AND t.v = e.u)")
+@query(f"WITH RECURSIVE {HABITS}, {CLOSE} SELECT DISTINCT e.u, e.v FROM e WHERE e.u = e.v OR EXISTS (SELECT 1 FROM t WHERE t.u = e.v AND t.v = e.u)")
 def cycle_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Edges on some cycle: the closure leads back from their end to their start."""
-    e = partners(spark, sf)
-    back = G.closure_by_doubling(e).select(F.col("v").alias("u"), F.col("u").alias("v"))
-    return e.where("u = v").union(e.join(back, ["u", "v"], "left_semi")).distinct()
+    """Edges on some cycle."""
+    return G.cycle_edges(habits(spark, sf))
 
 
 COUNTED = "t(node, k) AS (SELECT DISTINCT u, 1 FROM e WHERE u NOT IN (SELECT v FROM e) UNION ALL SELECT e.v, 1 FROM t JOIN e ON t.node = e.u), c AS (SELECT node, count(*) AS paths FROM t GROUP BY node)"
@@ -178,15 +196,15 @@ COUNTED = "t(node, k) AS (SELECT DISTINCT u, 1 FROM e WHERE u NOT IN (SELECT v F
 
 @query(f"WITH RECURSIVE {CHAIN}, {COUNTED}, x AS (SELECT e.u, e.v, paths, coalesce(sum(paths) OVER (PARTITION BY e.v ORDER BY e.u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM (SELECT DISTINCT u, v FROM e) e JOIN c ON c.node = e.u) SELECT u, v, first::BIGINT AS first, (first + paths)::BIGINT AS last FROM x")
 def path_numbering(spark: SparkSession, sf: str) -> DataFrame:
-    return G.path_ranges(turns(spark, sf))
+    return G.path_ranges(turns(spark, sf)).select("u", "v", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
 
 
-@query(f"WITH RECURSIVE {PARTNERS}, w(path) AS (SELECT DISTINCT [u] FROM e UNION SELECT list_append(path, v) FROM w JOIN e ON e.u = path[-1] WHERE len(path) <= 3 AND NOT list_contains(path, v)) SELECT array_to_string(path, '>') AS path FROM w WHERE len(path) > 1")
+@query(f"WITH RECURSIVE {HABITS}, w(path) AS (SELECT DISTINCT [u] FROM e UNION SELECT list_append(path, v) FROM w JOIN e ON e.u = path[-1] WHERE len(path) <= 3 AND NOT list_contains(path, v)) SELECT array_to_string(path, '>') AS path FROM w WHERE len(path) > 1")
 def bounded_paths(spark: SparkSession, sf: str) -> DataFrame:
-    e = partners(spark, sf)
+    e = habits(spark, sf)
     return G.simple_paths(e, e.select(F.col("u").alias("node")).distinct(), 3).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
-@query(f"WITH RECURSIVE {PARTNERS}, w(path) AS (SELECT DISTINCT [u] FROM e UNION SELECT list_append(path, v) FROM w JOIN e ON e.u = path[-1] WHERE len(path) < 5 AND NOT list_contains(path, v) AND v > path[1]) SELECT array_to_string(path, '>') AS cycle FROM w JOIN e ON e.u = path[-1] AND e.v = path[1]")
+@query(f"WITH RECURSIVE {HABITS}, w(path) AS (SELECT DISTINCT [u] FROM e UNION SELECT list_append(path, v) FROM w JOIN e ON e.u = path[-1] WHERE len(path) < 5 AND NOT list_contains(path, v) AND v > path[1]) SELECT array_to_string(path, '>') AS cycle FROM w JOIN e ON e.u = path[-1] AND e.v = path[1]")
 def simple_cycles(spark: SparkSession, sf: str) -> DataFrame:
-    return G.simple_cycles(partners(spark, sf), 5).select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"))
+    return G.simple_cycles(habits(spark, sf), 5).select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"))

@@ -192,11 +192,11 @@ def neg_conf(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("confidence", F.round("confidence", 6))
 
 
-@query("SELECT round(sum(CASE WHEN quality = 1 THEN -ln(p) ELSE -ln(1 - p) END), 4) AS loss FROM (SELECT quality, 1 / (1 + exp(-(0.414 + 2.167 * (n_chars % 100) / 100.0))) AS p FROM documents JOIN labels USING (doc_id))")
+@query("SELECT round(avg(CASE WHEN quality = 1 THEN -ln(p) ELSE -ln(1 - p) END), 6) AS loss FROM (SELECT quality, 1 / (1 + exp(-(0.414 + 2.167 * (n_chars % 100) / 100.0))) AS p FROM documents JOIN labels USING (doc_id))")
 def log_loss(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     p = E.logistic((F.col("n_chars") % 100) / 100.0)
-    return rows.agg(F.round(F.sum(E.log_loss(p, F.col("quality") == 1)), 4).alias("loss"))
+    return rows.agg(F.round(F.avg(E.log_loss(p, F.col("quality") == 1)), 6).alias("loss"))
 
 
 @query("SELECT doc_id, round(1 / (1 + exp(-(0.414 + 2.167 * (n_chars % 100) / 100.0))), 6) AS p FROM documents")
@@ -257,24 +257,24 @@ def cardinality_check(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT p_partkey AS p, sign(p_retailprice - 1000)::INT AS sgn, abs(p_size - 25)::BIGINT AS dist, ceil(p_retailprice) AS up, floor(p_retailprice) AS down, trunc(-p_retailprice) AS cut, round(ln(p_retailprice), 6) AS ln, round(log10(p_retailprice), 6) AS lg,
-round(sqrt(p_retailprice), 6) AS root, round(sin(p_size), 6) AS sine, round(pow(p_size, 1.5), 4) AS power, (p_partkey % 7)::BIGINT AS rest, factorial(p_size % 10)::BIGINT AS fact, round(exp(p_size / 50.0), 6) AS ex, round(log(2, p_retailprice), 6) AS logb FROM part""")
+round(sqrt(p_retailprice), 6) AS root, round(sin(p_size), 6) AS sine, round(pow(p_size, 1.5), 4) AS power, (p_partkey % 7)::BIGINT AS rest, factorial(p_size % 10)::BIGINT AS fact, round(exp(p_size / 50.0), 6) AS ex, round(log(2, p_retailprice), 6) AS logb, round(cos(p_size), 6) AS cosine, round(tan(p_size), 6) AS tangent, round_even(p_size / 2.0, 0)::DOUBLE AS even FROM part""")
 def fn_math(spark: SparkSession, sf: str) -> DataFrame:
     price, size = F.col("p_retailprice"), F.col("p_size")
     return table(spark, sf, "part").select(
         F.col("p_partkey").alias("p"), F.signum(price - 1000).cast("int").alias("sgn"), F.abs(size - 25).cast("long").alias("dist"), F.ceil(price).cast("double").alias("up"), F.floor(price).cast("double").alias("down"),
         S.trunc(-price).alias("cut"), F.round(F.log(price), 6).alias("ln"), F.round(S.lg(price), 6).alias("lg"), F.round(F.sqrt(price), 6).alias("root"), F.round(F.sin(size.cast("double")), 6).alias("sine"),
-        F.round(F.pow(size, F.lit(1.5)), 4).alias("power"), (F.col("p_partkey") % 7).alias("rest"), F.factorial(size % 10).alias("fact"), F.round(F.exp(size / 50.0), 6).alias("ex"), F.round(S.log(F.lit(2.0), price), 6).alias("logb"),
+        F.round(F.pow(size, F.lit(1.5)), 4).alias("power"), (F.col("p_partkey") % 7).alias("rest"), F.factorial(size % 10).alias("fact"), F.round(F.exp(size / 50.0), 6).alias("ex"), F.round(S.log(F.lit(2.0), price), 6).alias("logb"), F.round(F.cos(size.cast("double")), 6).alias("cosine"), F.round(F.tan(size.cast("double")), 6).alias("tangent"), S.round_even(size / 2.0).alias("even"),
     )
 
 
 @query("""SELECT p_partkey AS p, length(p_name)::INT AS n, upper(p_type) AS up, lower(p_type) AS low, trim('  ' || p_brand || ' ') AS cut, md5(p_name) AS h, p_brand || '/' || p_type AS both_, strpos(p_name, ' ')::INT AS at, repeat(substr(p_brand, 1, 2), 2) AS twice,
-substr(p_name, 2, 4) AS part, replace(p_brand, '#', '-') AS changed, split_part(p_name, ' ', 2) AS word, regexp_replace(p_name, '[aeiou]', '_', 'g') AS vowels FROM part""")
+substr(p_name, 2, 4) AS part, replace(p_brand, '#', '-') AS changed, split_part(p_name, ' ', 2) AS word, regexp_replace(p_name, '[aeiou]', '_') AS vowels, array_to_string(list_transform(string_split(p_type, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS title FROM part""")
 def fn_string(spark: SparkSession, sf: str) -> DataFrame:
     name, brand = F.col("p_name"), F.col("p_brand")
     return table(spark, sf, "part").select(
         F.col("p_partkey").alias("p"), F.char_length(name).alias("n"), F.upper("p_type").alias("up"), F.lower("p_type").alias("low"), F.trim(F.concat(F.lit("  "), brand, F.lit(" "))).alias("cut"), F.md5(name).alias("h"),
         F.concat(brand, F.lit("/"), "p_type").alias("both_"), S.strpos(name, " ").alias("at"), F.repeat(F.substring(brand, 1, 2), 2).alias("twice"), F.substring(name, 2, 4).alias("part"), F.replace(brand, F.lit("#"), F.lit("-")).alias("changed"),
-        S.split_part(name, " ", 2).alias("word"), F.regexp_replace(name, "[aeiou]", "_").alias("vowels"),
+        S.split_part(name, " ", 2).alias("word"), S.regex_replace(name, "[aeiou]", "_").alias("vowels"), S.initcap(F.col("p_type")).alias("title"),
     )
 
 
@@ -284,10 +284,10 @@ def fn_bits(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(p.alias("p"), p.bitwiseAND(F.lit(12)).alias("a"), p.bitwiseOR(F.lit(3)).alias("o"), p.bitwiseXOR(F.lit(5)).alias("x"), F.bitwise_not(p).alias("n"), S.shift_left(p, 2).alias("l"), S.shift_right(p, 1).alias("r"))
 
 
-@query("SELECT p_partkey AS p, contains(p_name, 'an') AS c, starts_with(p_type, 'S') AS s, ends_with(p_type, 'L') AS e, p_size = 7 OR p_size < 3 AS q, NOT (p_size >= 10 AND p_size <> 20) AS b FROM part")
+@query("SELECT p_partkey AS p, contains(p_name, 'an') AS c, starts_with(p_type, 'S') AS s, ends_with(p_type, 'L') AS e, p_size = 7 OR p_size < 3 AS q, NOT (p_size >= 10 AND p_size <> 20) AS b, p_size <= 9 AS le, p_size > 30 AS gt FROM part")
 def fn_pred(spark: SparkSession, sf: str) -> DataFrame:
     size = F.col("p_size")
     return table(spark, sf, "part").select(
         F.col("p_partkey").alias("p"), F.contains(F.col("p_name"), F.lit("an")).alias("c"), F.startswith(F.col("p_type"), F.lit("S")).alias("s"), F.endswith(F.col("p_type"), F.lit("L")).alias("e"),
-        ((size == 7) | (size < 3)).alias("q"), (~((size >= 10) & (size != 20))).alias("b"),
+        ((size == 7) | (size < 3)).alias("q"), (~((size >= 10) & (size != 20))).alias("b"), (size <= 9).alias("le"), (size > 30).alias("gt"),
     )

@@ -44,9 +44,10 @@ def rule_union(spark: SparkSession, sf: str) -> DataFrame:
     return R.head(R.atom(relation(spark, sf, *SUP), None, "n").unionByName(poor), n="n")
 
 
-@query("SELECT c_custkey AS c FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS c FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def rule_diff(spark: SparkSession, sf: str) -> DataFrame:
-    return R.head(R.without(R.atom(relation(spark, sf, *CUST), "c", None), R.atom(relation(spark, sf, *ORDER), None, "c")), c="c")
+    urgent = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c"))
+    return R.head(R.without(R.atom(relation(spark, sf, *CUST), "c", None), urgent), c="c")
 
 
 @query("SELECT s_nationkey::BIGINT AS n FROM supplier INTERSECT SELECT c_nationkey FROM customer")
@@ -82,9 +83,9 @@ def rule_semi(spark: SparkSession, sf: str) -> DataFrame:
     return R.head(R.having(R.atom(relation(spark, sf, *SUP), "s", None), big), s="s")
 
 
-@query("SELECT p_partkey AS p FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
+@query("SELECT p_partkey AS p FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity >= 45)")
 def rule_anti(spark: SparkSession, sf: str) -> DataFrame:
-    back = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p"))
+    back = table(spark, sf, "lineitem").where("l_returnflag = 'R' and l_quantity >= 45").select(F.col("l_partkey").alias("p"))
     return R.head(R.without(R.atom(relation(spark, sf, "part", "p_partkey"), "p"), back), p="p")
 
 
@@ -120,10 +121,45 @@ def domain_index(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH a AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS a FROM (SELECT DISTINCT o_orderpriority AS value FROM orders)),
 b AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS b FROM (SELECT DISTINCT o_orderpriority AS value FROM orders WHERE o_orderstatus = 'F')) SELECT a, b FROM a JOIN b USING (value)""")
-def equivalence_map(spark: SparkSession, sf: str) -> DataFrame:
+def same_values(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders")
     done = orders.where("o_orderstatus = 'F'").select("o_orderpriority")
-    return R.equivalence(R.domain_index(orders.select("o_orderpriority")), R.domain_index(done))
+    return R.same_values(R.domain_index(orders.select("o_orderpriority")), R.domain_index(done))
+
+
+@query("""WITH n AS (SELECT count(*) AS a FROM nation), r AS (SELECT count(*) AS b FROM region), s AS (SELECT count(*) AS c FROM supplier)
+SELECT 'nation' AS domain, i AS id, i AS packed FROM n, range(a) t(i) UNION ALL SELECT 'region', i, i + a + 1 FROM n, r, range(b) t(i) UNION ALL SELECT 'supplier', i, i + a + b + 2 FROM n, r, s, range(c) t(i)""")
+def equivalence_map(spark: SparkSession, sf: str) -> DataFrame:
+    """The domains of nations, regions and suppliers packed into one."""
+    return R.packed(spark, **{t: table(spark, sf, t).count() for t in ("nation", "region", "supplier")})
+
+
+@query("SELECT s_suppkey AS s FROM supplier WHERE false")
+def rule_never(spark: SparkSession, sf: str) -> DataFrame:
+    """empty(s) :- supIn(s, n), n < 0: ids are not negative, so the guard leaves nothing, and declares an empty relation."""
+    return R.head(R.atom(relation(spark, sf, *SUP), "s", "n").where("n < 0"), s="s")
+
+
+@query("SELECT n_nationkey::BIGINT AS n, n_nationkey::BIGINT AS m FROM nation WHERE n_regionkey = 2")
+def rule_equal(spark: SparkSession, sf: str) -> DataFrame:
+    """same(n, m) :- inRegion(n, 2), m = n: the equality binds a variable of the head that no atom has."""
+    rows = R.atom(relation(spark, sf, *NATION), "n", 2).withColumn("m", F.col("n"))
+    return R.head(rows, n="n", m="m")
+
+
+@query("SELECT a.r_regionkey::BIGINT AS a, b.r_regionkey::BIGINT AS b, n_nationkey::BIGINT AS c FROM region a, region b, nation WHERE a.r_regionkey <> b.r_regionkey AND b.r_regionkey < n_nationkey")
+def rule_comparisons(spark: SparkSession, sf: str) -> DataFrame:
+    """pick(a, b, c) :- a != b, b < c, nation(c): variables in comparisons only range over their domains."""
+    r = relation(spark, sf, "region", "r_regionkey")
+    return R.universe(a=r, b=r, c=relation(spark, sf, "nation", "n_nationkey")).where("a <> b and b < c")
+
+
+@query("SELECT s_suppkey AS s FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = (SELECT min(n_name) FROM nation)")
+def rule_named_const(spark: SparkSession, sf: str) -> DataFrame:
+    """bad(s) :- supIn(s, 'first name'): a constant by its name is looked up in the domain's dictionary."""
+    names = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("n"), "n_name")
+    named = names.join(names.agg(F.min("n_name").alias("n_name")), "n_name").select("n")
+    return R.head(R.having(R.atom(relation(spark, sf, *SUP), "s", "n"), named), s="s")
 
 
 @query("SELECT DISTINCT l_partkey AS v FROM lineitem WHERE l_suppkey = 3")

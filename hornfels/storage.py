@@ -26,24 +26,42 @@ def shared_dir(spark: SparkSession) -> str:
 _LOOPS: list[list[str]] = []
 
 
+#: Shuffle files of a table that has been written are of no use: Spark deletes them at the end of the write.
+_FREE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextlib.contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def _path(spark: SparkSession, path: str):  # noqa: ANN202
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, *by: str) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and read it back.
 
     Unlike a cache the copy outlives a lost executor; it goes when the session ends, or with its loop (see scratch).
+    ``by`` names columns of few values, each of which gets a folder.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _settings(spark, _FREE):
+        df.write.parquet(path, partitionBy=list(by) or None)
     target, files = _path(spark, path)
     files.deleteOnExit(target)
     if _LOOPS:
         _LOOPS[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns]) if by else spark.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager
