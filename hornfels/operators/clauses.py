@@ -43,14 +43,14 @@ def births(clauses: DataFrame, rounds: int = 1000) -> DataFrame:
         waiting = materialise(waiting, "waiting")
         born = [materialise(names.where("not derived").select("t", F.lit(0).alias("dob")), "born")]
         for k in range(1, rounds):
-            hits = materialise(body.join(born[-1].select("t"), "t").groupBy("c").agg(F.count("*").alias("n")), "hits")
+            hits = body.join(born[-1].select("t"), "t").groupBy("c").agg(F.count("*").alias("n"))
             left = waiting.join(hits, "c", "left").select("c", "h", (F.col("need") - F.coalesce("n", F.lit(0))).alias("need"))
             left = materialise(left, "waiting")
             new = materialise(left.where("need <= 0").select(F.col("h").alias("t")).distinct().withColumn("dob", F.lit(k)), "born")
             if new.isEmpty():
                 return keep(union_all(born).join(number, "t").select("tuple", "dob"), "born")
             born.append(new)
-            waiting = materialise(left.join(new.select(F.col("t").alias("h")), "h", "left_anti").select("c", "h", "need"), "waiting")
+            waiting = left.join(new.select(F.col("t").alias("h")), "h", "left_anti").select("c", "h", "need")
     raise RuntimeError(f"births not settled in {rounds} rounds")
 
 
