@@ -230,6 +230,8 @@ def pack(docs: DataFrame, *keep: str, path: str, source: str = "source", text: s
 
     kept = "".join(f"{h} {tokens.schema[h].dataType.simpleString()}, " for h in held)
     found = placed.select(*held, "_queue", "_shared", "_at", "ids", "_k", "_totals", "_weights").mapInPandas(cut, f"{kept}{_PIECES}")
+    with small_batches(docs.sparkSession):
+        found = materialise(found, "pieces")
     return found.toDF(*keep, *free_names(keep, *found.columns[len(keep) :]))
 
 
