@@ -34,6 +34,8 @@ SAMPLE, ORDINARY_WINDOWS = 5000, 40_000
 TOXIC_BYTES, ORDINARY_BYTES = 4096, 110_000
 #: Bytes a segment of the trainer has, and those that it counts; the level has matches of three bytes.
 SEGMENT, COUNTED, LEVEL = 24, 6, 13
+#: Bits of the compressors' tables, which hold the dictionaries whole; the level's own are for texts of megabytes.
+TABLES = 18
 #: A 5-gram is distinctive in this share of the toxic documents or more (and in three), if its document frequency is higher by so many deviations and times.
 SHARE, DEVIATIONS, RATIO, SEED = 0.025, 5.0, 4.0, 19
 THRESHOLDS = (1, 2, 3, 4, 5, 6, 8)
@@ -65,7 +67,7 @@ class Model:
 def _compressors(toxic: bytes, ordinary: bytes) -> list[zstandard.ZstdCompressor]:
     made = []
     for content in (ordinary + bytes(len(toxic)) + LEAD, ordinary + toxic + LEAD):
-        size = {"write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
+        size = {"write_content_size": 0, "write_checksum": 0, "write_dict_id": 0, "window_log": TABLES, "chain_log": TABLES, "hash_log": TABLES}
         params = zstandard.ZstdCompressionParameters.from_level(LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, **size)
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(compression_params=params)

@@ -342,7 +342,7 @@ def test_differences_are_those_of_plain_compression():
     model = toxicity.Model(b" idiot  scum ", b" and of the words " * 9)
     text = " ".join(f"word{k} and of the " + ("scum" if k % 7 == 3 else "other") for k in range(40))
     words = text.split()
-    size = {"write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
+    size = {"write_content_size": 0, "write_checksum": 0, "write_dict_id": 0, "window_log": toxicity.TABLES, "chain_log": toxicity.TABLES, "hash_log": toxicity.TABLES}
     params = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, **size)
     sides = [zstandard.ZstdCompressionDict(model.ordinary + x + toxicity.LEAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for x in (bytes(len(model.toxic)), model.toxic)]
     for d in sides:
