@@ -41,8 +41,13 @@ def test_escape_races_deadlocks_and_flows(spark):
     locks = rows([("e1", "l"), ("e3", "l")], "e string, l string")
     parallel = rows([(1, 2), (2, 1)], "t int, s int")
     assert {tuple(r) for r in A.races(access, locks, parallel).collect()} == {("e1", "e2")}
-    holds = rows([(1, "p", "q"), (2, "q", "r"), (3, "r", "p"), (3, "r", "z")], "t int, l string, m string")
-    assert {tuple(r) for r in A.deadlocks(holds).collect()} == {("p", "q"), ("p", "r"), ("q", "r")}
+    locks = [(1, 1, "p", "q"), (1, 2, "q", "p"), (2, 3, "q", "p"), (3, 4, "r", "z"), (3, 4, "g", "z"), (4, 5, "z", "r"), (4, 5, "g", "r"), (5, 6, "z", "r")]
+    holds = rows(locks, "t int, a int, l string, m string")
+    both = lambda *x: rows([y for a, b in x for y in ((a, b), (b, a))], "t int, s int")
+    # thread 1 alone in both orders is none; r and z are guarded by g in 3 and 4, not in 5
+    assert {tuple(r) for r in A.deadlocks(holds, both((1, 2), (3, 4), (3, 5))).collect()} == {(1, 2, "p", "q"), (3, 5, "r", "z")}
+    assert A.deadlocks(holds, both((3, 4))).count() == 0
+    assert A.deadlocks(holds, both((1, 2)), rows([("p",)], "l string")).count() == 0
     e = rows([(1, 2), (2, 3), (1, 4), (4, 5)], "u int, v int")
     node = lambda *x: rows([(k,) for k in x], "node int")
     assert {tuple(r) for r in A.flows(node(1), e, node(3, 5), node(4)).collect()} == {(1, 3)}
