@@ -122,6 +122,6 @@ def test_interleaving_is_the_plain_sort(spark, rows):
     got = sharding.interleaved(docs.withColumn("h", F.xxhash64(F.lit(sharding.SEED), "doc_id")), "source", ["doc_id"]).collect()
     ranked = []
     for s in {r.source for r in got}:
-        own = sorted((r for r in got if r.source == s), key=lambda r: (r.h % (1 << 64), r.doc_id))
+        own = sorted((r for r in got if r.source == s), key=lambda r: (r.h, r.doc_id))  # one bucket, whose hashes are signed
         ranked += [((2 * k + 1) / (2 * len(own)), s, k, r.doc_id) for k, r in enumerate(own)]
     assert [r.doc_id for r in sorted(got, key=lambda r: r.position)] == [x[3] for x in sorted(ranked)]
