@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their oracles."""
 
-from hornfels.llm import media, mixing, packing, prefix_trie, quality_classifier, quality_rules, secrets, sharding, simhash, token_counts, toxicity
+from hornfels.llm import media, mixing, packing, prefix_trie, quality_classifier, quality_rules, secrets, sharding, simhash, token_counts, toxicity, vector_codes
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
@@ -14,5 +14,6 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_sharding": sharding.op10_sharding,
     "op11_conversation_prefix_trie": prefix_trie.op11_conversation_prefix_trie,
+    "op12_vector_code_compression": vector_codes.op12_vector_code_compression,
 }
-ORACLES = {"op9_quality_rules": quality_rules.ORACLE, "op11_conversation_prefix_trie": prefix_trie.ORACLE}
+ORACLES = {"op9_quality_rules": quality_rules.ORACLE, "op11_conversation_prefix_trie": prefix_trie.ORACLE, "op12_vector_code_compression": vector_codes.ORACLE}
