@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from hornfels.llm.common import WORD, read_table
 from hornfels.storage import keep, materialise, scratch
 
-#: Turns of a conversation that one task sums at a time.
-BLOCK = 4096
+#: Turns of a conversation that one task sums at a time, and characters of a role or text by which ranges are cut.
+BLOCK, KEY = 4096, 64
 #: A node that holds more than one in so many occurrences is looked up by broadcast: there are fewer of them than this.
 HOT = 1000
 #: Conversations that share a base, and the divisor of the hash that says how many turns they take from it.
@@ -46,9 +46,11 @@ def ordered(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``at - first + before``. Rows without a conv_id are left out; null role or text becomes empty.
     """
     own = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    turns = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", own("role"), own("text"), F.monotonically_increasing_id().alias("_row"))
-    order = ["conv_id", "turn", "role", "text", "_row"]  # equal rows are interchangeable; _row only lets ranges cut between them
-    placed = turns.repartitionByRange(*order).sortWithinPartitions(*order).select(
+    turns = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", own("role"), own("text"))
+    # ranges are cut by the beginnings of role and text, whose order is theirs, so that no whole text is part of a bound
+    long = F.char_length("role") > KEY
+    cuts = [F.col("conv_id"), F.col("turn"), F.substring("role", 1, KEY), long, F.when(~long, F.substring("text", 1, KEY))]
+    placed = turns.repartitionByRange(*cuts).sortWithinPartitions("conv_id", "turn", "role", "text").select(
         "conv_id",
         F.monotonically_increasing_id().alias("at"),
         F.xxhash64("role", "text").alias("t1"),

@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their oracles."""
 
-from hornfels.llm import media, mixing, packing, prefix_trie, quality_classifier, quality_rules, secrets, sharding, simhash, token_counts, toxicity, vector_codes
+from hornfels.llm import edit_prints, media, mixing, packing, prefix_trie, quality_classifier, quality_rules, secrets, sharding, simhash, token_counts, toxicity, vector_codes
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
@@ -15,5 +15,6 @@ QUERIES = {
     "op10_sharding": sharding.op10_sharding,
     "op11_conversation_prefix_trie": prefix_trie.op11_conversation_prefix_trie,
     "op12_vector_code_compression": vector_codes.op12_vector_code_compression,
+    "op13_document_fingerprints": edit_prints.op13_document_fingerprints,
 }
 ORACLES = {"op9_quality_rules": quality_rules.ORACLE, "op11_conversation_prefix_trie": prefix_trie.ORACLE, "op12_vector_code_compression": vector_codes.ORACLE}

@@ -212,7 +212,7 @@ def compress(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
         longest = kept.agg(F.max(F.size("_v"))).first()[0]
         width = PARTS * max(1, -(-(longest or 0) // PARTS))
         first = kept.orderBy(F.asc_nulls_last("_id"), "_v").select("_v").limit(ENTRIES).collect()
-        books = whole([np.array(r["_v"]) for r in first], width).reshape(len(first), PARTS, -1).transpose(1, 0, 2)
+        books = whole([np.array(r["_v"]) for r in first], width).reshape(len(first), PARTS, width // PARTS).transpose(1, 0, 2)
         size = max(64, block // width)
         with small_batches(spark, size):
             blocks = materialise(_blocks(kept.select("_row", "_v"), width, size), "blocks")
