@@ -2,10 +2,10 @@
 
 Every document is measured by native functions in one pass. Failures of each rule are counted by host; a beta
 prior is fitted to the hosts' rates by moments, and a host's rate has the posterior of that prior, so that a host
-with a few documents is not judged by chance. Verdicts are relative to the prior: a host is bad on a rule where
-its rate is surely above ``WORSE`` times the prior's mean, and trusted where it is surely below ``BETTER`` times
-that mean. They are joined back to the documents: a bad host loses all of its documents, and a document that
-fails one of the soft rules (symbols, lines) is dropped unless its host is trusted on that rule.
+with a few documents is not judged by chance. Verdicts are relative to the prior and are joined back to the documents:
+a host is bad on a rule where its rate is surely above ``WORSE`` times the prior's mean, and loses all of its documents;
+on the soft rules (symbols, lines) every host has a limit of its own, the rule's limit times the prior's mean over the host's
+shrunk rate (within ``LENIENT``), so the same document stays at a host that rarely fails the rule and goes at one that often does.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from hornfels.storage import materialise
 SYMBOLS, MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = "#*$%&|<>", 10, 5, 20
 #: Soft rules on top: symbols a word character, and lines that repeat an earlier one, in per cent.
 MAX_SYMBOL_PERCENT, MAX_DUP_LINE_PERCENT = 10, 30
-#: Multiples of the prior's mean for bad and for trusted hosts, and deviations of the posterior that make it sure.
-WORSE, BETTER, SURE = 3.0, 0.5, 2.0
+#: Multiple of the prior's mean for bad hosts, deviations of the posterior that make it sure, and by how much a host's limit differs at most.
+WORSE, SURE, LENIENT = 3.0, 2.0, 2.0
 RULES, SOFT = ("short", "repeats", "symbols", "lines"), ("symbols", "lines")
 
 
@@ -70,12 +70,20 @@ def measure(docs: DataFrame) -> DataFrame:
     return counted.drop("lines", "grams")
 
 
+#: What each soft rule counts, out of what, and its limit in per cent.
+GRADED = {"symbols": ("n_symbols", "word_chars", MAX_SYMBOL_PERCENT), "lines": ("n_dup_lines", "n_lines", MAX_DUP_LINE_PERCENT)}
+
+
+def _over(rule: str, limit: Column) -> Column:
+    part, whole, _ = GRADED[rule]
+    return 100 * F.col(part) > limit * F.col(whole)
+
+
 def failures() -> dict[str, Column]:
     return {
         "short": F.col("n_words") < MIN_WORDS,
         "repeats": 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"),
-        "symbols": 100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("word_chars"),
-        "lines": 100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col("n_lines"),
+        **{r: _over(r, F.lit(GRADED[r][2])) for r in SOFT},
     }
 
 
@@ -94,8 +102,8 @@ def fit_prior(k: float, q: float, n: float, hosts: int) -> tuple[float, float]:
     return max(mean, 1e-6) * strength, max(1 - mean, 1e-6) * strength
 
 
-def host_verdicts(measured: DataFrame, worse: float = WORSE, better: float = BETTER, sure: float = SURE) -> DataFrame:
-    """host_key, n, and for each rule the shrunk rate and whether the host is bad or trusted on it; ``host_ok``: bad on none.
+def host_verdicts(measured: DataFrame, worse: float = WORSE, sure: float = SURE, lenient: float = LENIENT) -> DataFrame:
+    """host_key, n, and for each rule the shrunk rate and whether the host is bad on it; the soft rules' limits in per cent; ``host_ok``: bad on none.
 
     A rule's posterior is the beta distribution of the prior and the host's counts. The priors are four pairs of
     numbers from sums over the hosts.
@@ -109,24 +117,26 @@ def host_verdicts(measured: DataFrame, worse: float = WORSE, better: float = BET
         a, b = fit_prior(float(total[f"{r}_k"] or 0), float(total[f"{r}_q"] or 0), float(total["n"] or 0), total["hosts"])
         rate = (F.col(r) + F.lit(a)) / (F.col("n") + F.lit(a + b))
         margin = F.lit(sure) * F.sqrt(rate * (1 - rate) / (F.col("n") + F.lit(a + b + 1)))
-        verdicts |= {f"{r}_rate": rate, f"{r}_bad": rate - margin > F.lit(worse * a / (a + b)), f"{r}_trusted": rate + margin < F.lit(better * a / (a + b))}
+        verdicts |= {f"{r}_rate": rate, f"{r}_bad": rate - margin > F.lit(worse * a / (a + b))}
+        if r in GRADED:
+            verdicts[f"{r}_limit"] = F.least(F.greatest(F.lit(a / (a + b)) / rate, F.lit(1 / lenient)), F.lit(lenient)) * GRADED[r][2]
     hosts = hosts.withColumns(verdicts)
     return hosts.withColumn("host_ok", ~F.greatest(*[F.col(f"{r}_bad") for r in RULES]))
 
 
-def apply_rules(docs: DataFrame, worse: float = WORSE, better: float = BETTER, sure: float = SURE) -> DataFrame:
+def apply_rules(docs: DataFrame, worse: float = WORSE, sure: float = SURE, lenient: float = LENIENT) -> DataFrame:
     """Counts, base_failed, the host's verdicts and kept, a row for each row of ``docs`` (repeats included).
 
     Null text is empty and so fails; a null host is a host of its own. An empty table gives an empty result. Of
     the columns of ``docs`` only ``doc_id`` and ``source`` (as ``host``) are in it, so none can clash.
     """
     measured = materialise(measure(docs), "measured").withColumn("host_key", key_of("host"))
-    verdicts = host_verdicts(measured, worse, better, sure).select("host_key", "host_ok", *[f"{r}_trusted" for r in SOFT])
+    verdicts = host_verdicts(measured, worse, sure, lenient).select("host_key", "host_ok", *[f"{r}_limit" for r in SOFT])
     fails = failures()
     out = measured.withColumn("base_failed", fails["short"] | fails["repeats"]).join(verdicts, "host_key")
     kept = ~F.col("base_failed") & F.col("host_ok")
     for r in SOFT:
-        kept = kept & (~fails[r] | F.col(f"{r}_trusted"))
+        kept = kept & ~_over(r, F.col(f"{r}_limit"))
     return out.withColumn("kept", kept).drop("host_key")
 
 
@@ -169,11 +179,10 @@ WITH d AS (
   FROM h JOIN prior USING (r)
 ), ok AS (
   SELECT source, NOT bool_or(rate - 2 * sqrt(rate * (1 - rate) / weight) > 3 * mean) AS host_ok,
-         bool_or(rate + 2 * sqrt(rate * (1 - rate) / weight) < 0.5 * mean) FILTER (r = 3) AS trusted3,
-         bool_or(rate + 2 * sqrt(rate * (1 - rate) / weight) < 0.5 * mean) FILTER (r = 4) AS trusted4
+         max(least(greatest(mean / rate, 0.5), 2.0) * 10) FILTER (r = 3) AS limit3, max(least(greatest(mean / rate, 0.5), 2.0) * 30) FILTER (r = 4) AS limit4
   FROM v GROUP BY source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f1 + f2 > 0) AS base_failed,
-       (f1 + f2 = 0 AND host_ok AND (f3 = 0 OR trusted3) AND (f4 = 0 OR trusted4)) AS kept
+       (f1 + f2 = 0 AND host_ok AND NOT 100 * n_symbols > limit3 * word_chars AND NOT 100 * n_dup_lines > limit4 * n_lines) AS kept
 FROM f JOIN ok ON f.source IS NOT DISTINCT FROM ok.source
 """

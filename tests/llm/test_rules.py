@@ -19,7 +19,7 @@ def text_of(rng, kind):
     if kind == "symbols":
         return " ".join(f"#{w}$$" for w in words)
     if kind == "lines":
-        return "\n".join([" ".join(words), *["twice"] * 8])
+        return "\n".join([" ".join(words), "a", "a", "b", "b", "c", "c"])  # repeated lines, but no window of five words twice
     return " ".join(words)
 
 
@@ -34,11 +34,20 @@ def failed(t):
     }
 
 
+def shares(t):
+    """Per cent of symbols and of repeated lines."""
+    lines = [x for x in (t or "").split("\n") if x.split()]
+    return {
+        "symbols": 100 * sum((t or "").count(c) for c in Q.SYMBOLS) / max(1, sum(map(len, (t or "").split()))),
+        "lines": 100 * (len(lines) - len(set(lines))) / max(1, len(lines)),
+    }
+
+
 def expected(rows):
-    """(doc_id, kept) and each host's verdicts, by loops."""
+    """(doc_id, kept), the hosts that are bad on a rule, and their limits on the soft ones, by loops."""
     hosts = {h: [failed(t) for _, t, s in rows if s == h] for h in {s for _, _, s in rows}}
     total = len(rows)
-    bad, trusted = set(), set()
+    bad, limit = set(), {}
     for r in Q.RULES:
         k = {h: sum(f[r] for f in fs) for h, fs in hosts.items()}
         mean = sum(k.values()) / total
@@ -51,13 +60,12 @@ def expected(rows):
             margin = Q.SURE * math.sqrt(rate * (1 - rate) / (n + 1))
             if rate - margin > Q.WORSE * a / (a + b):
                 bad.add((h, r))
-            if rate + margin < Q.BETTER * a / (a + b):
-                trusted.add((h, r))
+            limit[h, r] = min(max(a / (a + b) / rate, 1 / Q.LENIENT), Q.LENIENT) * {"symbols": 10, "lines": 30}.get(r, 0)
     kept = {}
     for i, t, h in rows:
         f = failed(t)
-        kept[i] = not (f["short"] or f["repeats"]) and not any(x == h for x, _ in bad) and all(not f[r] or (h, r) in trusted for r in Q.SOFT)
-    return kept, bad, trusted
+        kept[i] = not (f["short"] or f["repeats"]) and not any(x == h for x, _ in bad) and all(shares(t)[r] <= limit[h, r] for r in Q.SOFT)
+    return kept, bad, limit
 
 
 def corpus():
@@ -76,17 +84,19 @@ def corpus():
 
 def test_verdicts_are_those_of_a_loop(spark):
     rows = corpus()
-    kept, bad, trusted = expected(rows)
+    kept, bad, limit = expected(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
     got = {r.doc_id: r for r in Q.apply_rules(docs).collect()}
     assert {i: r.kept for i, r in got.items()} == kept
     assert {h for h, _ in bad} == {f"bad-{r}" for r in Q.RULES}  # and not the tiny one, which the prior saves
-    assert ("clean", "lines") in trusted
+    assert limit["clean", "lines"] > 50 > 30 > limit["h1", "lines"]
     by_host = {h: [i for i, _, s in rows if s == h] for h in ("bad-symbols", "tiny", "clean")}
     assert not any(got[i].kept for i in by_host["bad-symbols"])
     assert any(got[i].kept for i in by_host["tiny"])
-    soft = [i for i, t, s in rows if s == "clean" and failed(t)["lines"]]
-    assert len(soft) == 2 and all(got[i].kept for i in soft)
+    # the same text stays at a host that rarely repeats lines and goes at one that often does
+    saved, lost = ([i for i, t, s in rows if s == h and failed(t)["lines"]] for h in ("clean", "h1"))
+    assert len(saved) == 2 and all(got[i].kept for i in saved)
+    assert lost and not any(got[i].kept for i in lost)
     assert [i for i, t, s in rows if s == "h1" and failed(t)["symbols"] and got[i].kept] == []
 
 
