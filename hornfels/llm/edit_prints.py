@@ -5,7 +5,8 @@ for each pair of step and character, say whether the pointer moves on. Where two
 into step again soon behind it, so the number of steps at which the outputs differ, a Hamming distance, is small where
 the edit distance is. The output is sampled at shared random steps; a text of any length has ``SAMPLES`` of them: sample ``s`` is
 taken at the step below the walk's length that has the least of the shared random ranks of ``s``, so texts of nearly equal
-lengths sample nearly the same steps. A sample is one byte, hashed from the character and the step; a fingerprint is the bytes of all samples.
+lengths sample nearly the same steps. A sample is one byte, hashed from the step and the ``READ`` characters from the pointer on: single
+characters are so few that unrelated texts would share bands by chance. A fingerprint is the bytes of all samples.
 
 Bands of samples are the keys of an index. Two fingerprints that differ in fewer samples than there are bands agree on a band, so
 the index meets every pair of that likeness, and each candidate is verified on all samples.
@@ -29,7 +30,7 @@ from hornfels.llm.common import free_names, read_table, small_batches
 from hornfels.operators.components import components
 from hornfels.storage import keep, materialise, scratch
 
-SEED, SAMPLES = 13, 128
+SEED, SAMPLES, READ = 13, 128, 3
 #: Steps after which the shared bits repeat, and classes into which characters are hashed for them.
 PERIOD, CLASSES = 4096, 256
 #: Characters whose steps are added up at a time, and the steps that the ranks of the samples cover.
@@ -95,13 +96,16 @@ def sampled(points: np.ndarray, stays: np.ndarray) -> bytes:
     ranks = _ranks()
     steps = ranks[np.arange(SAMPLES), (ranks < length).sum(axis=1) - 1]
     order = np.argsort(steps)
-    found, base, done = np.empty(SAMPLES, np.uint64), 0, 0
+    found, base, done = np.zeros(SAMPLES, np.uint64), 0, 0
     for at in range(0, len(points), PIECE):
         ends = base + np.cumsum(stays[at : at + PIECE], dtype=np.int64)
         base = int(ends[-1])
         upto = int(np.searchsorted(steps[order], base))
         mine = order[done:upto]
-        found[mine] = points[at + np.searchsorted(ends, steps[mine], side="right")]
+        under = at + np.searchsorted(ends, steps[mine], side="right")
+        for k in range(READ):
+            inside = under + k < len(points)
+            found[mine] = found[mine] * np.uint64(0xC2B2AE3D27D4EB4F) + np.where(inside, points[np.minimum(under + k, len(points) - 1)], 0).astype(np.uint64) + np.uint64(1)
         done = upto
     mixed = (found * np.uint64(0xC2B2AE3D27D4EB4F) + steps.astype(np.uint64)) * _GOLD
     mixed = (mixed ^ (mixed >> np.uint64(29))) * _GOLD

@@ -18,11 +18,11 @@ from operator import add
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hornfels.llm import resemblance
-from hornfels.llm.common import read_table, restored, stashed
+from hornfels.llm.common import free_names, read_table, restored, stashed
 from hornfels.operators.components import components
 from hornfels.storage import materialise
 
@@ -102,13 +102,14 @@ def representatives(docs: DataFrame, shingle: int = resemblance.SHINGLE, similar
     Groups are linked by the similarity of their word shingles, not by fingerprints, whose bits tell little of it.
     Ties of doc_id go by the text's hash, then source and language; equal rows leave one.
     """
-    sep = [F.xxhash64("doc_id", F.isnull("doc_id")).alias("_k1"), F.xxhash64("text", "source", "lang", F.isnull("text")).alias("_k2")]
+    k1, k2 = free_names(docs.columns, "_k1", "_k2")
+    sep = [F.xxhash64("doc_id", F.isnull("doc_id")).alias(k1), F.xxhash64("text", "source", "lang", F.isnull("text")).alias(k2)]
     keyed = docs.select("*", *sep)
-    found = resemblance.resembling(keyed, "doc_id", "_k1", "_k2", shingle=shingle, similar=similar)
-    best = found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("late"), "doc_id", "_k2", "_k1")).alias("best")).select("best._k1", "best._k2")
-    once = Window.partitionBy("_k1", "_k2").orderBy(F.lit(0))
-    left = keyed.join(best.distinct(), ["_k1", "_k2"], "left_semi").withColumn("_n", F.row_number().over(once))
-    return left.where("_n = 1").drop("_n", "_k1", "_k2").select(docs.columns)
+    found = resemblance.resembling(keyed, "doc_id", k1, k2, shingle=shingle, similar=similar)
+    root = found.columns[-1]
+    best = found.groupBy(root).agg(F.min(F.struct(F.isnull("doc_id").alias("late"), "doc_id", k2, k1)).alias("best")).select(f"best.{k1}", f"best.{k2}")
+    left = keyed.join(best.distinct(), [k1, k2], "left_semi").dropDuplicates([k1, k2])
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

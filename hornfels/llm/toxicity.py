@@ -14,6 +14,7 @@ part makes the dictionaries, the other calibrates. Scoring covers every window o
 from __future__ import annotations
 
 import math
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -61,6 +62,8 @@ class Model:
     toxic: bytes
     ordinary: bytes
     weights: tuple[float, ...] = ()
+    #: Classes with too little text for the trainer, whose dictionaries are the text itself or empty.
+    untrained: tuple[str, ...] = ()
 
 
 @lru_cache(maxsize=4)
@@ -111,12 +114,12 @@ def distinctive(sample: DataFrame, toxic: int, ordinary: int) -> set[str]:
     return {r["gram"] for r in hot.select("gram").collect()}  # of SAMPLE toxic documents at most
 
 
-def trained(samples: list[bytes], size: int) -> bytes:
-    """zstandard's trained dictionary; too little text for the trainer is taken as it is."""
+def trained(samples: list[bytes], size: int) -> tuple[bytes, bool]:
+    """zstandard's dictionary and whether its trainer made it; too little text for the trainer is taken as it is."""
     try:
-        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=COUNTED, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=COUNTED, level=LEVEL).as_bytes(), True
     except (zstandard.ZstdError, ValueError):
-        return b"".join(dict.fromkeys(samples))[-size:]
+        return b"".join(dict.fromkeys(samples))[-size:], False
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -141,7 +144,11 @@ def sampled(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame
 
 
 def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
-    """Labels have doc_id and label. Without toxic or ordinary rows every score is that of the prior."""
+    """Labels have doc_id and label. Without toxic or ordinary rows every score is that of the prior.
+
+    A class with too little text for the trainer is named in the model's ``untrained`` and in a warning: scores then rest on the
+    raw text, or where it is empty on the length alone.
+    """
     sample = materialise(sampled(docs, labels, size), "toxicity")
     made = sample.where("part = 0")
     n = {r["label"]: r["count"] for r in made.groupBy("label").count().collect()}
@@ -161,10 +168,15 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     found = [found[k] for k in np.random.default_rng(SEED).permutation(len(found))]  # the trainer takes a segment of each stretch
     plain = made.where("label = 0").select("text").mapInPandas(ordinary_windows, "window binary")
     plain = [bytes(r["window"]) for r in plain.orderBy(F.xxhash64("window"), "window").limit(ORDINARY_WINDOWS).collect()]
-    model = Model(trained(found, TOXIC_BYTES), trained(plain, ORDINARY_BYTES))
+    dictionaries = {"toxic": trained(found, TOXIC_BYTES), "ordinary": trained(plain, ORDINARY_BYTES)}
+    untrained = tuple(k for k, (_, made_by_trainer) in dictionaries.items() if not made_by_trainer)
+    if untrained:
+        warnings.warn(f"too little text to train a dictionary for: {', '.join(untrained)}", stacklevel=2)
+    model = Model(dictionaries["toxic"][0], dictionaries["ordinary"][0])
     seen = sample.where("part = 1").select("label", F.pandas_udf(lambda s: pd.Series([features(t or "", model) for t in s]), "array<double>")("text").alias("x")).collect()
     x, y = np.array([r["x"] for r in seen]), np.array([r["label"] for r in seen])
-    return Model(model.toxic, model.ordinary, tuple(logistic(x, y)) if len(seen) else (0.0,) * (len(features("", model)) - 1) + (-3.0,))
+    weights = tuple(logistic(x, y)) if len(seen) else (0.0,) * (len(features("", model)) - 1) + (-3.0,)
+    return Model(model.toxic, model.ordinary, weights, untrained)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

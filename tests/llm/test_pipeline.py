@@ -1,9 +1,14 @@
 """The pipeline's stages against brute force on small fixtures."""
 
 import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hornfels.llm import resemblance
+from hornfels.llm import resemblance, secrets, toxicity
+from public_tokenizers import path
 
 SCHEMA = "doc_id string, text string, lang string, source string, n_chars long"
 
@@ -72,3 +77,95 @@ def test_groups_with_common_passages(spark, monkeypatch):
         for i, a in enumerate(texts):
             for j, b in enumerate(texts[:i]):
                 assert (found[a] == found[b]) == (groups[i] == groups[j])
+
+
+ODD = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, None, None, "b", None), (2, None, None, "b", None), (3, "same words here", "en", None, 15), (3, "same words here", "en", None, 15), (4, " \n", "en", "a", 2)]
+KEY = 'token = "9885103314b39ed955fd8ac9efa74c6fd87b66ee"'
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Documents with toxic ones, secrets, copies and odd rows, further columns with names that the stages use, and labels."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    rows = list(ODD)
+    for k in range(10, 200):
+        words = [word() for _ in range(rng.randint(20, 60))]
+        if k % 4 == 0:
+            words[5:5] = "you worthless idiot scum pathetic loser".split()
+        if k % 10 == 1:
+            words[9:9] = [KEY]
+        rows.append((k, " ".join(words), "en", f"s{k % 3}", 0))
+    rows += [(500 + k, rows[40 + k][1] + " more", "en", "s1", 0) for k in range(6)]
+    at = tmp_path_factory.mktemp("docs")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(c) for c in ("score", "_k1", "copies", "root", "key", "row")}).withColumn("odd name", F.col("doc_id") % 7)
+    docs.repartition(3).write.parquet(f"{at}/documents.parquet")
+    docs.where("doc_id >= 10").select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")).write.parquet(f"{at}/labels.parquet")
+    return str(at)
+
+
+def rows_in(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+def test_stages_keep_columns_and_take_empty_tables(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, folder).columns == docs.columns
+        assert stage(spark, docs.limit(0), folder).count() == 0
+    assert corpus_pipeline.pack_sequences(spark, docs.limit(0), folder).count() == 0
+
+
+def test_toxic_documents_go_and_others_stay_as_they_are(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = rows_in(corpus_pipeline.drop_toxic(spark, docs, folder))
+    model = toxicity.train(docs, toxicity.toxic_labels(spark, folder))
+    score = lambda t: 1 / (1 + 2.718281828459045 ** -sum(a * b for a, b in zip(toxicity.features(t or "", model), model.weights, strict=True)))
+    assert kept == Counter({r: n for r, n in rows_in(docs).items() if score(r[1]) < corpus_pipeline.REJECT})
+    assert not any("worthless" in (r[1] or "") for r in kept) and sum(kept.values()) > 140
+
+
+def test_secrets_go_from_texts_and_nothing_else(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    after = rows_in(corpus_pipeline.redact_secrets(spark, docs, folder))
+    forest, vocabulary = secrets.default_forest(spark)
+    want = Counter()
+    for r, n in rows_in(docs).items():
+        text, at, out = r[1], 0, ""
+        for c in secrets.merged(secrets.judged(text or "", r[3] or "", forest, vocabulary), secrets.LIMIT):
+            out, at = out + text[at : c.start] + f"[{c.kind}]", c.end
+        text = text if not text else out + text[at:]
+        want[r[0], text, *r[2:4], r[4] if text is None else len(text), *r[5:]] += n
+    assert after == want and not any("9885103314" in (r[1] or "") for r in after) and any("[assigned]" in (r[1] or "") for r in after)
+
+
+def test_the_mix_repeats_whole_documents(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    before, after = rows_in(docs), rows_in(corpus_pipeline.mix_sources(spark, docs, folder))
+    assert after == rows_in(corpus_pipeline.mix_sources(spark, docs.repartition(5), folder)) and after.keys() <= before.keys()
+    assert all(n <= 3 * before[r] for r, n in after.items()) and not any(not (r[1] or "").strip() for r in after)
+    words = lambda rows, s: sum(n * len((r[1] or "").split()) for r, n in rows.items() if r[3] == s)
+    total = sum(words(before, s) for s in {r[3] for r in before})
+    # by code point, null last: a (no words), b (none), s0, s1, s2, null; weights 1, 2, 3, 1, 2, 3
+    own, weight = {s: words(before, s) for s in ("s0", "s1", "s2", None)}, {"s0": 3, "s1": 1, "s2": 2, None: 3}
+    target = {None: 3.0 * own[None]}
+    for s in ("s0", "s1", "s2"):
+        target[s] = (total - target[None]) * weight[s] / 6
+    assert all(target[s] <= 3 * own[s] for s in own) and all(abs(words(after, s) - target[s]) <= 60 for s in own)
+
+
+def test_the_run_is_the_stages_in_order(spark, folder):
+    out = corpus_pipeline.run(spark, folder).collect()
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+    tokens = __import__("tokenizers").Tokenizer.from_file(path("word_bpe_49k.json"))
+    want = Counter((r.doc_id, len(tokens.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in docs.collect())
+    assert Counter((r.doc_id, r.doc_tokens) for r in out if r.start == 0) == want
+    assert sum(r.length for r in out) == sum(n * k for (_, n), k in want.items())
+    for s in {r.sequence_id for r in out}:
+        at = 0
+        for r in sorted((r for r in out if r.sequence_id == s), key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
