@@ -1,6 +1,6 @@
 """Named queries over the supplied tables; importing this package registers them all."""
 
-from hornfels.plans import derivations, graphs, measures, programs, relations, streams
+from hornfels.plans import derivations, graphs, interprocedural, measures, programs, relations, streams
 from hornfels.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "derivations", "graphs", "measures", "programs", "relations", "streams"]
+__all__ = ["ORACLES", "QUERIES", "derivations", "graphs", "interprocedural", "measures", "programs", "relations", "streams"]

@@ -88,7 +88,7 @@ UNION ALL SELECT 'reach(' || c || ',' || n || ')', 1 FROM (SELECT DISTINCT c, n
 UNION ALL SELECT 'trades(' || m || ',' || n || ')', 2 FROM (SELECT DISTINCT m, n FROM two)
 UNION ALL SELECT 'linked(' || r || ',' || q || ')', 3 FROM lk
 UNION ALL SELECT 'trades(' || m || ',' || n || ')', 4 FROM (SELECT DISTINCT m, n FROM four EXCEPT SELECT m, n FROM two))"""
-FORWARD = "late AS (SELECT clause_id, any_value(head) AS head, max(dob) AS latest FROM cl JOIN born ON tuple = lit GROUP BY clause_id), fw AS (SELECT * FROM cl WHERE clause_id IN (SELECT clause_id FROM late JOIN born ON tuple = head WHERE latest < dob))"
+FORWARD = "late AS MATERIALIZED (SELECT clause_id, any_value(head) AS head, max(dob) AS latest FROM cl JOIN born ON tuple = lit GROUP BY clause_id), ahead AS MATERIALIZED (SELECT clause_id FROM late JOIN born ON tuple = head WHERE latest < dob), fw AS (SELECT * FROM cl WHERE clause_id IN (SELECT clause_id FROM ahead))"
 OUTPUT = "linked(0,0)"
 
 

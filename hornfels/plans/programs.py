@@ -46,9 +46,10 @@ def points_to_fields(spark: SparkSession, sf: str) -> DataFrame:
     return A.points_to(*_program(spark, sf))[1]
 
 
-@query("""WITH a AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS e, l_suppkey AS t, l_partkey AS h, l_returnflag = 'R' AS w, l_linestatus AS l, s_nationkey AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
-, p AS (SELECT DISTINCT a.e, b.e AS d FROM a JOIN a b ON a.h = b.h AND a.n = b.n AND a.t <> b.t AND a.e <= b.e AND (a.w OR b.w))
-SELECT e, d FROM p EXCEPT SELECT p.e, p.d FROM p JOIN a x ON x.e = p.e JOIN a y ON y.e = p.d AND x.l = y.l""")
+@query("""WITH a AS MATERIALIZED (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS e, l_suppkey AS t, l_partkey AS h, l_returnflag = 'R' AS w, l_linestatus AS l, s_nationkey AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
+, p AS MATERIALIZED (SELECT DISTINCT a.e, b.e AS d FROM a JOIN a b ON a.h = b.h AND a.n = b.n AND a.t <> b.t AND a.e <= b.e AND (a.w OR b.w))
+, k AS MATERIALIZED (SELECT e, list(DISTINCT l) AS ls FROM a GROUP BY e)
+SELECT p.e, p.d FROM p JOIN k x ON x.e = p.e JOIN k y ON y.e = p.d WHERE NOT list_has_any(x.ls, y.ls)""")
 def race_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Lines on one part by different suppliers of a nation, one returned, whose status (the lock they hold) differs."""
     rows = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("e"), F.col("l_suppkey").alias("t"), F.col("l_partkey").alias("h"), (F.col("l_returnflag") == "R").alias("write"), F.col("l_linestatus").alias("l"))
