@@ -167,3 +167,34 @@ def consistent_feedback(clauses: DataFrame, feedback: DataFrame) -> DataFrame:
     """Entries of ``feedback`` whose value survives ``push_false``."""
     gone = push_false(clauses, feedback).withColumn("gone", F.lit(True))
     return feedback.join(gone, "tuple", "left").where("value = (gone is null)").select("tuple", "value")
+
+
+def least_derivation(clauses: DataFrame, roots: DataFrame) -> DataFrame:
+    """The derivation of the ``roots`` (column tuple) that is born first: tuple, dob, clause_id, rule and lit, a row a literal.
+
+    Every tuple has one clause, of those whose antecedents are all born before the tuple's own birth the one of the least id; a tuple that several
+    others use is there once, so the tree is a graph without cycles and no larger than the clauses. Inputs have nulls; roots that cannot
+    be derived are left out.
+    """
+    with scratch(clauses.sparkSession):
+        born = materialise(births(clauses), "dob")
+        when = born.select(F.col("tuple").alias("lit"), F.col("dob").alias("lit_dob"))
+        own = clauses.join(when, "lit", "left").groupBy("clause_id", "head")
+        own = own.agg(F.max(F.when(F.isnull("lit"), -1).otherwise(F.coalesce("lit_dob", F.lit(1 << 30)))).alias("latest"))
+        of = own.join(born.select(F.col("tuple").alias("head"), "dob"), "head").where("greatest(latest, 0) + 1 = dob")
+        chosen = of.groupBy("head").agg(F.min("clause_id").alias("clause_id"))
+        steps = clauses.join(chosen, ["head", "clause_id"]).select(F.col("head").alias("tuple"), "clause_id", "rule", "lit")
+        steps = materialise(steps, "chosen")
+        down = lambda new, _: new.join(steps, "tuple").where("lit is not null").select(F.col("lit").alias("tuple"))
+        used = fixpoint(roots.select("tuple").join(born, "tuple", "left_semi"), down)
+        return keep(used.join(born, "tuple").join(steps, "tuple", "left").select("tuple", "dob", "clause_id", "rule", "lit"), "derivation")
+
+
+def needing(clauses: DataFrame, needed: DataFrame) -> DataFrame:
+    """``tuple``s that cannot be derived without the tuples of ``needed`` (column tuple), themselves included."""
+    with scratch(clauses.sparkSession):
+        gone = needed.select(F.col("tuple").alias("head")).distinct()
+        loops = gone.select(F.concat(F.lit("without "), "head").alias("clause_id"), F.lit("").alias("rule"), "head", F.col("head").alias("lit"))  # waits for itself
+        left = clauses.select("clause_id", "rule", "head", "lit").join(gone, "head", "left_anti").unionByName(loops.select("clause_id", "rule", "head", "lit"))
+        out = births(clauses).select("tuple").join(births(left).select("tuple"), "tuple", "left_anti")
+        return keep(out, "needing")

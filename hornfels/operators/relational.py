@@ -98,3 +98,21 @@ def packed(spark: SparkSession, **sizes: int) -> DataFrame:
     """The relation (domain, id, packed) between each domain's ids and those of the domain that holds them all."""
     parts = [spark.range(size).select(F.lit(name).alias("domain"), "id", (F.col("id") + offset).alias("packed")) for name, size, offset in equivalence(**sizes)]
     return reduce(DataFrame.unionByName, parts)
+
+
+def matching(patterns: DataFrame, relation: DataFrame, *columns: str) -> DataFrame:
+    """The columns of ``patterns`` but ``columns``, and those of ``relation``, for each tuple that a pattern matches; null in a pattern matches all.
+
+    Patterns are told apart by which columns they bind, at most 2 to the number of ``columns`` kinds; a kind is one equi join on its bound
+    columns. Only patterns that bind none are joined with all tuples, which is their meaning. Nulls of ``relation`` match unbound columns only.
+    """
+    others = [c for c in patterns.columns if c not in columns]
+    mask = reduce(lambda a, b: a + b, [F.isnotnull(c).cast("int") * (1 << k) for k, c in enumerate(columns)])
+    kinds = sorted(r[0] for r in patterns.select(mask.alias("mask")).distinct().collect())
+    parts = []
+    for kind in kinds:
+        bound = [c for k, c in enumerate(columns) if kind >> k & 1]
+        own = patterns.where(mask == kind).select(*others, *[F.col(c).alias(f"_{c}") for c in bound])
+        on = [own[f"_{c}"] == relation[c] for c in bound]
+        parts.append(own.join(relation, on or F.lit(True)).select(*others, *relation.columns))
+    return reduce(DataFrame.unionByName, parts) if parts else patterns.where(F.lit(False)).select(*others).join(relation).select(*others, *relation.columns)

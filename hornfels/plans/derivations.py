@@ -322,3 +322,27 @@ def chains_merged(spark: SparkSession, sf: str) -> DataFrame:
     last = C.heads(merged).where("head like 'big(%'").join(p, "clause_id")
     wide = C.heads(merged).where("head like 'some(%'").groupBy(F.regexp_replace("head", "^some", "big").alias("head")).agg(F.count("*").alias("n"))
     return last.join(wide, "head", "left").select("head", F.round("p", 5).alias("p"), F.coalesce("n", F.lit(1)).cast("long").alias("n"))
+
+
+@query(f"""WITH RECURSIVE {CLAUSES}, {BORN}, late AS MATERIALIZED (SELECT clause_id, any_value(head) AS head, max(dob) AS latest FROM cl JOIN born ON tuple = lit GROUP BY clause_id),
+pick AS MATERIALIZED (SELECT head, min(clause_id) AS clause_id FROM late JOIN born ON tuple = head WHERE latest + 1 = dob GROUP BY head),
+s AS MATERIALIZED (SELECT cl.* FROM cl JOIN pick ON pick.head = cl.head AND pick.clause_id = cl.clause_id),
+t(tuple) AS (SELECT '{OUTPUT}' UNION SELECT lit FROM t JOIN s ON s.head = t.tuple)
+SELECT t.tuple, dob, clause_id, rule, lit FROM t JOIN born ON born.tuple = t.tuple LEFT JOIN s ON s.head = t.tuple""")
+def derivation_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """The first derivation of the output: one clause for each tuple in it."""
+    return C.least_derivation(rules(spark, sf), output(spark))
+
+
+@query(f"""WITH {CLAUSES}, gone AS (SELECT s, n FROM one WHERE s % 7 = 1 UNION SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey % 7 = 1 AND s_suppkey IN (SELECT s FROM one)),
+one_ AS (SELECT * FROM one WHERE s % 7 <> 1), two_ AS (SELECT DISTINCT c, n, c_nationkey AS m FROM one_ JOIN customer ON c = c_custkey),
+lk_ AS (SELECT DISTINCT a.y AS r, b.y AS q FROM two_ JOIN reg a ON m = a.x JOIN reg b ON n = b.x),
+tr_ AS (SELECT m, n FROM two_ UNION SELECT a.x, b.x FROM lk_ JOIN reg a ON a.y = r JOIN reg b ON b.y = q)
+SELECT 'supIn(' || s || ',' || n || ')' AS tuple FROM gone UNION ALL SELECT 'reach(' || c || ',' || n || ')' FROM (SELECT c, n FROM one EXCEPT SELECT c, n FROM one_)
+UNION ALL SELECT 'trades(' || m || ',' || n || ')' FROM (SELECT m, n FROM tr EXCEPT SELECT m, n FROM tr_) UNION ALL SELECT 'linked(' || r || ',' || q || ')' FROM (SELECT r, q FROM lk EXCEPT SELECT r, q FROM lk_)""")
+def tuples_in_need(spark: SparkSession, sf: str) -> DataFrame:
+    """What cannot be derived without every seventh supplier."""
+    sup = relation(spark, sf, "supplier", "s_suppkey", "s_nationkey").toDF("s", "n").where("s % 7 = 1")
+    c = rules(spark, sf)
+    used = c.select(F.col("lit").alias("tuple")).distinct()
+    return C.needing(c, sup.select(P.written("supIn", "s", "n").alias("tuple")).join(used, "tuple", "left_semi"))

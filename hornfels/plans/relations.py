@@ -179,3 +179,20 @@ def range_and_shift(spark: SparkSession, sf: str) -> DataFrame:
 def count_tuples(spark: SparkSession, sf: str) -> DataFrame:
     pairs = R.head(R.atom(relation(spark, sf, *ITEM), "o", None, "s"), o="o", s="s")
     return pairs.groupBy("o").agg(F.count("*").alias("n")).where("n > 3")
+
+
+@query("""WITH p AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey END AS n, CASE WHEN s_suppkey % 3 > 0 THEN '1-URGENT' END AS p, CASE WHEN s_suppkey % 5 = 0 THEN 'F' END AS s FROM supplier WHERE s_suppkey % 6 <> 3),
+o AS (SELECT c_nationkey AS n, o_orderpriority AS p, o_orderstatus AS s, count(*) AS n_orders FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL)
+SELECT p.id, o.n, o.p, o.s, n_orders FROM p JOIN o ON (p.n IS NULL OR p.n = o.n) AND (p.p IS NULL OR p.p = o.p) AND (p.s IS NULL OR p.s = o.s)""")
+def pattern_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers ask for orders by nation, priority and state, each binding some of them."""
+    s = table(spark, sf, "supplier").where("s_suppkey % 6 <> 3")
+    ask = s.select(
+        F.col("s_suppkey").alias("id"),
+        F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey")).alias("n"),
+        F.when(F.col("s_suppkey") % 3 > 0, F.lit("1-URGENT")).alias("p"),
+        F.when(F.col("s_suppkey") % 5 == 0, F.lit("F")).alias("s"),
+    )
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = o.groupBy(F.col("c_nationkey").alias("n"), F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s")).agg(F.count("*").alias("n_orders"))
+    return R.matching(ask, o, "n", "p", "s")
