@@ -49,5 +49,6 @@ def initcap(s: Column) -> Column:
 
 
 def regex_replace(s: Column, pattern: str, by: str) -> Column:
-    """The first match of ``pattern``, which may have no groups that ``by`` names, replaced."""
-    return F.regexp_replace(s, rf"(?s)\A(.*?)(?:{pattern})", f"$1{by}")
+    """The first match of ``pattern`` replaced by ``by``, whose dollars and backslashes stand for themselves."""
+    plain = by.replace("\\", r"\\").replace("$", r"\$")
+    return F.regexp_replace(s, rf"(?s)\A(.*?)(?:{pattern})", f"$1{plain}")

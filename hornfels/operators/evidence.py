@@ -46,19 +46,19 @@ def log_loss(p: Column, truth: Column) -> Column:
 
 
 def fit_logistic(rows: DataFrame, x: str, truth: str, rounds: int = 25) -> tuple[float, float]:
-    """Offset and slope by Newton's method; each step is one aggregation whose five sums reach the driver."""
+    """Offset and slope by Newton's method; each step is one aggregation whose five sums reach the driver. Without rows both are 0."""
     a = b = 0.0
     for _ in range(rounds):
         p = logistic(F.col(x), a, b)
         w, e = p * (1 - p), F.col(truth).cast("double") - p
         r = rows.agg(F.sum(w).alias("h0"), F.sum(w * F.col(x)).alias("h1"), F.sum(w * F.col(x) ** 2).alias("h2"), F.sum(e).alias("g0"), F.sum(e * F.col(x)).alias("g1")).first()
         if r["h0"] is None:
-            break
+            return a, b
         step = np.linalg.solve(np.array([[r["h0"], r["h1"]], [r["h1"], r["h2"]]]) + 1e-9 * np.eye(2), [r["g0"], r["g1"]])
         a, b = a + float(step[0]), b + float(step[1])
         if np.abs(step).max() < 1e-10:
-            break
-    return a, b
+            return a, b
+    raise RuntimeError(f"the curve did not settle in {rounds} rounds; classes that a threshold tells apart have none")
 
 
 def cosine(a: str, b: str) -> Column:

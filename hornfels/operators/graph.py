@@ -265,14 +265,17 @@ def dominance_frontier(edges: DataFrame, doms: DataFrame) -> DataFrame:
     return ahead.select("node", "front").distinct().join(strict, ["node", "front"], "left_anti")
 
 
-def path_ranges(edges: DataFrame) -> DataFrame:
+def path_ranges(edges: DataFrame, back: DataFrame | None = None) -> DataFrame:
     """u, v, and the half-open range of path numbers [first, last) that edge (u, v) gives its end.
 
     The paths to a node are numbered from 0; its predecessors, by order, take contiguous ranges as long as
-    their own numbers of paths. The window is over one node's predecessors.
+    their own numbers of paths. The window is over one node's predecessors. On a graph with cycles ``back`` names edges
+    without which it has none, as from ``back_edges``; they have no numbers, as in ``path_counts``.
     """
     e = edges.select("u", "v").distinct()
-    counts = path_counts(e).select(F.col("node").alias("u"), "paths")
+    counts = path_counts(e, back=back)
+    e = e if back is None else e.join(back, ["u", "v"], "left_anti")
+    counts = counts.select(F.col("node").alias("u"), "paths")
     before = Window.partitionBy("v").orderBy("u").rowsBetween(Window.unboundedPreceding, -1)
     rows = e.join(counts, "u").withColumn("first", F.coalesce(F.sum("paths").over(before), F.lit(0)).cast("decimal(38,0)"))
     return rows.select("u", "v", "first", (F.col("first") + F.col("paths")).cast("decimal(38,0)").alias("last"))

@@ -122,7 +122,7 @@ def fit_rules(clauses: DataFrame, true: DataFrame, start: float = 0.5, most: flo
 
     A clause can fire only if its body is true; a true head was fired by some of its clauses (a head without
     any that can fire says nothing), a false one by none. One aggregation for each round; a row a rule
-    reaches the driver.
+    reaches the driver. Probabilities that do not settle are an error.
     """
     known = true.select("tuple", F.lit(1).alias("t")).distinct()
     lits = clauses.join(known.withColumnRenamed("tuple", "lit"), "lit", "left")
@@ -139,5 +139,5 @@ def fit_rules(clauses: DataFrame, true: DataFrame, start: float = 0.5, most: flo
         moved = max((abs(new[k] - now[k]) for k in new), default=0.0)
         now = new
         if moved <= tolerance:
-            break
-    return now
+            return now
+    raise RuntimeError(f"probabilities did not settle in {rounds} rounds")

@@ -143,7 +143,7 @@ def learn_weights(clauses: DataFrame, seen: DataFrame, weights: dict[str, float]
     """Rules' weights by a perceptron: each round solves with the weights of now and moves them by the difference in violations.
 
     clauses(clause_id, rule, tuple, positive) are ground, ``seen`` has the true tuples of the training data. A row a
-    rule reaches the driver.
+    rule reaches the driver. Weights that still move after ``rounds`` are an error.
     """
     target = {r["rule"]: r["violated"] for r in expected_violations(clauses.withColumn("weight", F.lit(1.0)), seen).collect()}
     now = dict(weights)
@@ -155,7 +155,7 @@ def learn_weights(clauses: DataFrame, seen: DataFrame, weights: dict[str, float]
         if new == now:
             return now
         now = new
-    return now
+    raise RuntimeError(f"weights did not settle in {rounds} rounds")
 
 
 def next_best(clauses: DataFrame, found: list[DataFrame], tuples: DataFrame, hard: float = 1e6) -> DataFrame:

@@ -53,11 +53,11 @@ def factors(nodes: DataFrame, arcs: DataFrame, p: Column, agreement: DataFrame |
     parents are not as it needs is true with ``leak``. A table has two to the power of the parents: a node with
     more than ``most`` is an error (see clauses.narrow).
     """
-    parents = arcs.groupBy("node").agg(F.sort_array(F.collect_list("parent")).alias("parents"))
-    wide = nodes.join(parents, "node", "left").withColumn("parents", F.coalesce("parents", F.array().cast("array<string>")))
-    too_wide = wide.where(F.size("parents") > most).limit(1).collect()
+    too_wide = arcs.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > most).limit(1).collect()
     if too_wide:
         raise ValueError(f"{too_wide[0]['node']} has more than {most} parents")
+    parents = arcs.groupBy("node").agg(F.sort_array(F.collect_list("parent")).alias("parents"))
+    wide = nodes.join(parents, "node", "left").withColumn("parents", F.coalesce("parents", F.array().cast("array<string>")))
     wide = wide.withColumn("rate", F.when(F.col("kind") == "*", p))
     if agreement is not None:
         wide = wide.join(agreement.select(F.concat("tuple", F.lit("_t")).alias("node"), "agreement"), "node", "left")

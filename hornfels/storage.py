@@ -6,6 +6,7 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,8 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-#: Paths that the loops running now have written, the innermost last.
-_LOOPS: list[list[str]] = []
+#: Paths that the loops running now in this thread have written, the innermost last.
+_LOOPS: ContextVar[tuple[list[str], ...]] = ContextVar("loops", default=())
 
 
 #: Shuffle files of a table that has been written are of no use: Spark deletes them at the end of the write.
@@ -59,28 +60,29 @@ def materialise(df: DataFrame, label: str, *by: str) -> DataFrame:
         df.write.parquet(path, partitionBy=list(by) or None)
     target, files = _path(spark, path)
     files.deleteOnExit(target)
-    if _LOOPS:
-        _LOOPS[-1].append(path)
+    if loops := _LOOPS.get():
+        loops[-1].append(path)
     return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns]) if by else spark.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What is materialised inside is deleted at the end; write the result outside, or by ``keep``, before that."""
-    _LOOPS.append([])
+    written: list[str] = []
+    token = _LOOPS.set((*_LOOPS.get(), written))
     try:
         yield
     finally:
-        for p in _LOOPS.pop():
+        _LOOPS.reset(token)
+        for p in written:
             target, files = _path(spark, p)
             files.delete(target, True)
 
 
 def keep(df: DataFrame, label: str) -> DataFrame:
     """``materialise``, for a result that outlives the innermost ``scratch`` around it."""
-    inner = _LOOPS.pop() if _LOOPS else None
+    token = _LOOPS.set(_LOOPS.get()[:-1])
     try:
         return materialise(df, label)
     finally:
-        if inner is not None:
-            _LOOPS.append(inner)
+        _LOOPS.reset(token)

@@ -236,5 +236,15 @@ def test_packed_domains_and_scalars(spark):
     assert pairs(relational.packed(spark, a=2, b=1)) == {("a", 0, 0), ("a", 1, 1), ("b", 0, 3)}
     s = frame(spark, [("O'NEIL-mac x2y", "aXbX")], "a string, b string")
     assert tuple(s.select(scalar.initcap(F.col("a")), scalar.regex_replace(F.col("b"), "X", "-")).first()) == ("O'Neil-Mac X2y", "a-bX")
+    assert s.select(scalar.regex_replace(F.col("b"), "X", r"$1\n")).first()[0] == r"a$1\nbX"
     halves = frame(spark, [(0.5,), (1.5,), (2.5,)], "x double")
     assert [r[0] for r in halves.select(scalar.round_even(F.col("x"))).collect()] == [0.0, 2.0, 2.0]
+
+
+def test_path_ranges_on_a_cyclic_graph(spark):
+    """Without its back edges a graph's paths are numbered as those of the graph that is left."""
+    e = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 3), (3, 1), (3, 4)], "u int, v int")
+    back = spark.createDataFrame([(3, 1)], "u int, v int")
+    got = {(r.u, r.v): (int(r["first"]), int(r["last"])) for r in graph.path_ranges(e, back).collect()}
+    assert got.keys() == {(0, 1), (0, 2), (1, 3), (2, 3), (3, 4)}
+    assert {got[1, 3], got[2, 3]} == {(0, 1), (1, 2)} and got[0, 2] == (0, 1) and got[3, 4] == (0, 2)
