@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hornfels.operators.components import components
+from hornfels.operators.elimination import eliminate
 from hornfels.operators.fixpoint import union_all
 from hornfels.storage import materialise
 
@@ -106,20 +107,29 @@ def decided(clauses: DataFrame, hard: float = 1e6, rounds: int = 1000) -> tuple[
     raise RuntimeError(f"still deciding after {rounds} rounds")
 
 
-def solve(clauses: DataFrame, hard: float = 1e6, flips: int = 0) -> DataFrame:
+def solve(clauses: DataFrame, hard: float = 1e6, flips: int = 0, width: int = 0) -> DataFrame:
     """True ``tuple``s of an assignment of least cost; a hard clause weighs ``hard``.
 
     What ``decided`` settles needs no search. The open clauses fall into components that share no tuple; each of
-    EXACT tuples at most is enumerated by a task. A larger one is an error, unless ``flips`` allows a seeded random
-    walk of that many steps, whose assignment may not be the best one.
+    EXACT tuples at most is enumerated by a task. A larger one is an error, unless ``width`` allows to eliminate its tuples
+    by tables of that many, which is exact, or ``flips`` allows a seeded random walk of that many steps, whose assignment
+    may not be the best one.
     """
     known, left = decided(clauses, hard)
+    if left.isEmpty():
+        return known.where("value").select("tuple")
     first = left.groupBy("clause_id").agg(F.min("tuple").alias("v"))
     group = materialise(components(left.join(first, "clause_id").select(F.col("tuple").alias("u"), "v")).toDF("tuple", "part"), "parts")
-    if not flips:
+    done = known.where("value").select("tuple")
+    if width:
+        large = group.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > EXACT).select("part")
+        far = materialise(group.join(large, "part", "left_semi"), "large")
+        done = done.unionByName(eliminate(left.join(far.select("tuple"), "tuple", "left_semi"), width, hard).where("value").select("tuple"))
+        group = group.join(far.select("tuple"), "tuple", "left_anti")
+    elif not flips:
         large = group.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > EXACT).orderBy(F.desc("n")).first()
         if large:
-            raise ValueError(f"the component of {large['part']} has {large['n']} open tuples, more than {EXACT}; allow flips for a search")
+            raise ValueError(f"the component of {large['part']} has {large['n']} open tuples, more than {EXACT}; allow a width to eliminate them or flips for a search")
     rows = left.join(group, "tuple").select("part", "clause_id", "weight", "tuple", "positive")
 
     def work(p: pd.DataFrame) -> pd.DataFrame:
@@ -129,7 +139,7 @@ def solve(clauses: DataFrame, hard: float = 1e6, flips: int = 0) -> DataFrame:
         x = _search(len(names), made, np.random.default_rng(SEED), flips)
         return pd.DataFrame({"tuple": [t for t, on in zip(names, x, strict=True) if on]}, dtype="str")
 
-    return known.where("value").select("tuple").unionByName(rows.groupBy("part").applyInPandas(work, "tuple string"))
+    return done.unionByName(rows.groupBy("part").applyInPandas(work, "tuple string"))
 
 
 def expected_violations(clauses: DataFrame, true: DataFrame) -> DataFrame:
