@@ -48,6 +48,23 @@ def _path(spark: SparkSession, path: str):  # noqa: ANN202
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def for_session(spark: SparkSession, path: str) -> None:
+    """Has ``path`` deleted when the session ends, or with the loop that runs now."""
+    target, files = _path(spark, path)
+    files.deleteOnExit(target)
+    if loops := _LOOPS.get():
+        loops[-1].append(path)
+
+
+def written_parts(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Name and path of each folder in ``folder`` whose writing was completed; none if there is no such folder."""
+    target, files = _path(spark, folder)
+    if not files.exists(target):
+        return {}
+    found = [s.getPath() for s in files.listStatus(target)]
+    return {p.getName(): p.toString() for p in found if files.exists(_path(spark, f"{p.toString()}/_SUCCESS")[0])}
+
+
 def materialise(df: DataFrame, label: str, *by: str) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and read it back.
 
@@ -58,10 +75,7 @@ def materialise(df: DataFrame, label: str, *by: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     with _settings(spark, _FREE):
         df.write.parquet(path, partitionBy=list(by) or None)
-    target, files = _path(spark, path)
-    files.deleteOnExit(target)
-    if loops := _LOOPS.get():
-        loops[-1].append(path)
+    for_session(spark, path)
     return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns]) if by else spark.read.schema(df.schema).parquet(path)
 
 
