@@ -10,32 +10,50 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Events of a thread that are compared with each other; what is held for longer is in several such chunks.
-CHUNK = 1024
+CHUNK = 64
 OPEN = 2**62
 
 
-def spells(log: DataFrame) -> DataFrame:
-    """thread, lock, ``since`` and ``until``: from the first acquisition to the release that frees it, OPEN if there is none."""
+def _events(log: DataFrame) -> DataFrame:
+    return log.where("lock is not null and acquired is not null and seq is not null").select("thread", "lock", "seq", F.when(F.col("acquired"), 1).otherwise(-1).alias("step"))
+
+
+def _spells(rows: DataFrame, *more: str) -> DataFrame:
     by = Window.partitionBy("thread", "lock").orderBy("seq")
-    rows = log.where("lock is not null and acquired is not null and seq is not null").select("thread", "lock", "seq", F.when(F.col("acquired"), 1).otherwise(-1).alias("step"))
     rows = rows.withColumn("s", F.sum("step").over(by))
     rows = rows.withColumn("depth", F.col("s") - F.least(F.lit(0), F.min("s").over(by)))
     rows = rows.withColumn("before", F.lag("depth", 1, 0).over(by)).where("before + depth = 1")
-    return rows.withColumn("until", F.coalesce(F.lead("seq").over(by), F.lit(OPEN))).where("depth = 1").select("thread", "lock", F.col("seq").alias("since"), "until")
+    ends = [F.lead(c).over(by).alias(f"{c}_until") for c in more]
+    rows = rows.select("*", F.coalesce(F.lead("seq").over(by), F.lit(OPEN)).alias("until"), *ends).where("depth = 1")
+    return rows.select("thread", "lock", F.col("seq").alias("since"), "until", *more, *[f"{c}_until" for c in more])
+
+
+def spells(log: DataFrame) -> DataFrame:
+    """thread, lock, ``since`` and ``until``: from the first acquisition to the release that frees it, OPEN if there is none."""
+    return _spells(_events(log))
 
 
 def held(log: DataFrame, points: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The rows of ``points`` (thread, seq and more), one for each lock that their thread holds then, as ``held``.
 
-    Spells are cut at every ``chunk`` event numbers, so that the join has equal keys and a point meets the spells of its
-    chunk only; a lock counts as held after its acquisition and before its release.
+    Spells are cut at every ``chunk`` events of their own thread, however far apart the numbers of these are, so that the
+    join has equal keys, a point meets the spells of its chunk only, and the pieces grow with the events; a lock counts
+    as held after its acquisition and before its release.
     """
-    last = log.groupBy("thread").agg(F.max("seq").alias("last")).join(points.groupBy("thread").agg(F.max("seq").alias("end")), "thread")
-    some = spells(log).join(last, "thread").withColumn("stop", F.least("until", F.greatest("last", "end")))
-    some = some.where("since <= stop").withColumn("part", F.explode(F.sequence(F.floor(F.col("since") / chunk), F.floor(F.col("stop") / chunk))))
+    by = Window.partitionBy("thread").orderBy("seq")
+    events = _events(log)
+    part = F.floor(F.sum("one").over(by) / chunk)  # of equal numbers, all are counted
+    placed = events.withColumn("one", F.lit(1)).withColumn("part", part).drop("one")
+    last = events.groupBy("thread").agg(F.floor(F.count("*") / chunk).alias("last"))
+    some = _spells(placed, "part").join(last, "thread")
+    some = some.withColumn("part", F.explode(F.sequence(F.col("part"), F.coalesce("part_until", "last"))))
     some = some.select("thread", "part", F.col("lock").alias("held"), "since", "until")
-    at = points.withColumn("part", F.floor(F.col("seq") / chunk))
-    return at.join(some, ["thread", "part"]).where("since < seq and seq < until").drop("part", "since", "until")
+    row = F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("row")
+    both = points.where("seq is not null").select("thread", "seq", F.lit(0).alias("one"), row)
+    both = both.unionByName(events.select("thread", "seq", F.lit(1).alias("one"), F.lit(None).cast(both.schema["row"].dataType).alias("row")))
+    at = both.withColumn("part", part).where("one = 0").select("thread", "seq", "part", "row")
+    found = at.join(some, ["thread", "part"]).where("since < seq and seq < until")
+    return found.select(*[F.col("row")[c].alias(c) for c in points.columns], "held")
 
 
 def lock_order(log: DataFrame, chunk: int = CHUNK) -> DataFrame:

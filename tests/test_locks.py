@@ -49,3 +49,12 @@ def test_locks_of_odd_logs(spark):
     assert [tuple(r) for r in K.deadlocks(frame([r for r in gate if r[2] != "g"])).collect()] == [("a", "b")]
     again = [(1, 1, "a", False), (1, 2, "a", True), (1, 3, "a", True), (1, 4, "a", False), (1, 5, "b", True), (1, 6, "a", False), (1, 7, "c", True), (1, 8, None, True)]
     assert {(r.u, r.v) for r in K.lock_order(frame(again)).collect()} == {("a", "b"), ("b", "c")}
+
+
+def test_sparse_numbers_cut_no_spell(spark):
+    """Chunks follow a thread's own events: numbers that lie far apart make no pieces, so the log below fits in one a thread."""
+    log = [(t, 10**15 * (k * 3 + t), "ab"[k % 2], k < 2) for t in range(3) for k in range(4)]
+    rows = spark.createDataFrame(log, LOG)
+    assert [tuple(r) for r in K.lock_order(rows).collect()] == [("a", "b", 3)]
+    points = spark.createDataFrame([(0, 4 * 10**15, "x"), (1, 10**18, "y")], "thread long, seq long, `a.b` string")
+    assert {(r.thread, r["a.b"], r.held) for r in K.held(rows, points).collect()} == {(0, "x", "a"), (0, "x", "b")}
