@@ -53,33 +53,40 @@ def escaping(roots: DataFrame, hfh: DataFrame) -> DataFrame:
     return reach(hfh.select(F.col("b").alias("u"), F.col("h").alias("v")), roots.select(F.col("h").alias("node"))).toDF("h")
 
 
-def races(access: DataFrame, locks: DataFrame, parallel: DataFrame) -> DataFrame:
+def _grouped(one: DataFrame, two: DataFrame, on: list[str], groups: DataFrame) -> DataFrame:
+    """``one`` (with t) joined with ``two`` (with s) where t and s are different threads of a group."""
+    of = groups.select(*[F.col(c).alias(k) for c, k in zip(groups.columns, ("t", "_group"), strict=True)]).distinct()
+    return one.join(of, "t").join(two.join(of.withColumnRenamed("t", "s"), "s"), [*on, "_group"]).where("t <> s")
+
+
+def races(access: DataFrame, locks: DataFrame, parallel: DataFrame | None, groups: DataFrame | None = None) -> DataFrame:
     """Pairs e <= d of accesses to one object that can run in parallel, one a write, without a common lock.
 
-    access(e, t, h, write), locks(e, l), parallel(t, s), which is symmetric. Locks are looked up for the pairs in
-    question only.
+    access(e, t, h, write), locks(e, l), parallel(t, s), which is symmetric, or ``groups`` in its place, as for deadlocks.
+    Locks are looked up for the pairs in question only.
     """
     a = access.toDF("e", "t", "h", "x")
     b = access.toDF("d", "s", "h", "y")
-    pairs = a.join(b, "h").where("e <= d and (x or y)").join(parallel.toDF("t", "s"), ["t", "s"], "left_semi").select("e", "d").distinct()
-    pairs = materialise(pairs, "pairs")
+    both = a.join(b, "h").join(parallel.toDF("t", "s"), ["t", "s"], "left_semi") if groups is None else _grouped(a, b, ["h"], groups)
+    pairs = materialise(both.where("e <= d and (x or y)").select("e", "d").distinct(), "pairs")
     guarded = pairs.join(locks.toDF("e", "l"), "e").join(locks.toDF("d", "l"), ["d", "l"], "left_semi").select("e", "d").distinct()
     return pairs.join(guarded, ["e", "d"], "left_anti")
 
 
-def deadlocks(holds: DataFrame, parallel: DataFrame, escaping: DataFrame | None = None) -> DataFrame:
+def deadlocks(holds: DataFrame, parallel: DataFrame | None, escaping: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
     """(t, s, l, m) with l < m: t takes m while it holds l, s takes l while it holds m, and no lock guards both.
 
     holds(t, a, l, m): in acquisition ``a`` thread t takes m while it holds l, a row for each l held. Threads must
     be able to run in parallel (a symmetric relation of t and s; a thread in parallel with itself is two of its
-    kind), locks must be reachable by others (``escaping``, column l; all are by default), and no third lock may be
+    kind; or, with ``groups`` (thread and group) in its place, different threads of a group, whose pairs are not formed), locks must be reachable by others (``escaping``, column l; all are by default), and no third lock may be
     held at both acquisitions.
     """
     shared = holds.toDF("t", "a", "l", "m").where("l <> m").distinct()
     if escaping is not None:
         shared = shared.join(escaping.toDF("l"), "l", "left_semi").join(escaping.toDF("m"), "m", "left_semi").select("t", "a", "l", "m")
     one, two = shared.where("l < m"), shared.where("l > m").toDF("s", "b", "m", "l")
-    pairs = materialise(one.join(two, ["l", "m"]).join(parallel.toDF("t", "s"), ["t", "s"], "left_semi").select("t", "a", "s", "b", "l", "m").distinct(), "pairs")
+    both = one.join(two, ["l", "m"]).join(parallel.toDF("t", "s"), ["t", "s"], "left_semi") if groups is None else _grouped(one, two, ["l", "m"], groups)
+    pairs = materialise(both.select("t", "a", "s", "b", "l", "m").distinct(), "pairs")
     held = holds.toDF("t", "a", "g", "m").select("t", "a", "g").distinct()
     both = pairs.join(held, ["t", "a"]).where("g <> l and g <> m").join(held.toDF("s", "b", "g"), ["s", "b", "g"], "left_semi")
     free = pairs.join(both.select("t", "a", "s", "b", "l", "m").distinct(), ["t", "a", "s", "b", "l", "m"], "left_anti")

@@ -54,9 +54,7 @@ def race_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Lines on one part by different suppliers of a nation, one returned, whose status (the lock they hold) differs."""
     rows = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("e"), F.col("l_suppkey").alias("t"), F.col("l_partkey").alias("h"), (F.col("l_returnflag") == "R").alias("write"), F.col("l_linestatus").alias("l"))
     rows = materialise(rows.distinct(), "access")
-    s = relation(spark, sf, "supplier", "s_suppkey", "s_nationkey")
-    beside = s.toDF("t", "n").join(s.toDF("s", "n"), "n").where("t <> s").select("t", "s")
-    return A.races(rows.drop("l"), rows.select("e", "l"), beside)
+    return A.races(rows.drop("l"), rows.select("e", "l"), None, relation(spark, sf, "supplier", "s_suppkey", "s_nationkey"))
 
 
 @query("""WITH i AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS k, l_suppkey AS s FROM lineitem), x AS (SELECT DISTINCT a.o, o_custkey AS t, b.k, a.s AS l, b.s AS m FROM i a JOIN i b ON a.o = b.o AND a.k < b.k JOIN orders ON o_orderkey = a.o),
@@ -69,9 +67,7 @@ def deadlock_pairs(spark: SparkSession, sf: str) -> DataFrame:
     held = line.toDF("o", "j", "l").join(line.toDF("o", "k", "m"), "o").where("j < k")
     order = relation(spark, sf, "orders", "o_orderkey", "o_custkey").toDF("o", "t")
     holds = held.join(order, "o").select("t", F.concat_ws(":", "o", "k").alias("a"), "l", "m")
-    c = relation(spark, sf, "customer", "c_custkey", "c_nationkey")
-    beside = c.toDF("t", "n").join(c.toDF("s", "n"), "n").where("t <> s").select("t", "s")
-    return A.deadlocks(materialise(holds.distinct(), "holds"), beside)
+    return A.deadlocks(materialise(holds.distinct(), "holds"), None, groups=relation(spark, sf, "customer", "c_custkey", "c_nationkey"))
 
 
 @query("""SELECT DISTINCT c_custkey AS source, l_partkey AS sink FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE c_acctbal < 0 AND o_orderstatus <> 'F' AND p_size > 30""")

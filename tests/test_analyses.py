@@ -98,3 +98,14 @@ def test_paths_and_cycles(spark):
     d = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 3), (0, 3)], "u long, v long")
     ends = {(r.u, r.v): (r["first"], r["last"]) for r in G.path_ranges(d).collect()}
     assert [ends[k, 3] for k in (0, 1, 2)] == [(0, 1), (1, 2), (2, 3)]
+
+
+def test_groups_stand_for_pairs_of_threads(spark):
+    """Threads of a group run at once: the same deadlocks and races as with the pairs, which are not formed."""
+    rows = lambda data, schema: spark.createDataFrame(data, schema)
+    holds = rows([(1, 1, "p", "q"), (1, 2, "q", "p"), (2, 3, "q", "p"), (3, 4, "r", "z"), (4, 5, "z", "r"), (5, 6, "z", "r")], "t int, a int, l string, m string")
+    groups = rows([(1, 7), (2, 7), (3, 8), (4, 9), (5, 8), (5, 8)], "c int, n int")
+    assert {tuple(r) for r in A.deadlocks(holds, None, groups=groups).collect()} == {(1, 2, "p", "q"), (3, 5, "r", "z")}
+    access = rows([("e1", 1, "h", True), ("e2", 2, "h", False), ("e3", 2, "h", True), ("e4", 3, "h", True)], "e string, t int, h string, write boolean")
+    locks = rows([("e1", "l"), ("e3", "l")], "e string, l string")
+    assert {tuple(r) for r in A.races(access, locks, None, groups).collect()} == {("e1", "e2")}
