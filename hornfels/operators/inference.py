@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,11 +44,40 @@ def noisy_or(p: Column) -> Column:
     return 1 - F.product(1 - p)
 
 
+def _tables(edges: DataFrame, domain: DataFrame) -> DataFrame:
+    """A row a factor: ``slots``, its (var, state) in order, the entries' ``values``, and ``picks``, each entry's slots, filled up with -1."""
+    slots = domain.groupBy("factor").agg(F.sort_array(F.collect_set(F.struct("var", "state"))).alias("slots"))
+    at = slots.select("factor", F.posexplode("slots").alias("at", "s")).select("factor", "at", "s.var", "s.state")
+    each = edges.join(at, ["factor", "var", "state"]).groupBy("factor", "entry").agg(F.first("value").alias("value"), F.collect_list("at").alias("picks"))
+    most = F.max(F.size("picks"))
+    rows = each.groupBy("factor").agg(F.collect_list(F.struct("value", "picks")).alias("rows"), most.alias("most"))
+    full = lambda x: F.concat(x["picks"], F.array_repeat(F.lit(-1), F.col("most") - F.size(x["picks"])))
+    filled = F.flatten(F.transform("rows", full))
+    return rows.join(slots, "factor").select("factor", "slots", F.transform("rows", lambda x: x["value"]).alias("values"), filled.alias("picks"))
+
+
+def _sent(values: pd.Series, picks: pd.Series, messages: pd.Series, maximum: bool) -> pd.Series:
+    """For each factor what it sends to its slots: sums (or maxima) over entries of value times the other slots' messages."""
+    out = []
+    for v, p, m in zip(values, picks, messages, strict=True):
+        at = np.asarray(p).reshape(len(v), -1)
+        known = np.append(np.maximum(np.asarray(m, float), 1e-300), 1.0)[at]  # -1 is the last one
+        ones = np.ones((len(v), 1))
+        before = np.cumprod(np.hstack([ones, known[:, :-1]]), axis=1)
+        behind = np.cumprod(np.hstack([ones, known[:, :0:-1]]), axis=1)[:, ::-1]
+        x = np.asarray(v, float)[:, None] * before * behind
+        sums = np.zeros(len(m) + 1)
+        (np.maximum if maximum else np.add).at(sums, at.ravel() % (len(m) + 1), x.ravel())
+        out.append(sums[:-1])
+    return pd.Series(out)
+
+
 def belief_propagation(entries: DataFrame, rounds: int = 60, tolerance: float = 1e-6, damping: float = 0.0, maximum: bool = False, strict: bool = True) -> DataFrame:
     """Marginals (var, state, p) of a factor graph by loopy sum-product, or max-product, in parallel rounds.
 
-    ``entries`` has a row for each factor entry and variable: factor, entry, value, var, state. Messages are
-    tables; a round is two joins and grouped sums of logarithms, normalised for each edge. Variables without
+    ``entries`` has a row for each factor entry and variable: factor, entry, value, var, state. They are gathered once into
+    a row a factor; messages are tables of a row a factor, variable and state. A round joins the two, multiplies within the
+    factor's row and sums logarithms by variable, normalised for each edge. Variables without
     evidence need no row of their own. Stops once no message moved by more than ``tolerance``; if that takes more
     than ``rounds`` it is an error, unless ``strict`` is off, which gives the last beliefs as they are.
     """
@@ -54,15 +85,14 @@ def belief_propagation(entries: DataFrame, rounds: int = 60, tolerance: float =
     domain = edges.select("factor", "var", "state").distinct()
     size = domain.groupBy("factor", "var").agg(F.count("*").alias("k"))
     messages = materialise(domain.join(size, ["factor", "var"]).select("factor", "var", "state", (1 / F.col("k")).alias("m")), "messages")  # from variables
-    pool = F.max if maximum else F.sum
+    tables = materialise(_tables(edges, domain), "tables")
     up = messages
-    others = edges.alias("a").join(edges.select("factor", "entry", F.col("var").alias("w"), F.col("state").alias("ws")).alias("b"), ["factor", "entry"]).where("w <> var")
-    others = materialise(others.select("factor", "entry", "var", "state", "w", "ws"), "others")
     for _ in range(rounds):
-        weighted = others.join(messages.select("factor", F.col("var").alias("w"), F.col("state").alias("ws"), "m"), ["factor", "w", "ws"])
-        product = weighted.groupBy("factor", "entry", "var", "state").agg(F.exp(F.sum(F.log(F.greatest("m", F.lit(1e-300))))).alias("m"))
-        full = edges.join(product, ["factor", "entry", "var", "state"], "left").withColumn("x", F.col("value") * F.coalesce("m", F.lit(1.0)))
-        up = full.groupBy("factor", "var", "state").agg(pool("x").alias("m"))
+        slots = F.transform(F.sort_array(F.collect_list(F.struct("var", "state", "m"))), lambda x: x["m"])
+        held = tables.join(messages.groupBy("factor").agg(slots.alias("m")), "factor")
+        sent = F.pandas_udf(lambda v, t, m: _sent(v, t, m, maximum), "array<double>")
+        up = held.select("factor", F.explode(F.arrays_zip("slots", sent("values", "picks", "m").alias("m"))).alias("x"))
+        up = materialise(up.select("factor", "x.slots.var", "x.slots.state", "x.m"), "sent")
         norm = up.groupBy("factor", "var").agg(F.sum("m").alias("z"))
         up = materialise(up.join(norm, ["factor", "var"]).select("factor", "var", "state", (F.col("m") / F.col("z")).alias("m")), "messages")
         total = up.groupBy("var", "state").agg(F.sum(F.log(F.greatest("m", F.lit(1e-300)))).alias("l"))
