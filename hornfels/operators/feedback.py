@@ -49,7 +49,14 @@ def bridges(flow: DataFrame, found: DataFrame, rounds: int = 200) -> DataFrame:
         asked = parts[-1].toDF("s", "t").join(direct, ["s", "t"], "left_semi")
         ahead = paths.toDF("s", "u").union(asked.select("s", F.col("s").alias("u"))).distinct()
         behind = paths.toDF("v", "t").union(asked.select(F.col("t").alias("v"), "t")).distinct()
-        on = materialise(asked.join(ahead, "s").join(flow, "u").join(behind, ["v", "t"]).select("s", "t", "u", "v").distinct(), "on")
+        # of a pair's two ends the one with fewer nodes is walked from, and what it meets must be on a way between them
+        down, up = ahead.groupBy("s").agg(F.count("*").alias("down")), behind.groupBy("t").agg(F.count("*").alias("up"))
+        sized = materialise(asked.join(down, "s").join(up, "t"), "asked")
+        last = sized.where("up <= down").select("s", "t").join(behind, "t").join(paths.toDF("s", "v"), ["s", "v"], "left_semi")
+        last = last.join(flow, "v").join(ahead, ["s", "u"], "left_semi")
+        first = sized.where("up > down").select("s", "t").join(ahead, "s").join(paths.toDF("u", "t"), ["u", "t"], "left_semi")
+        first = first.join(flow, "u").join(behind, ["v", "t"], "left_semi")
+        on = materialise(last.select("s", "t", "u", "v").union(first.select("s", "t", "u", "v")).distinct(), "on")
         # from s, without the edge (u, v), along edges on the way to t
         step = on.select("s", "t", F.col("u").alias("node"), F.col("v").alias("next"))
         state = on.select("s", "t", "u", "v", F.col("s").alias("node"))
