@@ -36,10 +36,23 @@ def closure_by_doubling(edges: DataFrame) -> DataFrame:
     return fixpoint(edges.select("u", "v"), step)
 
 
+def closure_by_classes(edges: DataFrame) -> DataFrame:
+    """The same of a graph with cycles: paths are joined with paths between strongly connected components only.
+
+    Within a component every node reaches every other, so joining its pairs would derive each as often as it has nodes; here
+    its members are put in at the end, and every pair is made once.
+    """
+    edges = materialise(edges.select("u", "v").distinct(), "edges")
+    classes = materialise(scc(edges), "scc")
+    loops = cycle_edges(edges, classes).join(classes.toDF("u", "c"), "u").select(F.col("c").alias("u"), F.col("c").alias("v")).distinct()
+    between = closure_by_doubling(condensed(edges, classes)).select(F.col("u").alias("cu"), F.col("v").alias("cv")).union(loops)
+    return between.join(classes.toDF("v", "cv"), "cv").join(classes.toDF("u", "cu"), "cu").select("u", "v")
+
+
 def closure_no_self(edges: DataFrame) -> DataFrame:
     """Closure that composes pairs of three different nodes only: loops stay, cycles add none."""
     plain = edges.where("u <> v").select("u", "v")
-    return closure(plain).where("u <> v").union(edges.where("u = v").select("u", "v")).distinct()
+    return closure_by_classes(plain).where("u <> v").union(edges.where("u = v").select("u", "v").distinct())
 
 
 def reach(edges: DataFrame, start: DataFrame) -> DataFrame:

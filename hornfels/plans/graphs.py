@@ -57,7 +57,7 @@ def tc_linear(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {HABITS}, {CLOSE} SELECT u, v FROM t")
 def tc_nonlinear(spark: SparkSession, sf: str) -> DataFrame:
-    return G.closure_by_doubling(habits(spark, sf))
+    return G.closure_by_classes(habits(spark, sf))
 
 
 @query(f"WITH RECURSIVE {TRANSITIONS}, {CLOSE} SELECT u, v FROM t")

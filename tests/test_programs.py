@@ -248,3 +248,24 @@ def test_path_ranges_on_a_cyclic_graph(spark):
     got = {(r.u, r.v): (int(r["first"]), int(r["last"])) for r in graph.path_ranges(e, back).collect()}
     assert got.keys() == {(0, 1), (0, 2), (1, 3), (2, 3), (3, 4)}
     assert {got[1, 3], got[2, 3]} == {(0, 1), (1, 2)} and got[0, 2] == (0, 1) and got[3, 4] == (0, 2)
+
+
+@pytest.mark.parametrize("seed", [3])
+def test_closure_by_classes_and_dominators_of_a_dense_graph(spark, seed):
+    """A component of many nodes beside a path: each pair is made once, and what dominates is found past all cycles."""
+    e = [*random_edges(seed, 8, 30), (7, 20), (20, 21), (21, 21), (22, 0)]
+    df = frame(spark, e, "u long, v long")
+    nodes = {x for p in e for x in p}
+    found = graph.closure_by_classes(df).collect()
+    assert len(found) == len(set(found))
+    assert {tuple(r) for r in found} == {(u, w) for u in nodes for a, v in e if a == u for w in reachable(e, v)}
+    below = reachable(e, 22)
+    doms = {(v, d) for v in below for d in below if d == v or v not in _past(e, 22, d)}
+    assert pairs(graph.dominators(df, frame(spark, [(22,)], "node long"))) == doms
+
+
+def test_bridges_of_a_wide_hub(spark):
+    """Edges on the ways are found from either end: many leaves below a hub, and many sources above one."""
+    flow = [(0, k) for k in range(1, 30)] + [(k, 100) for k in range(50, 80)] + [(1, 200), (300, 50)]
+    out = feedback.bridges(frame(spark, flow, "u long, v long"), frame(spark, [(0, 200), (300, 100)], "u long, v long"))
+    assert pairs(out) == {(0, 200), (0, 1), (1, 200), (300, 100), (300, 50), (50, 100)}
