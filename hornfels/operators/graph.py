@@ -248,27 +248,36 @@ def same_generation(edges: DataFrame) -> DataFrame:
 def dominators(edges: DataFrame, root: DataFrame, rounds: int = 1000) -> DataFrame:
     """``node`` and each ``dom`` on every path from the one ``root`` (column ``node``) to it, itself included.
 
-    Rounds intersect the dominators of a node's predecessors, of those known so far, until nothing changes. A
-    round is a join over the edges and two grouped counts; the table has the dominators' rows and no others.
+    What dominates a node lies on its path in a tree of fewest edges from the root, so these paths are the first table, built
+    level by level from the last level's rows. A row falls if some predecessor of the node lacks it; rows that fall are
+    found once each, in rounds that see the last round's only. What stays is what every predecessor has.
     """
     with scratch(edges.sparkSession):
-        reached = materialise(reach(edges, root), "reached")
-        into = edges.select("u", "v").distinct().join(reached.select(F.col("node").alias("u")), "u").where("u <> v")
-        into = materialise(into.join(root.select(F.col("node").alias("v")), "v", "left_anti").select("u", "v"), "edges")
-        known = materialise(root.select("node", F.col("node").alias("dom")), "doms")
-        size = 1
+        onward = materialise(edges.select("u", "v").distinct().where("u <> v").join(root.select(F.col("node").alias("v")), "v", "left_anti").select("u", "v"), "edges")
+        level = materialise(root.select("node", F.col("node").alias("dom")), "doms")
+        parts, seen = [level], [materialise(root.select("node", F.lit(None).cast(edges.schema["u"].dataType).alias("parent")), "tree")]
         for _ in range(rounds):
-            there = known.select(F.col("node").alias("u")).distinct()
-            preds = into.join(there, "u").groupBy("v").agg(F.count("*").alias("preds"))
-            common = into.join(known.withColumnRenamed("node", "u"), "u").groupBy("v", "dom").agg(F.count("*").alias("n"))
-            shared = common.join(preds, "v").where("n = preds").select(F.col("v").alias("node"), "dom")
-            own = preds.select(F.col("v").alias("node"), F.col("v").alias("dom"))
-            now = materialise(root.select("node", F.col("node").alias("dom")).union(shared).union(own).distinct(), "doms")
-            count = now.count()
-            if count == size and now.join(known, ["node", "dom"], "left_anti").isEmpty():
-                return keep(now, "doms")
-            known, size = now, count
-    raise RuntimeError(f"dominators are not settled in {rounds} rounds")
+            last = seen[-1].select(F.col("node").alias("u"))
+            new = onward.join(last, "u").groupBy(F.col("v").alias("node")).agg(F.min("u").alias("parent"))
+            new = materialise(new.join(union_all(seen), "node", "left_anti"), "tree")
+            if new.isEmpty():
+                break
+            above = new.join(level.withColumnRenamed("node", "parent"), "parent").select("node", "dom")
+            level = materialise(above.union(new.select("node", F.col("node").alias("dom"))), "doms")
+            parts.append(level)
+            seen.append(new)
+        else:
+            raise RuntimeError(f"nodes are still found after {rounds} rounds")
+        doms, tree = materialise(union_all(parts), "doms"), materialise(union_all(seen), "tree")
+        into = materialise(onward.join(tree.select(F.col("node").alias("u")), "u", "left_semi").select("u", "v"), "edges")
+        strict = materialise(doms.where("node <> dom"), "strict")
+        other = into.join(tree.select(F.col("parent").alias("u"), F.col("node").alias("v")), ["u", "v"], "left_anti")  # a parent has them all
+        lacks = other.join(strict.toDF("v", "dom"), "v").join(doms.toDF("u", "dom"), ["u", "dom"], "left_anti").select(F.col("v").alias("node"), "dom")
+
+        def fall(new: DataFrame, _: DataFrame) -> DataFrame:
+            return new.join(into.withColumnRenamed("u", "node"), "node").select(F.col("v").alias("node"), "dom").join(strict, ["node", "dom"], "left_semi")
+
+        return keep(doms.join(fixpoint(lacks, fall, rounds), ["node", "dom"], "left_anti"), "doms")
 
 
 def dominance_frontier(edges: DataFrame, doms: DataFrame) -> DataFrame:
