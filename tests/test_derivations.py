@@ -48,3 +48,24 @@ def test_patterns_match_as_loops_do(spark):
     key = lambda t: tuple((x is None, x or 0) for x in t)
     assert sorted((tuple(x) for x in R.matching(p, r, "a", "b").collect()), key=key) == sorted(want, key=key)
     assert R.matching(p.limit(0), r, "a", "b").count() == 0
+
+
+def test_coreachable_makes_no_pass_over_all_pairs(spark):
+    """Repeated literals change nothing, and the plan of a round has no aggregation of the clauses themselves."""
+    from unittest import mock
+
+    from hornfels.operators import clauses as C
+
+    rows = spark.createDataFrame([("a", "R", "x", "y"), ("b", "R", "x", "y"), ("c", "R", "y", "z"), ("d", "R", "w", "x"), ("e", "R", "z", None)], "clause_id string, rule string, head string, lit string")
+    out = spark.createDataFrame([("x",)], "tuple string")
+    plans = []
+
+    def spied(base, step, *more):
+        plans.append(step(base, base)._jdf.queryExecution().optimizedPlan().toString())
+        return fixpoint(base, step, *more)
+
+    from hornfels.operators.fixpoint import fixpoint
+
+    with mock.patch.object(C, "fixpoint", spied):
+        assert sorted(r["tuple"] for r in C.coreachable(rows, out).collect()) == ["x", "y", "z"]
+    assert "Aggregate" not in plans[0]
