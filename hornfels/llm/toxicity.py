@@ -114,12 +114,16 @@ def distinctive(sample: DataFrame, toxic: int, ordinary: int) -> set[str]:
     return {r["gram"] for r in hot.select("gram").collect()}  # of SAMPLE toxic documents at most
 
 
-def trained(samples: list[bytes], size: int) -> tuple[bytes, bool]:
-    """zstandard's dictionary and whether its trainer made it; too little text for the trainer is taken as it is."""
+#: The first bytes of a dictionary in zstandard's format.
+MAGIC = bytes.fromhex("37a430ec")
+
+
+def trained(samples: list[bytes], size: int) -> bytes:
+    """zstandard's dictionary, which begins with MAGIC; too little text for its trainer is taken as it is."""
     try:
-        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=COUNTED, level=LEVEL).as_bytes(), True
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=COUNTED, level=LEVEL).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"".join(dict.fromkeys(samples))[-size:], False
+        return b"".join(dict.fromkeys(samples))[-size:]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -169,10 +173,10 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     plain = made.where("label = 0").select("text").mapInPandas(ordinary_windows, "window binary")
     plain = [bytes(r["window"]) for r in plain.orderBy(F.xxhash64("window"), "window").limit(ORDINARY_WINDOWS).collect()]
     dictionaries = {"toxic": trained(found, TOXIC_BYTES), "ordinary": trained(plain, ORDINARY_BYTES)}
-    untrained = tuple(k for k, (_, made_by_trainer) in dictionaries.items() if not made_by_trainer)
+    untrained = tuple(k for k, d in dictionaries.items() if not d.startswith(MAGIC))
     if untrained:
         warnings.warn(f"too little text to train a dictionary for: {', '.join(untrained)}", stacklevel=2)
-    model = Model(dictionaries["toxic"][0], dictionaries["ordinary"][0])
+    model = Model(dictionaries["toxic"], dictionaries["ordinary"])
     seen = sample.where("part = 1").select("label", F.pandas_udf(lambda s: pd.Series([features(t or "", model) for t in s]), "array<double>")("text").alias("x")).collect()
     x, y = np.array([r["x"] for r in seen]), np.array([r["label"] for r in seen])
     weights = tuple(logistic(x, y)) if len(seen) else (0.0,) * (len(features("", model)) - 1) + (-3.0,)
