@@ -3,6 +3,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from hornfels.operators import clauses as C
 from hornfels.operators import relational as R
 
@@ -69,3 +71,85 @@ def test_coreachable_makes_no_pass_over_all_pairs(spark):
     with mock.patch.object(C, "fixpoint", spied):
         assert sorted(r["tuple"] for r in C.coreachable(rows, out).collect()) == ["x", "y", "z"]
     assert "Aggregate" not in plans[0]
+
+
+PLAIN = [(f"a[{i}]", "A", f"p({i % 4})", lit) for i in range(200) for lit in (f"e({i})", f"f({i})")]
+LINKED = [("b[0]", "B", "q(0)", "p(0)"), ("b[0]", "B", "q(0)", "e(1)"), ("c[0]", "C", "p(9)", "q(0)"), ("c[1]", "C", "p(0)", "p(9)"), ("d[0]", "D", "r(0)", "p(7)")]
+
+
+def _written(monkeypatch, spark):
+    """The clauses in question, and the list that rows written by the operators go to."""
+    from hornfels.operators import clauses as C
+    from hornfels.operators import inference as I
+
+    rows = []
+    for module, name in ((C, "materialise"), (C, "keep"), (I, "materialise")):
+        real = getattr(module, name)
+
+        def spied(df, label, *by, real=real):
+            out = real(df, label, *by)
+            rows.append(out.count())
+            return out
+
+        monkeypatch.setattr(module, name, spied)
+    return spark.createDataFrame(PLAIN + LINKED, "clause_id string, rule string, head string, lit string"), rows
+
+
+DOB = {"p(0)": 1, "p(1)": 1, "p(2)": 1, "p(3)": 1, "q(0)": 2, "p(9)": 3, "p(7)": 0, "r(0)": 1} | {f"{k}({i})": 0 for k in "ef" for i in range(200)}
+
+
+def test_births_write_no_clause_over_inputs_only(spark, monkeypatch):
+    table, rows = _written(monkeypatch, spark)
+    got = C.births(table)
+    assert {tuple(r) for r in got.collect()} == set(DOB.items())
+    assert sum(rows) < 100  # 400 literals and 200 clauses before
+
+
+def test_forward_keeps_clauses_over_inputs_as_they_are(spark, monkeypatch):
+    table, rows = _written(monkeypatch, spark)
+    dob = C.births(table)
+    assert {r.clause_id for r in C.forward(table, dob).collect()} == {c for c, *_ in PLAIN + LINKED} - {"c[1]"}
+    assert sum(rows) < 120
+
+
+def test_marginals_write_no_clause_over_inputs_only(spark, monkeypatch):
+    import pytest
+
+    from hornfels.operators import inference as I
+
+    table, rows = _written(monkeypatch, spark)
+    dob = C.births(table)
+    p = {r.tuple: r.p for r in I.and_or(C.forward(table, dob), dob, F.lit(0.01)).collect()}
+    first = 1 - 0.99**50
+    want = {f"p({k})": first for k in range(4)} | {"q(0)": 0.01 * first, "p(9)": 0.01 * 0.01 * first, "r(0)": 0.01}
+    assert p == pytest.approx(want)
+    assert sum(rows) < 200
+
+
+def test_least_derivation_of_a_linked_program(spark, monkeypatch):
+    table, rows = _written(monkeypatch, spark)
+    got = {tuple(r) for r in C.least_derivation(table, spark.createDataFrame([("p(9)",), ("e(5)",), ("r(0)",), ("z(0)",)], "tuple string")).collect()}
+    tree = {("p(9)", 3, "c[0]", "C", "q(0)"), ("q(0)", 2, "b[0]", "B", "p(0)"), ("q(0)", 2, "b[0]", "B", "e(1)"), ("p(0)", 1, "a[0]", "A", "e(0)"), ("p(0)", 1, "a[0]", "A", "f(0)")}
+    inputs = {(t, 0, None, None, None) for t in ("e(0)", "f(0)", "e(1)", "e(5)", "p(7)")}
+    assert got == tree | inputs | {("r(0)", 1, "d[0]", "D", "p(7)")}
+    assert sum(rows) < 250  # 400 literals four times before; p(0)'s 50 clauses alone are looked at
+
+
+def test_needs_read_clauses_over_inputs_once(spark, monkeypatch):
+    table, rows = _written(monkeypatch, spark)
+    need = lambda *t: {r[0] for r in C.needing(table, spark.createDataFrame([(x,) for x in t], "tuple string")).collect()}
+    assert need(*[f"e({i})" for i in range(0, 200, 4)]) == {f"e({i})" for i in range(0, 200, 4)} | {"p(0)", "q(0)", "p(9)"}
+    assert sum(rows) < 400
+    assert need("e(1)", "e(2)", "nothing") == {"e(1)", "e(2)", "q(0)", "p(9)"}
+    assert need("p(7)") == {"p(7)", "r(0)"}
+    assert need("p(1)") == {"p(1)"}  # the inputs of its own clauses stay
+
+
+def test_narrow_goes_on_with_its_steps_only(spark, monkeypatch):
+    table, rows = _written(monkeypatch, spark)
+    single = spark.createDataFrame([(f"s[{i}]", "S", f"s({i})", f"e({i})") for i in range(300)], table.schema)
+    out = C.narrow(table.union(single), 5)
+    made = sum(rows)
+    widths = {r["head"]: r["n"] for r in out.select("clause_id", "head").distinct().groupBy("head").agg(F.count("*").alias("n")).collect()}
+    assert max(widths.values()) <= 5 and out.where("rule <> 'Rnarrow'").count() == len(PLAIN + LINKED) + 300
+    assert made < 500  # the 300 were written again in every round
