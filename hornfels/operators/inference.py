@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hornfels.operators.clauses import parted
 from hornfels.operators.fixpoint import union_all
 from hornfels.storage import materialise
 
@@ -15,22 +16,30 @@ def and_or(clauses: DataFrame, dob: DataFrame, p: Column, evidence: DataFrame |
     """``tuple`` and ``p`` of derived tuples: a clause holds with probability ``p`` (over ``rule``) if its body does.
 
     Bodies are conjunctions, heads disjunctions, antecedents are taken as independent: exact on trees. Inputs
-    are true, or have the ``prior`` of ``evidence`` (tuple, prior). One round for each birth date.
+    are true, or have the ``prior`` of ``evidence`` (tuple, prior). One round for each birth date; clauses over inputs only
+    are read in the first, and not written. ``dob`` is as from ``births``.
     """
-    levels = [r["dob"] for r in dob.where("dob > 0").select("dob").distinct().orderBy("dob").collect()]  # as many as rounds
-    known = dob.where("dob = 0").select("tuple", F.lit(1.0).alias("p"))
+    born = dob.where("dob > 0")
+    levels = [r["dob"] for r in born.select("dob").distinct().orderBy("dob").collect()]  # as many as rounds
+    parts = []
     if evidence is not None:
-        known = known.join(evidence, "tuple", "left").select("tuple", F.coalesce("prior", "p").alias("p"))
-    parts = [materialise(known, "marginal")]
-    body = clauses.select("clause_id", "rule", "head", F.col("lit").alias("tuple"))
-    birth = dob.select(F.col("tuple").alias("head"), "dob")
-    body = materialise(body.join(birth, "head"), "body", "dob")  # a folder a birth date, so that a round reads its own
+        known = evidence.join(dob.where("dob = 0"), "tuple", "left_semi").select("tuple", F.coalesce("prior", F.lit(1.0)).alias("p"))
+        parts = [materialise(known, "marginal")]
+    given = len(parts)
+    linked, plain, _ = parted(clauses, born)
+    body = linked.join(born.select(F.col("tuple").alias("head"), "dob"), "head").select("clause_id", "rule", "head", F.col("lit").alias("tuple"), "dob")
+    body = materialise(body, "body", "dob")  # a folder a birth date, so that a round reads its own
     for k in levels:
-        rows = body.where(F.col("dob") == k).join(union_all(parts), "tuple", "left")
-        held = rows.groupBy("clause_id", "rule", "head").agg(F.product(F.coalesce("p", F.lit(1.0))).alias("q"))
+        rows = body.where(F.col("dob") == k).drop("dob")
+        if k == 1:  # clauses over inputs only
+            rows = rows.union(plain.select("clause_id", "rule", "head", F.col("lit").alias("tuple")))
+        if parts:
+            held = rows.join(union_all(parts), "tuple", "left").groupBy("clause_id", "rule", "head").agg(F.product(F.coalesce("p", F.lit(1.0))).alias("q"))
+        else:
+            held = rows.select("clause_id", "rule", "head").distinct().withColumn("q", F.lit(1.0))
         some = held.groupBy("head").agg((1 - F.product(1 - p * F.col("q"))).alias("p"))
         parts.append(materialise(some.select(F.col("head").alias("tuple"), "p"), "marginal"))
-    return union_all(parts[1:]) if levels else parts[0].limit(0)
+    return union_all(parts[given:]) if levels else dob.select("tuple", F.lit(1.0).alias("p")).limit(0)
 
 
 def soft_posterior(prior: Column, agreement: Column) -> Column:
