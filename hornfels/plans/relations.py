@@ -68,8 +68,8 @@ def rule_theta_lt(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT DISTINCT a.s_suppkey AS x, b.s_suppkey AS y FROM supplier a JOIN supplier b USING (s_nationkey) WHERE a.s_suppkey <> b.s_suppkey")
 def rule_neq(spark: SparkSession, sf: str) -> DataFrame:
-    s = relation(spark, sf, *SUP)
-    return R.head(R.body(R.atom(s, "x", "n"), R.atom(s, "y", "n")).where("x <> y"), x="x", y="y")
+    """Suppliers of one nation: a pair is a row of the result."""
+    return R.fellows(relation(spark, sf, *SUP))
 
 
 @query("SELECT DISTINCT n_nationkey::BIGINT AS n FROM nation WHERE n_nationkey = n_regionkey")

@@ -153,3 +153,16 @@ def test_narrow_goes_on_with_its_steps_only(spark, monkeypatch):
     widths = {r["head"]: r["n"] for r in out.select("clause_id", "head").distinct().groupBy("head").agg(F.count("*").alias("n")).collect()}
     assert max(widths.values()) <= 5 and out.where("rule <> 'Rnarrow'").count() == len(PLAIN + LINKED) + 300
     assert made < 500  # the 300 were written again in every round
+
+
+def test_fellows_are_each_pair_once(spark):
+    """Ids of one group and of several, repeated rows and nulls; groups of many blocks."""
+    rng = random.Random(3)
+    rows = [(i, g) for i in range(60) for g in rng.sample(range(4), 1 if i % 3 else 3)]
+    rows += [rows[0], rows[3], (None, 1), (61, None)]
+    known = [(i, g) for i, g in rows if i is not None and g is not None]
+    want = sorted({(i, j) for i, g in known for j, h in known if g == h and i != j})
+    for block in (7, 1500):
+        out = R.fellows(spark.createDataFrame(rows, "s long, n long"), block)
+        assert sorted(tuple(r) for r in out.collect()) == want
+    assert R.fellows(spark.createDataFrame([], "s long, n long")).count() == 0
