@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hornfels.operators.components import components
 from hornfels.operators.fixpoint import fixpoint, union_all
+from hornfels.operators.relational import fellows
 from hornfels.storage import keep, materialise, scratch
 
 
@@ -236,7 +237,17 @@ def path_counts(edges: DataFrame, most: int = 1000, back: DataFrame | None = Non
 
 
 def same_generation(edges: DataFrame) -> DataFrame:
-    """Pairs of different nodes that are as far below a common ancestor (edges go from parent to child)."""
+    """Pairs of different nodes that are as far below a common ancestor (edges go from parent to child).
+
+    Without cycles whatever two nodes have in common they have from a root too, so nodes are grouped by root and distance,
+    and pairs are made from the groups at the end: no round sees pairs. With cycles pairs derive pairs, round by round.
+    """
+    edges = materialise(edges.select("u", "v").distinct(), "edges")
+    if _without_ends(edges, 1000).isEmpty():
+        onward = edges.withColumnRenamed("u", "node")
+        start = roots(edges).select("node", F.col("node").alias("top"), F.lit(0).alias("k"))
+        below = fixpoint(start, lambda new, _: new.join(onward, "node").select(F.col("v").alias("node"), "top", (F.col("k") + 1).alias("k")))
+        return fellows(below.where("k > 0").select("node", F.struct("top", "k").alias("group"))).toDF("u", "v")
     up = edges.select(F.col("v").alias("child"), F.col("u").alias("parent")).distinct()
     a = up.select(F.col("child").alias("u"), F.col("parent").alias("p"))
     b = up.select(F.col("child").alias("v"), F.col("parent").alias("q"))

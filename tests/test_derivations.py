@@ -166,3 +166,20 @@ def test_fellows_are_each_pair_once(spark):
         out = R.fellows(spark.createDataFrame(rows, "s long, n long"), block)
         assert sorted(tuple(r) for r in out.collect()) == want
     assert R.fellows(spark.createDataFrame([], "s long, n long")).count() == 0
+
+
+def test_generations_without_cycles_make_no_pairs_in_rounds(spark, monkeypatch):
+    """A graph with several parents, and one with a cycle, against pairs that derive pairs."""
+    from hornfels.operators import graph as G
+
+    rounds = []
+    real = G.fixpoint
+    monkeypatch.setattr(G, "fixpoint", lambda base, *more: rounds.append(base.columns) or real(base, *more))
+    rng = random.Random(6)
+    for edges in ([(f"n{rng.randrange(i)}", f"n{i}") for i in range(1, 14)] + [("n0", "n5"), ("m", "n7"), ("m", "n9")], [(0, 1), (0, 2), (1, 3), (2, 4), (3, 1), (4, 4)]):
+        want = {(x, y) for p, x in edges for q, y in edges if p == q and x != y}
+        while more := {(x, y) for p, x in edges for q, y in edges if (p, q) in want and x != y} - want:
+            want |= more
+        got = [tuple(r) for r in G.same_generation(spark.createDataFrame(edges, ["u", "v"])).collect()]
+        assert sorted(got) == sorted(want)
+    assert rounds == [["node", "top", "k"], ["u", "v"]]
