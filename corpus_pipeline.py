@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornfels.llm import mixing, packing, secrets, simhash, toxicity
+from hornfels.llm import mixing, packing, resemblance, secrets, toxicity
 from hornfels.llm.common import free_names
 from hornfels.storage import materialise
 
@@ -36,9 +36,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least doc_id (null last) of each group of near-duplicates (five-word shingles, similarity 0.8), and all without any.
 
-    Texts without words, null ones too, are one group. Of rows that are equal in doc_id, text, source and language one stays.
+    SimHash fingerprints and an index of prefixes propose pairs, which are compared exactly. Texts without words, null ones too, are one group. Of rows that are equal in doc_id, text, source and language one stays.
     """
-    return simhash.representatives(docs)
+    return resemblance.representatives(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, found by prefix filtering and checked exactly.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash and prefix filtering propose, an exact check links.
+
+Every different text has a SimHash fingerprint of its shingles, and the index of ``simhash`` finds fingerprints within its
+bits. A fingerprint proposes one text of its own and one of another for each: so many pairs as texts, however large a group
+is. Two bits tell little of a similarity of 0.8, so what fingerprints miss is found as follows, and no link is lost.
 
 Let the shingles of all texts have one order. Two sets of ``n`` and ``m`` shingles whose similarity is at least
 ``t`` share one of their first ``n - ceil(t n) + 1`` and ``m - ceil(t m) + 1``, whatever the order is. So an index
@@ -24,15 +28,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hornfels.llm.common import restored, stashed
+from hornfels.llm import simhash
+from hornfels.llm.common import free_names, restored, stashed
 from hornfels.operators.components import components
 from hornfels.storage import keep as kept
 from hornfels.storage import materialise, scratch
 
 #: Words a shingle, the hash's seed, and the similarity from which texts are linked, as a fraction.
 SHINGLE, HASH_SEED, SIMILAR = 5, 42, (4, 5)
-#: Texts in the sample that orders the shingles, in how many of them a common one is, and common ones that are held, most common first: the order is free.
-SAMPLE, COMMON, HELD = 5000, 5, 200_000
+#: Texts in the sample that orders the shingles (one in so many where that is more, or pairs would grow with the square of the texts), in how
+#: many of them a common one is, and common ones that are held, most common first: the order is free.
+SAMPLE, ONE_IN, COMMON, HELD = 5000, 10, 5, 200_000
 
 
 def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
@@ -71,7 +77,7 @@ def common_shingles(texts: DataFrame, shingle: int = SHINGLE, sample: int = SAMP
     """Shingles that ``least`` texts or more of a hashed sample have, in order, and how many have them; ``texts`` has one column."""
     rows = texts.count()
     name = texts.columns[0]
-    share = F.pmod(F.xxhash64(F.lit(HASH_SEED), F.monotonically_increasing_id()), F.lit(1 << 20)) < F.lit(int(min(1.0, sample / max(1, rows)) * (1 << 20)))
+    share = F.pmod(F.xxhash64(F.lit(HASH_SEED), F.monotonically_increasing_id()), F.lit(1 << 20)) < F.lit(int(min(1.0, max(sample, rows / ONE_IN) / max(1, rows)) * (1 << 20)))
     of = F.pandas_udf(lambda s: pd.Series([shingles(t or "", shingle) for t in s], dtype=object), "array<long>")
     each = texts.where(share).select(F.explode(of(F.col(name))).alias("shingle"))
     found = each.groupBy("shingle").count().where(F.col("count") >= least).orderBy(F.desc("count"), "shingle").limit(HELD).toPandas()
@@ -90,10 +96,13 @@ def _linked(pairs: DataFrame, sets: DataFrame, shingle: int, similar: tuple[int,
 
     Their prefixes are compared first, a fraction of the texts' bytes: what two sets share besides lies behind the
     prefix of one of them, and similar sets share ``t / (1 + t) (n + m)`` at least. Only what passes is compared whole.
+    Of a prefix's hashes 16 bits travel with each pair; where some of one set fall together, so many more may be shared.
     """
     p, q = similar
-    head = lambda k, c: sets.select(F.col("id").alias(k), F.col("n").alias(f"n{c}"), F.col("posts").alias(f"p{c}"))
-    behind = F.ceil(F.greatest("na", "nb") * p / q) - 1
+    short = F.array_distinct(F.transform("posts", lambda x: (F.shiftrightunsigned(x, 48) - (1 << 15)).cast("smallint")))
+    heads = sets.select("id", "n", short.alias("p"), F.size("posts").alias("all"))
+    head = lambda k, c: heads.select(F.col("id").alias(k), F.col("n").alias(f"n{c}"), F.col("p").alias(f"p{c}"), (F.col("all") - F.size("p")).alias(f"l{c}"))
+    behind = F.ceil(F.greatest("na", "nb") * p / q) - 1 + F.least("la", "lb")
     enough = F.size(F.array_intersect("pa", "pb")) + behind >= F.ceil((F.col("na") + F.col("nb")) * p / (p + q))
     pairs = materialise(pairs.join(head("u", "a"), "u").join(head("v", "b"), "v").where(enough).select("u", "v"), "likely")
     nodes = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
@@ -115,7 +124,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, shingle: int, similar: tuple[int,
 
 
 def entries(docs: DataFrame, shingle: int, similar: tuple[int, int]) -> DataFrame:
-    """A row for each different text of ``docs`` (columns t, its digest, and text): t, id, n, central, posts and text."""
+    """A row for each different text of ``docs`` (columns t, its digest, and text): t, id, n, central, fp, posts and text."""
     common = common_shingles(docs.select("text"), shingle)
 
     def work(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -123,14 +132,25 @@ def entries(docs: DataFrame, shingle: int, similar: tuple[int, int]) -> DataFram
             out = []
             for t in s:
                 found = shingles(t, shingle)
-                out.append((len(found), *prefix(found, common, similar)))
-            yield pd.DataFrame(out, columns=["n", "posts", "central"])
+                out.append((len(found), *prefix(found, common, similar), simhash.folded(found.astype(">i8").view(np.uint8).reshape(-1, 8))))
+            yield pd.DataFrame(out, columns=["n", "posts", "central", "fp"])
 
-    of = F.pandas_udf(work, "n int, posts array<long>, central double")
+    of = F.pandas_udf(work, "n int, posts array<long>, central double, fp long")
     made = docs.groupBy("t").agg(F.first("text").alias("text")).withColumn("_s", of("text"))
     return materialise(made.select("t", F.monotonically_increasing_id().alias("id"), "_s.*", "text"), "texts")
 
 
+def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """``u`` < ``v``, ids of ``sets``: each text with the first of its fingerprint, and that with the first of one near fingerprint."""
+    rows = sets.where("n > 0").select("id", "fp")
+    first = materialise(rows.groupBy("fp").agg(F.min("id").alias("first")), "fingerprints")
+    own = rows.join(first, "fp").where("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v"))
+    met = materialise(simhash.similar_pairs(first.select("fp")), "near")
+    one = met.union(met.select("v", "u")).groupBy(F.col("u").alias("fp")).agg(F.min("v").alias("other"))
+    ends = one.join(first, "fp").join(first.select(F.col("fp").alias("other"), F.col("first").alias("second")), "other")
+    return own.union(ends.select(F.least("first", "second"), F.greatest("first", "second")))
+
+
 def links(sets: DataFrame, shingle: int, similar: tuple[int, int]) -> DataFrame:
     """``id`` and ``root``, the least id that links reach from it, for all entries with a link; see the module's text."""
     p, q = similar
@@ -145,7 +165,8 @@ def links(sets: DataFrame, shingle: int, similar: tuple[int, int]) -> DataFrame:
     posted = materialise(posted.select("shingle", "id", "n", "i"), "postings")
     hubs = posted.join(sets.select("id", "central"), "id").groupBy("shingle").agg(F.max(F.struct("central", "id", "n", "i")).alias("hub")).select("shingle", "hub.id", "hub.n", "hub.i").toDF("shingle", "hub", "m", "j")
     near = posted.join(hubs, "shingle").where("id <> hub").where(_may_share(F.col("n"), F.col("i"), F.col("m"), F.col("j"), similar))
-    pairs = materialise(near.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct(), "pairs")
+    near = near.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v"))
+    pairs = materialise(fingerprint_pairs(sets).union(near).distinct(), "pairs")
     without = sets.where("n = 0").select("id")  # texts without words are alike
     least = without.agg(F.min("id")).first()[0]
     found = _linked(pairs, sets, shingle, similar).union(without.select(F.col("id").alias("u"), F.lit(least).cast("long").alias("v")))
@@ -174,3 +195,19 @@ def resembling(docs: DataFrame, *keep: str, text: str = "text", shingle: int = S
         named = kept(sets.select("t", F.col("id").alias("key")).join(roots.withColumnRenamed("id", "key"), "key", "left"), "roots")
     rows = docs.select(*stashed(keep), F.md5(own).alias("_t")).join(named.withColumnRenamed("t", "_t"), "_t")
     return restored(rows.withColumn("root", F.coalesce("root", "key")), keep, "key", "root")
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that of the least doc_id (null last).
+
+    Fingerprints propose pairs and the index of prefixes all that these miss; the similarity of word shingles links.
+    Ties of doc_id go by the text's hash, then source and language; equal rows leave one.
+    """
+    k1, k2 = free_names(docs.columns, "_k1", "_k2")
+    sep = [F.xxhash64("doc_id", F.isnull("doc_id")).alias(k1), F.xxhash64("text", "source", "lang", F.isnull("text")).alias(k2)]
+    keyed = docs.select("*", *sep)
+    found = resembling(keyed, "doc_id", k1, k2, shingle=shingle, similar=similar)
+    root = found.columns[-1]
+    best = found.groupBy(root).agg(F.min(F.struct(F.isnull("doc_id").alias("late"), "doc_id", k2, k1)).alias("best")).select(f"best.{k1}", f"best.{k2}")
+    left = keyed.join(best.distinct(), [k1, k2], "left_semi").dropDuplicates([k1, k2])
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -21,8 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornfels.llm import resemblance
-from hornfels.llm.common import free_names, read_table, restored, stashed
+from hornfels.llm.common import read_table, restored, stashed
 from hornfels.operators.components import components
 from hornfels.storage import materialise
 
@@ -31,6 +30,14 @@ SHINGLE, HASH_SEED, MAX_BITS = 3, 42, 2
 BYTES = 8
 
 
+def folded(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of big-endian hashes (rows of eight bytes): a bit is set if over half of them have it."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+
+
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     """Signed 64-bit SimHash: a bit is set if over half of the shingles' hashes have it; 0 without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space
@@ -42,11 +49,7 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     starts = np.concatenate(([0], ends[: len(words) - k] + 1)).tolist()
     digest = xxhash.xxh64_digest
     hashes = np.frombuffer(b"".join([digest(joined[a:b], HASH_SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)]), np.uint8)
-    ones = np.zeros(64, np.int64)
-    rows = hashes.reshape(-1, 8)
-    for at in range(0, len(rows), 1 << 16):
-        ones += np.unpackbits(rows[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(rows)).tobytes(), "big", signed=True)
+    return folded(hashes.reshape(-1, 8))
 
 
 def fingerprints(docs: DataFrame, *keep: str, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -96,22 +99,6 @@ def near_duplicates(docs: DataFrame, *keep: str, text: str = "text", shingle: in
     return restored(rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), keep, "fp", "root")
 
 
-def representatives(docs: DataFrame, shingle: int = resemblance.SHINGLE, similar: tuple[int, int] = resemblance.SIMILAR) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: that of the least doc_id (null last).
-
-    Groups are linked by the similarity of their word shingles, not by fingerprints, whose bits tell little of it.
-    Ties of doc_id go by the text's hash, then source and language; equal rows leave one.
-    """
-    k1, k2 = free_names(docs.columns, "_k1", "_k2")
-    sep = [F.xxhash64("doc_id", F.isnull("doc_id")).alias(k1), F.xxhash64("text", "source", "lang", F.isnull("text")).alias(k2)]
-    keyed = docs.select("*", *sep)
-    found = resemblance.resembling(keyed, "doc_id", k1, k2, shingle=shingle, similar=similar)
-    root = found.columns[-1]
-    best = found.groupBy(root).agg(F.min(F.struct(F.isnull("doc_id").alias("late"), "doc_id", k2, k1)).alias("best")).select(f"best.{k1}", f"best.{k2}")
-    left = keyed.join(best.distinct(), [k1, k2], "left_semi").dropDuplicates([k1, k2])
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     found = materialise(found, "simhash")

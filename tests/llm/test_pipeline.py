@@ -79,6 +79,30 @@ def test_groups_with_common_passages(spark, monkeypatch):
                 assert (found[a] == found[b]) == (groups[i] == groups[j])
 
 
+def test_fingerprints_propose_pairs_of_the_stage(spark):
+    """Each text meets the first of its fingerprint, each fingerprint one within two bits of it, and nothing else is proposed."""
+    docs = spark.createDataFrame([(str(k), t) for k, t in enumerate([*near_copies()[:16], "", "a b c d e f", "a b c d e f e f"])], "t string, text string")
+    sets = resemblance.entries(docs, 5, resemblance.SIMILAR)
+    rows = {r.id: r for r in sets.collect() if r.n}
+    for r in rows.values():
+        bits = [sum(int(h) >> b & 1 for h in resemblance.shingles(r.text)) for b in range(64)]
+        assert r.fp & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * bits[b] > r.n)
+    differ = lambda a, b: bin((rows[a].fp ^ rows[b].fp) & (2**64 - 1)).count("1")
+    pairs = [(r.u, r.v) for r in resemblance.fingerprint_pairs(sets).collect()]
+    assert pairs and all(u < v and differ(u, v) <= 2 for u, v in pairs)
+    met = {x for p in pairs for x in p}
+    assert all((a in met) == any(differ(a, b) <= 2 for b in rows if b != a) for a in rows)
+
+
+def test_prefixes_in_few_bits_lose_no_pair(spark):
+    """Hashes that fall together in 16 bits count as shared."""
+    text = " ".join(f"w{k}" for k in range(20_000))
+    sets = resemblance.entries(spark.createDataFrame([("a", text), ("b", text + " end"), ("c", text[: len(text) // 2])], "t string, text string"), 5, resemblance.SIMILAR)
+    ids = {r.t: r.id for r in sets.select("t", "id").collect()}
+    both = spark.createDataFrame([(ids["a"], ids["b"]), (ids["a"], ids["c"])], "u long, v long")
+    assert [tuple(r) for r in resemblance._linked(both, sets, 5, resemblance.SIMILAR).collect()] == [(ids["a"], ids["b"])]
+
+
 ODD = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, None, None, "b", None), (2, None, None, "b", None), (3, "same words here", "en", None, 15), (3, "same words here", "en", None, 15), (4, " \n", "en", "a", 2)]
 KEY = 'token = "9885103314b39ed955fd8ac9efa74c6fd87b66ee"'
 
