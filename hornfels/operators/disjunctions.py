@@ -9,11 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hornfels.storage import keep, materialise, scratch
+
+#: Terms of a formula that are compared within its row, and rows that a task gets.
+FEW, ROWS = 64, 250_000
+
 
 def terms(literals: DataFrame) -> DataFrame:
     """Terms of a table with formula, term, var and val, a row a literal; var null for a term without literals."""
     lit = F.when(F.col("var").isNotNull(), F.struct("var", "val"))
-    return absorbed(_consistent(literals.groupBy("formula", "term").agg(F.collect_set(lit).alias("lits")).select("formula", F.sort_array("lits").alias("lits"))))
+    return conjunctions(literals.groupBy("formula", "term").agg(F.collect_set(lit).alias("lits")))
+
+
+def conjunctions(rows: DataFrame) -> DataFrame:
+    """Terms of a table with ``formula`` and ``lits`` in any order, a row a term."""
+    return absorbed(_consistent(rows.select("formula", F.array_sort(F.array_distinct("lits")).alias("lits"))))
 
 
 def _consistent(rows: DataFrame) -> DataFrame:
@@ -23,10 +33,24 @@ def _consistent(rows: DataFrame) -> DataFrame:
 def absorbed(rows: DataFrame) -> DataFrame:
     """Terms that no shorter term of their formula implies.
 
-    A term looks for longer ones by that of its literals which the fewest terms of the formula have, so that a
-    literal that all terms share pairs nothing.
+    Terms of a formula with FEW at most are one row, within which they are compared. A term of a larger one looks for longer
+    ones by that of its literals which the fewest terms of the formula have, so that a literal that all terms share pairs
+    nothing. Formulas are dealt to as many tasks as rows ask for, so that a task's memory does not follow the table.
     """
-    rows = rows.select("formula", "lits").distinct()
+    with scratch(rows.sparkSession):
+        rows = materialise(rows.select("formula", "lits"), "lits")
+        parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // ROWS + 1)
+        dealt = rows.repartition(parts, "formula").distinct()
+        size = F.count("*").over(Window.partitionBy("formula"))
+        dealt = materialise(dealt.withColumn("size", size), "terms")
+        small = dealt.where(F.col("size") <= FEW).groupBy("formula").agg(F.collect_list("lits").alias("all"))
+        shorter = lambda t, s: (F.size(s) < F.size(t)) & (F.size(F.array_except(s, t)) == 0)
+        least = F.filter("all", lambda t: ~F.exists("all", lambda s: shorter(t, s)))
+        return keep(small.select("formula", F.explode(least).alias("lits")).unionByName(_absorbed(dealt.where(F.col("size") > FEW))), "terms")
+
+
+def _absorbed(rows: DataFrame) -> DataFrame:
+    rows = rows.select("formula", "lits")
     true = rows.where(F.size("lits") == 0)
     some = rows.join(true.select("formula"), "formula", "left_anti")
     each = some.select("formula", "lits", F.explode("lits").alias("lit"))

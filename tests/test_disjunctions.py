@@ -47,3 +47,19 @@ def test_cutting_says_so_and_keeps_what_it_must(spark):
     assert found(D.pruned(rows, 2, given)) == {1: {(("a", "1"),), (("c", "1"), ("d", "1"))}, 3: {()}}
     assert found(D.pruned(rows, 1, given))[1] == {(("c", "1"), ("d", "1"))}
     assert D.absorbed(rows.limit(0)).count() == 0
+
+
+def test_formulas_of_any_size_lose_the_same_terms(spark, monkeypatch):
+    """Within a row or by the index of literals, in one task or many; literals may come unsorted and twice."""
+    rng = random.Random(3)
+    made = [(f, [(v, rng.choice(VALS)) for v in rng.choices("abcdef", k=rng.randint(1, 4))]) for f in range(12) for _ in range(1 + 3 * f)] + [(1, [])]
+    rows = spark.createDataFrame(made, "formula int, lits array<struct<var: string, val: string>>")
+    want = {}
+    for f, t in made:
+        if len({v for v, _ in t}) == len(set(t)):
+            want.setdefault(f, set()).add(tuple(sorted(set(t))))
+    want = {f: {t for t in ts if not any(set(s) < set(t) for s in ts)} for f, ts in want.items()}
+    for few, most in ((0, 10**6), (5, 7), (10**6, 1)):
+        monkeypatch.setattr(D, "FEW", few)
+        monkeypatch.setattr(D, "ROWS", most)
+        assert found(D.conjunctions(rows)) == want
