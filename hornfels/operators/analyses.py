@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hornfels.operators.fixpoint import fixpoint
+from hornfels.operators.fixpoint import fixpoint, together, union_all
 from hornfels.operators.graph import closure_by_doubling, reach
 from hornfels.storage import materialise
 
@@ -13,33 +13,41 @@ from hornfels.storage import materialise
 def points_to(new: DataFrame, assign: DataFrame, load: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(vh, hfh): what variables and fields can point to, whatever the order of statements.
 
-    new(v, h), assign(v, w) for v = w, load(v, w, f) for v = w.f, store(v, f, w) for v.f = w. Both relations
-    grow in one fixpoint: rows (a, f, h) are a variable's if f is null, else a field f of object a.
+    new(v, h), assign(v, w) for v = w, load(v, w, f) for v = w.f, store(v, f, w) for v.f = w, all strings. Both relations
+    grow in one fixpoint; variables that no statement reads take no part in the rounds after theirs.
     """
-    base = new.select(F.col("v").alias("a"), F.lit(None).cast("string").alias("f"), "h")
-    base = base.select("a", F.coalesce("f", F.lit("")).alias("f"), "h")  # "" marks a variable
-
-    def var(rows: DataFrame, v: str, h: str) -> DataFrame:
-        return rows.where("f = ''").select(F.col("a").alias(v), F.col("h").alias(h))
-
-    def field(rows: DataFrame) -> DataFrame:
-        return rows.where("f <> ''").select(F.col("a").alias("b"), "f", "h")
-
-    def step(new_: DataFrame, known: DataFrame) -> DataFrame:
-        copied = var(new_, "w", "h").join(assign, "w").select(F.col("v").alias("a"), F.lit("").alias("f"), "h")
-        parts = [copied]
-        for x, y in ((new_, known), (known, new_)):
-            written = var(x, "v", "b").join(store, "v").join(var(y, "w", "h"), "w")
-            parts.append(written.select(F.col("b").alias("a"), "f", "h"))
-            read = var(x, "w", "b").join(load, "w").join(field(y), ["b", "f"])
-            parts.append(read.select(F.col("v").alias("a"), F.lit("").alias("f"), "h"))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-
-    all_ = fixpoint(base, step)
-    return var(all_, "v", "h"), field(all_).toDF("b", "f", "h")
+    base = new.select("v", "h")
+    # objects of loads' and stores' variables are relations of their own, so that facts meet a variable's new objects once each
+    text = lambda *names: base.sparkSession.createDataFrame([], ", ".join(f"{n} string" for n in names))
+    bases = {"vh": base, "hfh": text("b", "f", "h"), "written": text("b", "f", "w"), "read": text("v", "b", "f")}
+    uses = [(assign.select("w"), 1), (store.select("v"), 2), (store.select("w"), 4), (load.select("w"), 8)]
+    used = union_all([u.toDF("v").withColumn("use", F.lit(bit)) for u, bit in uses]).groupBy("v").agg(F.bit_or("use").alias("use"))
+    used = materialise(used, "used")
+
+    def step(new_: dict[str, DataFrame], known: dict[str, DataFrame]) -> dict[str, list[DataFrame]]:
+        out: dict[str, list[DataFrame]] = {"vh": [], "hfh": [], "written": [], "read": []}
+        if not new_["vh"].isEmpty():
+            fresh = materialise(new_["vh"].join(used, "v").select("v", "h", "use"), "fresh")
+            copied, stored, value, loaded = (fresh.where(F.col("use").bitwiseAND(F.lit(bit)) != 0).select("v", "h") for _, bit in uses)
+            if not copied.isEmpty():
+                out["vh"].append(copied.toDF("w", "h").join(assign, "w").select("v", "h"))
+            if not stored.isEmpty():
+                out["written"].append(stored.toDF("v", "b").join(store, "v").select("b", "f", "w"))
+            if not value.isEmpty():
+                out["hfh"].append(known["written"].join(value.toDF("w", "h"), "w").select("b", "f", "h"))
+            if not loaded.isEmpty():
+                # rows of a variable stay together, so that its objects are put together before they are sent
+                out["read"].append(loaded.toDF("w", "b").join(load, "w").select("v", "b", "f").repartition("v"))
+        if not new_["written"].isEmpty():
+            out["hfh"].append(new_["written"].join(known["vh"].toDF("w", "h"), "w").select("b", "f", "h"))
+        if not new_["read"].isEmpty():
+            out["vh"].append(new_["read"].join(known["hfh"], ["b", "f"]).select("v", "h"))
+        if not new_["hfh"].isEmpty():
+            out["vh"].append(known["read"].join(new_["hfh"], ["b", "f"]).select("v", "h"))
+        return {k: parts for k, parts in out.items() if parts}
+
+    all_ = together(bases, step)
+    return all_["vh"], all_["hfh"]
 
 
 def aliases(vh: DataFrame) -> DataFrame:

@@ -26,8 +26,8 @@ def _program(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
     new = new.union(table(spark, sf, "supplier").select(_named("s", "s_suppkey"), _named("n", "s_nationkey")))
     assign = table(spark, sf, "orders").select(_named("o", "o_orderkey").alias("v"), _named("c", "o_custkey").alias("w"))
     line = table(spark, sf, "lineitem")
-    load = line.select(_named("p", "l_partkey").alias("v"), _named("o", "l_orderkey").alias("w"), F.lit("ship").alias("f")).distinct()
-    store = line.select(_named("o", "l_orderkey").alias("v"), F.lit("ship").alias("f"), _named("s", "l_suppkey").alias("w")).distinct()
+    load = line.select(_named("p", "l_partkey").alias("v"), _named("o", "l_orderkey").alias("w"), F.lit("ship").alias("f"))
+    store = line.select(_named("o", "l_orderkey").alias("v"), F.lit("ship").alias("f"), _named("s", "l_suppkey").alias("w"))
     return new, assign, load, store
 
 

@@ -109,3 +109,16 @@ def test_groups_stand_for_pairs_of_threads(spark):
     access = rows([("e1", 1, "h", True), ("e2", 2, "h", False), ("e3", 2, "h", True), ("e4", 3, "h", True)], "e string, t int, h string, write boolean")
     locks = rows([("e1", "l"), ("e3", "l")], "e string, l string")
     assert {tuple(r) for r in A.races(access, locks, None, groups).collect()} == {("e1", "e2")}
+
+
+def test_variables_that_nothing_reads_meet_no_statement(spark, monkeypatch):
+    """The last round's objects, of a variable that no statement reads, are looked up among the uses and joined with no fact."""
+    seen = []
+    real = A.materialise
+    monkeypatch.setattr(A, "materialise", lambda df, label, *by: seen.append((label, out := real(df, label, *by))) or out)
+    facts = lambda rows, cols: spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols))
+    vh, hfh = A.points_to(facts([("a", "x"), ("b", "y")], "vh"), facts([("c", "a")], "vw"), facts([("d", "c", "f"), ("d", "c", "f")], "vwf"), facts([("c", "f", "b"), ("c", "f", "b")], "vfw"))
+    assert {tuple(r) for r in vh.collect()} == {("a", "x"), ("b", "y"), ("c", "x"), ("d", "y")} and vh.count() == 4
+    assert [tuple(r) for r in hfh.collect()] == [("x", "f", "y")]
+    used = next(df for label, df in seen if label == "used")
+    assert {tuple(r) for r in used.collect()} == {("a", 1), ("b", 4), ("c", 10)}
