@@ -124,12 +124,15 @@ def scc(edges: DataFrame, rounds: int = 1000) -> DataFrame:
 
     No closure is built. Nodes at the ends are trimmed; every other node takes the least node that reaches it as
     its colour, and what reaches a colour's own node inside the colour is one component. Components leave, and
-    what is left goes on. The tables have a row a node or an edge; rounds follow the longest paths.
+    what is left goes on, without edges between colours, as none of them is in a component. The tables have a row a node
+    or an edge, and numbers in place of names; rounds follow the longest paths.
     """
-    all_ = materialise(nodes_of(edges), "nodes")
+    all_ = materialise(nodes_of(edges).select("node", F.monotonically_increasing_id().alias("id")), "nodes")
+    number = lambda c, n: all_.select(F.col("node").alias(c), F.col("id").alias(n))
     found: list[DataFrame] = []
     with scratch(edges.sparkSession):
-        left = materialise(edges.where("u <> v").select("u", "v").distinct(), "edges")
+        left = edges.where("u <> v").select("u", "v").distinct().join(number("u", "iu"), "u").join(number("v", "iv"), "v")
+        left = materialise(left.select(F.col("iu").alias("u"), F.col("iv").alias("v")), "edges")
         for _ in range(rounds):
             left = _without_ends(left, rounds)
             if left.isEmpty():
@@ -143,18 +146,20 @@ def scc(edges: DataFrame, rounds: int = 1000) -> DataFrame:
             whole = keep(whole.select("node", F.col("colour").alias("scc")), "scc")
             found.append(whole)
             gone = whole.select("node")
-            left = left.join(gone.withColumnRenamed("node", "u"), "u", "left_anti").join(gone.withColumnRenamed("node", "v"), "v", "left_anti")
+            left = back.select(F.col("w").alias("u"), F.col("node").alias("v")).join(gone.withColumnRenamed("node", "u"), "u", "left_anti").join(gone.withColumnRenamed("node", "v"), "v", "left_anti")
             left = materialise(left.select("u", "v"), "edges")
         else:
             raise RuntimeError(f"components are not settled in {rounds} rounds")
     if not found:
         return all_.select("node", F.col("node").alias("scc"))
-    return all_.join(union_all(found), "node", "left").select("node", F.coalesce("scc", "node").alias("scc"))
+    named = union_all(found).toDF("id", "c").join(all_, "id")
+    named = named.join(named.groupBy("c").agg(F.min("node").alias("scc")), "c").select("node", "scc")
+    return all_.select("node").join(named, "node", "left").select("node", F.coalesce("scc", "node").alias("scc"))
 
 
 def cycle_edges(edges: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """Edges on some cycle: loops, and edges inside a strongly connected component."""
-    classes = scc(edges) if classes is None else classes
+    classes = materialise(scc(edges), "scc") if classes is None else classes
     ends = edges.select("u", "v").distinct().join(classes.toDF("u", "cu"), "u").join(classes.toDF("v", "cv"), "v")
     return ends.where("cu = cv").select("u", "v")
 

@@ -269,3 +269,15 @@ def test_bridges_of_a_wide_hub(spark):
     flow = [(0, k) for k in range(1, 30)] + [(k, 100) for k in range(50, 80)] + [(1, 200), (300, 50)]
     out = feedback.bridges(frame(spark, flow, "u long, v long"), frame(spark, [(0, 200), (300, 100)], "u long, v long"))
     assert pairs(out) == {(0, 200), (0, 1), (1, 200), (300, 100), (300, 50), (50, 100)}
+
+
+def test_components_leave_without_edges_between_colours(spark, monkeypatch):
+    """Rounds see numbered nodes, and later ones no edge between colours; names are those of the least nodes."""
+    seen = []
+    real = graph._without_ends
+    monkeypatch.setattr(graph, "_without_ends", lambda edges, rounds: seen.append(edges) or real(edges, rounds))
+    rings = [(f"{r}{k}", f"{r}{(k + 1) % 3}") for r in "dcba" for k in range(3)]
+    edges = rings + [(f"{x}0", f"{y}1") for x, y in ("dc", "cb", "ba", "da")] + [("z", "d0"), ("a2", "y"), ("q", "q")]
+    got = {r.node: r.scc for r in graph.scc(spark.createDataFrame(edges, "u string, v string")).collect()}
+    assert got == {f"{r}{k}": f"{r}0" for r in "abcd" for k in range(3)} | {x: x for x in "zyq"}
+    assert all(e.schema["u"].dataType.typeName() == "long" for e in seen)
