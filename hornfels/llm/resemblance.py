@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hornfels.llm import simhash
-from hornfels.llm.common import free_names, restored, stashed
+from hornfels.llm.common import free_names, restored, small_batches, stashed
 from hornfels.operators.components import components
 from hornfels.storage import keep as kept
 from hornfels.storage import materialise, scratch
@@ -39,6 +39,8 @@ SHINGLE, HASH_SEED, SIMILAR = 5, 42, (4, 5)
 #: Texts in the sample that orders the shingles (one in so many where that is more, or pairs would grow with the square of the texts), in how
 #: many of them a common one is, and common ones that are held, most common first: the order is free.
 SAMPLE, ONE_IN, COMMON, HELD = 5000, 10, 5, 200_000
+#: Rows an Arrow batch: one of pairs holds two whole texts a row, in the worker and outside the JVM's heap.
+BATCH = 256
 
 
 def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
@@ -189,7 +191,7 @@ def resembling(docs: DataFrame, *keep: str, text: str = "text", shingle: int = S
     lost nor added. A new column has underscores behind its name where ``keep`` has it.
     """
     own = F.coalesce(F.col(text), F.lit(""))
-    with scratch(docs.sparkSession):
+    with scratch(docs.sparkSession), small_batches(docs.sparkSession, BATCH):
         sets = entries(docs.select(F.md5(own).alias("t"), own.alias("text")), shingle, similar)
         roots = links(sets, shingle, similar)
         named = kept(sets.select("t", F.col("id").alias("key")).join(roots.withColumnRenamed("id", "key"), "key", "left"), "roots")

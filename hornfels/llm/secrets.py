@@ -300,7 +300,7 @@ def redact(docs: DataFrame, forest: list[np.ndarray], vocabulary: str, text: str
             at = c.end
         return "".join([*out, t[at:]]) if out else t
 
-    of = F.pandas_udf(lambda s, p: pd.Series([clean(a, b) for a, b in zip(s, p, strict=True)]), "string")
+    of = F.udf(clean, "string", useArrow=False)  # rows and not Arrow: a batch of whole texts would be held several times over
     return docs.withColumn(text, of(F.col(text), F.col(path).cast("string") if path else F.lit("")))
 
 

@@ -190,10 +190,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     """
     weights = np.array(model.weights)
 
-    def of(values: pd.Series) -> pd.Series:
-        return pd.Series([float(sigmoid(np.dot(features(t or "", model), weights))) for t in values], dtype="float64")
+    def of(t: str | None) -> float:
+        return float(sigmoid(np.dot(features(t or "", model), weights)))
 
-    return docs.withColumn(*free_names(docs.columns, name), F.pandas_udf(of, "double")(F.col(text)))
+    # rows and not Arrow: a batch of whole texts would be held several times over, in the worker and outside the JVM's heap
+    return docs.withColumn(*free_names(docs.columns, name), F.udf(of, "double", useArrow=False)(F.col(text)))
 
 
 def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

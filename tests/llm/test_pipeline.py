@@ -193,3 +193,18 @@ def test_the_run_is_the_stages_in_order(spark, folder):
         for r in sorted((r for r in out if r.sequence_id == s), key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
+
+
+def test_whole_texts_travel_in_small_batches(spark, folder, monkeypatch):
+    """No stage holds thousands of whole texts in one Arrow batch; the session's own setting stays."""
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for df in (toxicity.score(docs, toxicity.Model(b"", b"", (0.0,) * len(toxicity.features("", toxicity.Model(b"", b""))))), secrets.redact(docs, [], path("word_bpe_49k.json"))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    before = spark.conf.get(key)
+    for name in ("entries", "_linked"):
+        real = getattr(resemblance, name)
+        monkeypatch.setattr(resemblance, name, lambda *a, real=real: (seen.append(int(spark.conf.get(key))), real(*a))[1])
+    corpus_pipeline.drop_near_duplicates(spark, docs, folder)
+    assert seen and max(seen) <= 256 and spark.conf.get(key) == before
