@@ -74,7 +74,8 @@ def similar_pairs(values: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     posts = F.explode(F.array(*[F.struct(F.lit(i).alias("set"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for i, m in enumerate(signed)]))
     index = values.select("fp", posts.alias("p")).select("fp", "p.set", "p.bytes")
-    a, b = index.alias("a"), index.alias("b")
+    # Spark sizes the postings as if explode added no rows, and would broadcast an index many times its threshold
+    a, b = index.alias("a"), index.hint("merge").alias("b")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     differ = reduce(add, [(_byte(x, i) != 0).cast("int") * (1 << i) for i in range(BYTES)])  # a bit a byte
     tally = BYTES - F.bit_count(differ)
@@ -96,11 +97,11 @@ def near_duplicates(docs: DataFrame, *keep: str, text: str = "text", shingle: in
     values = rows.select("fp").distinct()
     links = similar_pairs(values, max_bits)
     roots = materialise(components(links).withColumnRenamed("node", "fp"), "roots")
-    return restored(rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), keep, "fp", "root")
+    return restored(rows.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), keep, "fp", "root")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     found = materialise(found, "simhash")
-    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return found.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))  # a row a group, nearly as many as documents: never to the driver
+    return found.join(least.hint("merge"), "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

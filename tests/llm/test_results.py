@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 from public_tokenizers import path
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from hornfels.llm import jpeg, media, mixing, packing, queries, sharding, simhash, token_counts, toxicity
@@ -295,6 +296,13 @@ def test_links_of_dense_and_chained_fingerprints(spark):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_postings_are_not_broadcast(spark):
+    """The explode makes 28 rows of one, which Spark's sizes do not know: under the default threshold all would go to the driver."""
+    values = spark.range(50000).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.similar_pairs(values)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(100, 300)] + [(7, k) for k in range(8, 60)] + [(5, 5), (7, 8)]
     out = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
