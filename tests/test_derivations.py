@@ -6,7 +6,9 @@ import random
 from pyspark.sql import functions as F
 
 from hornfels.operators import clauses as C
+from hornfels.operators import provenance as P
 from hornfels.operators import relational as R
+from hornfels.plans import derivations as D
 
 
 def test_derivations_and_needs_of_a_cyclic_program(spark):
@@ -183,3 +185,23 @@ def test_generations_without_cycles_make_no_pairs_in_rounds(spark, monkeypatch):
         got = [tuple(r) for r in G.same_generation(spark.createDataFrame(edges, ["u", "v"])).collect()]
         assert sorted(got) == sorted(want)
     assert rounds == [["node", "top", "k"], ["u", "v"]]
+
+
+def test_last_duplicates_writes_no_clauses(spark, monkeypatch):
+    """Instances are compared by their variables where the join left them: nothing is written, and no text is sent or sorted."""
+    monkeypatch.setattr(D, "materialise", None)
+    out = D.last_duplicates(spark, "/root/testdata/sf0.001")
+    sent = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x or " Sort " in x]
+    assert sent and not any(x in line for line in sent for x in ("head", "clause_id", "lit"))
+    assert out.where("rule <> 'R9'").isEmpty()
+
+
+def test_last_names_are_those_of_the_written_clauses(spark):
+    frame = lambda *rows: spark.createDataFrame(rows, "x long, y long")
+    rules = {"R2": frame((1, 2), (3, 4), (3, 4)), "R10": frame((1, 2), (5, 6)), "R1": frame((3, 4), (None, 7))}
+    last = P.last_names(rules)
+    assert {tuple(r) for r in last.collect()} == {(1, 2, "R2"), (3, 4, "R2"), (5, 6, "R10"), (None, 7, "R1")} and last.count() == 4
+    head, body = P.written("h", "x"), [P.written("a", "x", "y"), P.written("b", "y")]
+    whole = [P.instrument(rows.where("x is not null"), name, head, body) for name, rows in rules.items()]
+    kept = P.without_last_duplicates(whole[0].union(whole[1]).union(whole[2]))
+    assert {(r.head, r.rule) for r in kept.collect()} == {("h(1)", "R2"), ("h(3)", "R2"), ("h(5)", "R10")}
