@@ -205,3 +205,32 @@ def test_last_names_are_those_of_the_written_clauses(spark):
     whole = [P.instrument(rows.where("x is not null"), name, head, body) for name, rows in rules.items()]
     kept = P.without_last_duplicates(whole[0].union(whole[1]).union(whole[2]))
     assert {(r.head, r.rule) for r in kept.collect()} == {("h(1)", "R2"), ("h(3)", "R2"), ("h(5)", "R10")}
+
+
+def test_false_tuples_are_pushed_through_mixed_heads(spark):
+    """Against a loop: heads have clauses over inputs, over derived tuples and both; a row a literal or a clause gives the same."""
+    rng = random.Random(8)
+    program = {f"a{k}": ("A", f"p({rng.randrange(14)})", {f"i({rng.randrange(9)})" for _ in range(2)}) for k in range(40)}
+    program |= {f"b{k}": ("B", f"q({rng.randrange(8)})", {f"p({rng.randrange(14)})", f"i({rng.randrange(9)})"}) for k in range(14)}
+    program |= {f"c{k}": ("C", f"q({rng.randrange(8)})", {f"q({rng.randrange(8)})"}) for k in range(4)}
+    program |= {f"d{k}": ("D", f"q({rng.randrange(8)})", {f"i({rng.randrange(9)})"}) for k in range(5)} | {"e": ("E", "q(0)", set())}
+    said = {f"i({k})": k % 2 == 1 for k in range(9)} | {"p(3)": False, "p(4)": True}
+    false = {t for t, v in said.items() if not v}
+    while new := {h for _, h, _ in program.values() if all(b & false for _, g, b in program.values() if g == h)} - false:
+        false |= new
+    long = spark.createDataFrame([(c, r, h, t) for c, (r, h, b) in program.items() for t in sorted(b) or [None]], "clause_id string, rule string, head string, lit string")
+    feedback = spark.createDataFrame(sorted(said.items()), "tuple string, value boolean")
+    wide = spark.createDataFrame([(c, r, h, sorted(b)) for c, (r, h, b) in program.items()], "clause_id string, rule string, head string, lits array<string>")
+    for clauses in (wide, long):
+        got = [r.tuple for r in C.push_false(clauses, feedback).collect()]
+        assert sorted(got) == sorted(false) and any(t.startswith("q") for t in false)
+
+
+def test_standing_heads_over_inputs_are_not_written(spark, monkeypatch):
+    rows = []
+    real = C.materialise
+    monkeypatch.setattr(C, "materialise", lambda df, label: rows.append((label, out.count())) or out if (out := real(df, label)) is not None else None)
+    wide = spark.createDataFrame([(f"k{i}", "R", f"h({i % 50})", [f"x({i})", "y(0)"]) for i in range(200)], "clause_id string, rule string, head string, lits array<string>")
+    said = spark.createDataFrame([(f"x({i})", False) for i in range(0, 200, 50)], "tuple string, value boolean")
+    assert "h(0)" in {r.tuple for r in C.push_false(wide, said).collect()}
+    assert dict(rows)["count"] == 1 and max(n for _, n in rows) <= 1
