@@ -86,7 +86,8 @@ OWN = "'h' || n || ':' || s"
 
 
 def _results(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    return C.points_to(_kept(spark, sf), k)["points"].where("v rlike '^[rq][0-9]+$'").select("v", "h").distinct()
+    found = C.points_to(_kept(spark, sf), k)["points"].where("v rlike '^[rq][0-9]+$'").select("v", "h")
+    return found.distinct() if k else found  # without contexts no row is there twice
 
 
 @query(f"WITH {OBJECTS} SELECT 'r' || c.c AS v, 'h' || o.n || ':' || o.s AS h FROM c JOIN o ON o.s = c.s UNION ALL SELECT 'q' || c.c, 'h' || o.n || ':' || o.s FROM c, o")

@@ -63,6 +63,27 @@ def test_points_to_by_call_strings(spark, k):
     assert targets == ({"A.go"} if k == 2 else {"A.go", "B.go"})  # two sites deep the wrapped identity keeps a and b apart
 
 
+def test_variables_that_nothing_reads_stay_out_of_the_rounds(spark, monkeypatch):
+    """They have one source or several, objects of their own, loads, and parameters, each alone and together; none is in the rounds."""
+    more = {
+        "variable": [*EXAMPLE["variable"], *[(v, "main") for v in ("s1", "s2", "s3", "s4", "s5")], ("q2", "wrap")],
+        "assign": [("s1", "a"), ("s2", "a"), ("s2", "b"), ("s3", "x"), ("s5", "s0")],
+        "new": [*EXAMPLE["new"], ("s3", "hS"), ("s4", "hS")],
+        "load": [*EXAMPLE["load"], ("s2", "x", "g")],
+        "result": [*EXAMPLE["result"], ("i1", "s2")],
+        "parameter": [*EXAMPLE["parameter"], ("wrap", 0, "q2")],
+    }
+    seen = []
+    real = calls.together
+    monkeypatch.setattr(calls, "together", lambda *a: seen.append(out := real(*a)) or out)
+    got = calls.points_to(program(spark, **EXAMPLE | more), 1)
+    want = plain(EXAMPLE | more, 1, 0)["points"]
+    rows = [tuple(tuple(x) if isinstance(x, list) else x for x in r) for r in got["points"].collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    unread = {"s1", "s2", "s3", "s4", "s5", "y", "z", "q2", "that"}
+    assert {v for _, v, _, _ in want} & unread == unread - {"s5"} and not {r.v for r in seen[0]["points"].collect()} & unread
+
+
 def test_no_calls_and_no_contexts_is_the_plain_analysis(spark):
     rng = random.Random(6)
     v = [f"v{k}" for k in range(8)]
