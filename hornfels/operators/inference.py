@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hornfels.operators.clauses import parted
+from hornfels.operators.clauses import parted, relation_of
 from hornfels.operators.fixpoint import union_all
 from hornfels.storage import materialise
 
@@ -27,7 +27,13 @@ def and_or(clauses: DataFrame, dob: DataFrame, p: Column, evidence: DataFrame |
         parts = [materialise(known, "marginal")]
     given = len(parts)
     linked, plain, _ = parted(clauses, born)
-    body = linked.join(born.select(F.col("tuple").alias("head"), "dob"), "head").select("clause_id", "rule", "head", F.col("lit").alias("tuple"), "dob")
+    made = materialise(linked.select(relation_of("head").alias("name")).distinct(), "relations")
+    when = born.join(made, relation_of("tuple") == F.col("name"), "left_semi").select(F.col("tuple").alias("head"), "dob")
+    body = linked.join(materialise(when, "when"), "head").select("clause_id", "rule", "head", F.col("lit").alias("tuple"), "dob")
+    # a head that is born later, as labels on its antecedents make it, has all its clauses in that round
+    late = born.where("dob > 1").select(F.col("tuple").alias("head"), "dob")
+    body = body.union(plain.join(late, "head").select("clause_id", "rule", "head", F.col("lit").alias("tuple"), "dob"))
+    plain = plain.join(late, "head", "left_anti")
     body = materialise(body, "body", "dob")  # a folder a birth date, so that a round reads its own
     for k in levels:
         rows = body.where(F.col("dob") == k).drop("dob")

@@ -234,3 +234,20 @@ def test_standing_heads_over_inputs_are_not_written(spark, monkeypatch):
     said = spark.createDataFrame([(f"x({i})", False) for i in range(0, 200, 50)], "tuple string, value boolean")
     assert "h(0)" in {r.tuple for r in C.push_false(wide, said).collect()}
     assert dict(rows)["count"] == 1 and max(n for _, n in rows) <= 1
+
+
+def test_rounds_see_no_clauses_over_heads_of_the_first(spark, monkeypatch):
+    """Clauses over heads born in round 1 bear theirs in round 2 without being numbered, but for those of inputs, unborn heads or no body."""
+    program = {f"a{k}": ("A", f"p({k})", [f"i({k})"]) for k in range(6)} | {f"b{k}": ("B", f"q({k % 4})", [f"p({k})", "j(0)"]) for k in range(9)}
+    program |= {"b9": ("B", "q(7)", []), "b10": ("B", "q(8)", ["j(1)"]), "c": ("C", "r(0)", ["q(2)"]), "d": ("C", "q(5)", ["r(0)"]), "e": ("C", "q(6)", ["q(9)"])}
+    table = spark.createDataFrame([(c, r, h, t) for c, (r, h, b) in program.items() for t in b or [None]], "clause_id string, rule string, head string, lit string")
+    dob = {**{f"p({k})": 1 for k in range(6)}, **{f"p({k})": 0 for k in (6, 7, 8)}, **{f"i({k})": 0 for k in range(6)}, "j(0)": 0, "j(1)": 0, "q(9)": 0}
+    dob |= {"q(7)": 1, "q(8)": 1, "q(0)": 1, "q(1)": 2, "q(2)": 1, "q(3)": 1, "r(0)": 2, "q(5)": 3, "q(6)": 1}
+    seen = []
+    real = C._numbered
+    monkeypatch.setattr(C, "_numbered", lambda linked, *a: seen.append({r.clause_id for r in linked.collect()}) or real(linked, *a))
+    got = {r.tuple: r.dob for r in C.births(table).collect()}
+    assert got == dob
+    assert seen == [{"b6", "b7", "b8", "b9", "b10", "c", "d", "e"}]
+    late = {r.clause_id for r in C.forward(table, C.births(table)).collect()}
+    assert late == {c for c, (_, h, b) in program.items() if all(dob[t] < dob[h] for t in b)}
